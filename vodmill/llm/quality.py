@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, split_words
+from .common import SPACES, WORD_GAP, split_words
 
-#: A line must end in one of these (closing quotes and brackets may follow).
-TERMINAL = r"[.!?…:;。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
+#: A line passes the punctuation rule if it ends in one of these (quotes or brackets may follow)
+#: or holds the end of a sentence inside, as a long line cut off at its end does.
+TERMINAL = (".", "!", "?", "…", ":", ";", "。", "！", "？")
+CLOSING = "\"'”’»)]"
 #: Phrases of site furniture; a line with one of them goes.
 BOILERPLATE = (
     "javascript", "cookie", "lorem ipsum", "all rights reserved", "terms of use", "terms of service",
@@ -17,11 +19,7 @@ BOILERPLATE = (
 SYMBOLS = "#*$%&|<>"
 
 
-def _strip(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
-def count_repeat_words(df: DataFrame, words: str, out: str) -> DataFrame:
+def count_repeat_words(df: DataFrame, words: str, out: str, few: int = 16) -> DataFrame:
     """Adds ``out``: words inside 3-word windows that occur at least twice, each position once.
 
     Windows are compared by a 64-bit hash. Sorted (hash, position) pairs put equal
@@ -37,36 +35,51 @@ def count_repeat_words(df: DataFrame, words: str, out: str) -> DataFrame:
             lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)),
         ),
     )
-    many = F.size("__win") > F.size(F.array_distinct("__win"))
+    df = df.withColumn("__sorted", F.when(F.size("__win") > F.size(F.array_distinct("__win")), F.sort_array("__win")))
+    o = F.col("__sorted")
+    df = df.withColumn("__twice", F.array_distinct(F.filter(o, lambda h, i: F.coalesce(F.get(o, i - 1) == h, F.lit(False)))))
+    twice = F.col("__twice")
+    # few repeated windows: look each one up; many: sort pairs, so that no text takes quadratic time
+    found = F.filter(
+        F.transform("__win", lambda h, i: F.when(F.array_contains(twice, h), i)), lambda i: i.isNotNull()
+    )
     pairs = F.sort_array(F.transform("__win", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-    df = df.withColumn("__pairs", F.when(many, pairs))
+    df = df.withColumn("__pairs", F.when(F.size(twice) > few, pairs))
     p = F.col("__pairs")
     same = lambda x, j: F.coalesce(F.get(p, j)["h"] == x["h"], F.lit(False))
-    at = F.sort_array(F.transform(F.filter(p, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["p"]))
+    sorted_at = F.sort_array(F.transform(F.filter(p, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["p"]))
+    at = F.when(twice.isNull(), None).when(F.size(twice) > few, sorted_at).otherwise(found)
     df = df.withColumn("__at", at)
     a = F.col("__at")
     covered = F.aggregate(
         F.transform(a, lambda x, i: F.least(F.coalesce(F.get(a, i + 1) - x, F.lit(3)), F.lit(3))),
         F.lit(0).cast("long"), lambda s, x: s + x,
     )
-    return df.withColumn(out, F.coalesce(covered, F.lit(0)).cast("long")).drop("__win", "__pairs", "__at")
+    return df.withColumn(out, F.coalesce(covered, F.lit(0)).cast("long")).drop("__win", "__sorted", "__twice", "__pairs", "__at")
+
 
+def _has(text: Column, parts) -> Column:
+    found = F.lit(False)
+    for x in parts:
+        found = found | F.contains(text, F.lit(x))
+    return found
 
-def line_ok(line: Column, symbol_share: float = 0.2, shout_share: float = 0.3) -> Column:
-    """The per-line rules: punctuation, navigation, symbols, shouting, boilerplate."""
-    words = F.size(F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), ""))
-    # words that carry a symbol, counted by removing everything else
-    marked = F.regexp_count(line, F.lit(r"[#*$%&|<>]+"))
-    shouted = F.regexp_count(line, F.lit("!!"))
-    low = F.lower(line)
-    phrase = F.lit(False)
-    for b in BOILERPLATE:
-        phrase = phrase | F.contains(low, F.lit(b))
+
+def line_ok(line: Column, furniture: bool, symbol_share: float = 0.2, shout_share: float = 0.3) -> Column:
+    """The per-line rules: punctuation, navigation and symbols, shouting, boilerplate.
+
+    ``furniture``: whether to look for boilerplate phrases, needed only where the whole text
+    holds one. The costly tests run only on lines that hold a symbol or ``!!``.
+    """
+    words = F.size(F.array_remove(F.split(line, WORD_GAP), ""))
+    marked = F.when(_has(line, SYMBOLS), F.regexp_count(line, F.lit(r"[#*$%&|<>]+")) > symbol_share * words)
+    shouted = F.when(F.contains(line, F.lit("!!")), F.regexp_count(line, F.lit("!!")) > shout_share * words)
+    phrase = _has(F.lower(line), BOILERPLATE) if furniture else F.lit(False)
+    end = F.substring(F.rtrim(line, F.lit(SPACES + CLOSING)), -1, 1)
+    no = F.lit(False)
     return (
-        F.regexp_like(line, F.lit(TERMINAL))
-        & (marked <= F.lit(symbol_share) * words)
-        & (shouted <= F.lit(shout_share) * words)
-        & ~phrase
+        (end.isin(*TERMINAL) | _has(line, (". ", "! ", "? ")))
+        & ~F.coalesce(marked, no) & ~F.coalesce(shouted, no) & ~phrase
     )
 
 
@@ -82,21 +95,24 @@ def clean_lines(
     Columns of the input pass through, except that columns named like the results are replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    blank = lambda s: _strip(s, SPACES) == ""
+    blank = lambda s: F.btrim(s, F.lit(SPACES)) == ""
     out = df.withColumn("__w", split_words(F.col(text))).withColumn("n_words", F.size("__w").cast("long"))
+    out = out.withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long"))
     out = count_repeat_words(out, "__w", "n_repeat_words").drop("__w")
-    out = out.withColumn("__lines", F.filter(F.split(t, "\n"), lambda s: ~blank(s)))
+    out = out.withColumn("__split", F.split(t, "\n")).withColumn("__lines", F.filter("__split", lambda s: ~blank(s)))
+    symbols = F.when(_has(t, SYMBOLS), F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).otherwise(0)
     out = out.withColumns({
-        "word_chars": F.length(_strip(t, SPACES)).cast("long"),
-        "n_symbols": (F.length(t) - F.length(_strip(t, SYMBOLS))).cast("long"),
+        "n_symbols": symbols.cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
     })
-    out = out.withColumn("__good", F.filter(F.split(t, "\n"), lambda s: blank(s) | line_ok(s)))
+    searched = F.filter("__split", lambda s: blank(s) | line_ok(s, True))
+    plain = F.filter("__split", lambda s: blank(s) | line_ok(s, False))
+    out = out.withColumn("__good", F.when(_has(F.lower(t), BOILERPLATE), searched).otherwise(plain))
     out = out.withColumn("clean_text", F.when(F.col(text).isNotNull(), F.array_join("__good", "\n")))
-    out = out.withColumn("kept_chars", F.length(_strip(F.coalesce("clean_text", F.lit("")), SPACES)).cast("long"))
+    out = out.withColumn("kept_chars", F.length(F.array_join(split_words(F.col("clean_text")), "")).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         out.withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("kept_chars") >= F.lit(min_kept) * F.col("word_chars")))
-        .drop("__lines", "__good")
+        .drop("__split", "__lines", "__good")
     )
