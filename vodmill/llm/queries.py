@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding
+from . import html_text, packing, quality, sharding, token_count
 from .common import table
 
 
@@ -24,5 +24,39 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *QUALITY_COLUMNS)
 
 
-QUERIES = {f.__name__: f for f in (op1_histogram_shards, op4_line_quality)}
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_count.count_tokens(docs, vocabulary("word_bpe_49k.json"))
+    return out.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
+        (F.col("n_tokens") > 2048).alias("over_limit"),
+    )
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents packed with the vocabulary of the contract, ids given as a checksum."""
+    import public_tokenizers
+
+    out = packing.pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_histogram_shards, op4_line_quality, op5_html_blocks, op6_token_counts, op9_harmonic_packing,
+)}
 ORACLE: dict[str, str] = {}
