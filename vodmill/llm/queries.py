@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, packing, quality, sharding, token_count
+from . import html_text, langid, packing, quality, sharding, token_count
 from .common import table
 
 
@@ -44,6 +44,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out():
+    """Whether a document's fold is kept from training."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out()))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Documents packed with the vocabulary of the contract, ids given as a checksum."""
     import public_tokenizers
@@ -57,6 +69,7 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_histogram_shards, op4_line_quality, op5_html_blocks, op6_token_counts, op9_harmonic_packing,
+    op1_histogram_shards, op4_line_quality, op5_html_blocks, op6_token_counts,
+    op8_language_id, op9_harmonic_packing,
 )}
 ORACLE: dict[str, str] = {}
