@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, packing, quality, sharding, token_count
+from . import html_text, jaccard, langid, packing, quality, sharding, token_count
 from .common import table
 
 
@@ -68,8 +68,13 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_histogram_shards, op4_line_quality, op5_html_blocks, op6_token_counts,
     op8_language_id, op9_harmonic_packing,
+    op10_parity_sketch_join,
 )}
 ORACLE: dict[str, str] = {}
