@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, langid, packing, quality, sharding, token_count
+from . import ann, html_text, jaccard, langid, packing, quality, sharding, token_count
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 QUALITY_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
@@ -73,7 +77,7 @@ def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_histogram_shards, op4_line_quality, op5_html_blocks, op6_token_counts,
+    op1_histogram_shards, op3_cross_polytope, op4_line_quality, op5_html_blocks, op6_token_counts,
     op8_language_id, op9_harmonic_packing,
     op10_parity_sketch_join,
 )}
