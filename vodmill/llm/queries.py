@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_text, jaccard, langid, packing, quality, sharding, token_count
+from . import ann, html_text, jaccard, langid, packing, quality, sharding, token_count, warc
 from .common import table
 
 
@@ -17,6 +17,29 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    number = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1)
+    return back.select(
+        F.nullif(number("record_id"), F.lit("")).cast("long").alias("page_id"),
+        F.coalesce(F.octet_length("payload"), F.col("payload_length")).cast("long").alias("payload_bytes"),
+        "payload_digest", "record_type",
+        F.when(F.col("refers_to").isNotNull(), number("refers_to").cast("long")).alias("refers_to"),
+    )
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS sha, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(sha, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN last <> page_id THEN last END AS refers_to
+FROM h
+"""
+
+
 def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
@@ -77,8 +100,8 @@ def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_histogram_shards, op3_cross_polytope, op4_line_quality, op5_html_blocks, op6_token_counts,
+    op1_histogram_shards, op2_warc_source, op3_cross_polytope, op4_line_quality, op5_html_blocks, op6_token_counts,
     op8_language_id, op9_harmonic_packing,
     op10_parity_sketch_join,
 )}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_warc_source": OP2_SQL}
