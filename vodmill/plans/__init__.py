@@ -1,0 +1 @@
+"""Registered queries: the operators bound to the benchmark tables."""
