@@ -136,6 +136,13 @@ def fit(
     schema = "lang string, at binary, weight binary"
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).alias("k"))
+    # count first, then let only hashes below a share of each label through, so that few rows meet in a label's task
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    if not counts:
+        return train([], [], n_buckets)
+    shares = [(la, min(1.0, 2 * per_language / n)) for la, n in counts.items()]
+    limit = F.create_map(*[F.lit(x) for la, share in shares for x in (la, float(share))])[F.col("lang")]
+    rows = rows.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= limit)
     order = Window.partitionBy("lang").orderBy("h", "k", "text")
     sample = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).orderBy("r", "lang").limit(per_language * languages)
 
