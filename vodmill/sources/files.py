@@ -73,15 +73,20 @@ def caption_plain_text(json: Column) -> Column:
     return F.array_join(F.transform(caption_segments(json, False), line), "\n")
 
 
-def scan_media(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """IO5: media files below ``root`` with kind by suffix and path relative to the root."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def media_rows(df: DataFrame, root: str) -> DataFrame:
+    """Media among (path, length, modificationTime, ...): kind by suffix, path relative to the root; other files go."""
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.when(suffix.isin(*VIDEO_SUFFIXES), "video").when(suffix.isin(*IMAGE_SUFFIXES), "image")
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", ""), "^" + base.replace(".", r"\.") + "/", "")
-    cols = [rel.alias("source_path"), kind.alias("media_kind"), F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("source_modified_ns")]
-    return df.select(*cols, *(["content"] if content else [])).where("media_kind IS NOT NULL")
+    bare = lambda c: F.regexp_replace(c, r"^[a-z]+:/+|^/+", "")
+    rel = F.substring(bare(F.col("path")), F.length(bare(F.lit(root.rstrip("/")))) + 2, F.length("path"))
+    rest = [c for c in df.columns if c not in ("path", "length", "modificationTime")]
+    return df.select(rel.alias("source_path"), kind.alias("media_kind"), F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("source_modified_ns"), *rest).where("media_kind IS NOT NULL")
+
+
+def scan_media(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
+    """IO5: media files below ``root``; the content column is only read where asked for."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return media_rows(df if content else df.drop("content"), root)
 
 
 _EVIDENCE = "array<struct<timestamp:string,seconds:bigint,text:string>>"
