@@ -151,17 +151,24 @@ def _keys(percent: int, rows_at_once: int = 200_000):
     return make
 
 
+def parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """Parity sketch of ``bits`` (a power of two, 64 or more) bits; half the length is its two halves XORed."""
+    odd = np.flatnonzero(np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1)
+    out = np.zeros(bits // 64, dtype=U)
+    np.bitwise_or.at(out, odd >> 6, U(1) << (odd & 63).astype(U))
+    return out
+
+
 def _sets(shingler, ids, texts, seen):
     sets = [shingler.shingles(t.as_py()) for t in texts]
-    lanes = np.zeros((len(sets), LANES), dtype=U)
+    lanes, wide = np.zeros((len(sets), LANES), dtype=U), []
     for i, s in enumerate(sets):
-        bit = (s & U(LANES * 64 - 1)).astype(np.int64)
-        odd = np.flatnonzero(np.bincount(bit, minlength=LANES * 64) & 1)
-        np.bitwise_or.at(lanes[i], odd >> 6, U(1) << (odd & 63).astype(U))
+        lanes[i] = parity(s, LANES * 64)
+        wide.append(_signed(parity(s, 1 << (len(s) - 1).bit_length())) if len(s) > LANES * 64 else np.empty(0, np.int64))
     return pa.RecordBatch.from_arrays(
         [ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signed(s) for s in sets], pa.list_(pa.int64())),
-         *[pa.array(_signed(np.ascontiguousarray(lanes[:, k])), pa.int64()) for k in range(LANES)]],
-        names=["id", "n", "shingles", *[f"s{k}" for k in range(LANES)]])
+         pa.array(wide, pa.list_(pa.int64())), *[pa.array(_signed(np.ascontiguousarray(lanes[:, k])), pa.int64()) for k in range(LANES)]],
+        names=["id", "n", "shingles", "wide", *[f"s{k}" for k in range(LANES)]])
 
 
 def _within(percent: int, x: str, y: str):
@@ -177,7 +184,25 @@ def _prefixed(df: DataFrame, p: str) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """The pairs (a, b) whose whole sets link.
+
+    Long texts are told apart first by sketches about as many bits long as their sets
+    are large, so that few of their sets have to move.
+    """
+    w = sets.select("id", "n", "wide")
+    far = pairs.join(_prefixed(w, "a"), F.col("a") == F.col("aid")).join(_prefixed(w, "b"), F.col("b") == F.col("bid"))
+    x, y = F.col("awide"), F.col("bwide")
+
+    def fold(v):
+        half = (F.size(v) / 2).cast("int")
+        return F.zip_with(F.slice(v, F.lit(1), half), F.slice(v, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    def distance(p, q):
+        return F.aggregate(F.zip_with(p, q, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda t, i: t + i)
+
+    low = F.when(F.size(x) == F.size(y), distance(x, y)).when(F.size(x) == 2 * F.size(y), distance(fold(x), y)).when(
+        2 * F.size(x) == F.size(y), distance(x, fold(y))).otherwise(0)
+    pairs = far.where(low <= F.floor((F.col("an") + F.col("bn")) * (100 - percent) / F.lit(100 + percent))).select("a", "b")
     s = sets.select("id", "n", "shingles")
     both = pairs.join(_prefixed(s, "a"), F.col("a") == F.col("aid")).drop("aid").join(_prefixed(s, "b"), F.col("b") == F.col("bid"))
     inter = F.size(F.array_intersect("ashingles", "bshingles"))
@@ -211,9 +236,9 @@ def jaccard_components(
     if wanted.count() <= small:
         wanted = F.broadcast(wanted)
     sets = materialize(
-        _map(src.join(wanted, "id", "left_semi"), n, _sets, "id long, n long, shingles array<long>, " + ", ".join(f"s{k} long" for k in range(LANES)))
+        _map(src.join(wanted, "id", "left_semi"), n, _sets, "id long, n long, shingles array<long>, wide array<long>, " + ", ".join(f"s{k} long" for k in range(LANES)))
         .dropDuplicates(["id"]), "candidates")
-    sketches = sets.drop("shingles")
+    sketches = sets.drop("shingles", "wide")
 
     # 1. every document against the best of the least members of its blocks
     pairs = members.withColumn("lead", F.min("id").over(block)).where("lead < id").select("lead", "id").distinct()
