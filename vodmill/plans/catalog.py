@@ -1,4 +1,4 @@
 """Loads every module that registers queries."""
 
-from . import analytics_queries, candidate_queries, library_queries  # noqa: F401
+from . import analytics_queries, candidate_queries, library_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
