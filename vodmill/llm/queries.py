@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_text, jaccard, langid, packing, quality, sharding, token_count, warc
+from . import ann, html_text, jaccard, langid, packing, quality, sharding, sp_fst, token_count, warc
 from .common import table
 
 
@@ -71,6 +71,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text (without begin or end), their checksum, and whether decoding gives the text back."""
+    out = sp_fst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+    return out.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def held_out():
     """Whether a document's fold is kept from training."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
@@ -101,7 +110,7 @@ def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_histogram_shards, op2_warc_source, op3_cross_polytope, op4_line_quality, op5_html_blocks, op6_token_counts,
-    op8_language_id, op9_harmonic_packing,
+    op7_sentencepiece_fst, op8_language_id, op9_harmonic_packing,
     op10_parity_sketch_join,
 )}
 ORACLE: dict[str, str] = {"op2_warc_source": OP2_SQL}
