@@ -140,6 +140,12 @@ def livestream_summaries(videos: DataFrame, rollup: DataFrame, start: str, end:
     return joined.select("video_id", "title", "published_at", "duration_seconds", *zero).orderBy(F.desc("published_at"), "video_id")
 
 
+def livestream_timeline(series: DataFrame) -> DataFrame:
+    """Each livestream's points numbered by position; no stream is gathered into one row."""
+    w = Window.partitionBy("video_id").orderBy("stream_position_seconds")
+    return series.withColumn("point", F.row_number().over(w))
+
+
 def timeseries(rows: DataFrame, starts: DataFrame) -> DataFrame:
     """measured_at = start + position (NULL without a start); concurrency = average, else peak."""
     out = rows.join(starts, rows.video == starts.video_id, "left")

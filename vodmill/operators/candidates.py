@@ -27,6 +27,11 @@ def visible_clips(cands: DataFrame, include_check: bool = True) -> DataFrame:
     return out if include_check else out.where("review_status != 'needs_verification'")
 
 
+def stream_batch(streams: DataFrame, offset: int, limit: int) -> DataFrame:
+    """a slice of all streams, newest first."""
+    return streams.orderBy(F.desc("published_at"), "stream_id").offset(offset).limit(limit)
+
+
 def pending_streams(streams: DataFrame, limit: int | None = None) -> DataFrame:
     out = streams.where(F.col("processing_status").isin("queued", "failed")).orderBy(F.desc("published_at"), "stream_id")
     return out.limit(limit) if limit else out

@@ -22,10 +22,6 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.upsert(None, A.normalize_daily(B.metric_rows(spark, sf_dir)), A.DAILY_KEY, B.BATCH_ORDER).drop(*B.BATCH_ORDER)
 
 
-def daily_with_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily(spark, sf_dir)
-
-
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = B.videos(spark, sf_dir).select("video_id", M.parse_datetime(F.col("published_at")).alias("actual_start"))
     return A.upsert(None, A.timeseries(B.timeseries_rows(spark, sf_dir), starts), A.SERIES_KEY, ["seq"]).drop("seq")
@@ -145,6 +141,11 @@ def a8_livestream_summaries(spark, sf_dir):
     return A.livestream_summaries(B.videos(spark, sf_dir), roll, START, END)
 
 
+@query(f"WITH {B.SERIES_SQL} SELECT video_id, pos AS stream_position_seconds, peak_v AS peak_viewers, row_number() OVER (PARTITION BY video_id ORDER BY pos)::INT AS point FROM series")
+def a8_livestream_timeline(spark, sf_dir):
+    return A.livestream_timeline(series(spark, sf_dir)).select("video_id", "stream_position_seconds", "peak_viewers", "point")
+
+
 @query("""SELECT l_partkey::VARCHAR AS video_id, arg_min(l_quantity::BIGINT, l_orderkey * 100000000 + l_linenumber * 10000000 + l_suppkey) AS duration_seconds,
  coalesce(arg_max(l_shipdate::DATE::VARCHAR, l_orderkey * 100000000 + l_linenumber * 10000000 + l_suppkey) FILTER (l_returnflag <> 'R'), '') AS title,
  coalesce(arg_max(CASE l_returnflag WHEN 'A' THEN 'short' ELSE 'live' END, l_orderkey * 100000000 + l_linenumber * 10000000 + l_suppkey) FILTER (l_returnflag <> 'R'), 'unknown') AS content_type FROM lineitem GROUP BY 1""")

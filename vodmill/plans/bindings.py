@@ -106,7 +106,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = F.struct(*[((k * (i + 3) + n * (2 * i + 1)) % 101).cast("int").alias(s) for i, s in enumerate(SCORES)])
     return li.join(p, li.l_partkey == p.p_partkey).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("candidate_window_id"), F.col("l_orderkey").alias("stream_id"),
-        (F.col("l_orderkey") % 500).alias("analysis_run_id"), n.alias("candidate_rank"), start.alias("start_seconds"),
+        F.col("l_orderkey").alias("analysis_run_id"), n.alias("candidate_rank"), start.alias("start_seconds"),
         (start + 60 + F.col("l_suppkey") % 300).alias("end_seconds"), F.col("p_name").alias("title"),
         F.element_at(F.array(*[F.lit(x) for x in PILLARS]), (k % 7 + 1).cast("int")).alias("primary_pillar"),
         F.array(F.col("p_brand"), F.col("p_type"), F.col("p_name")).alias("raw_tags"), scores.alias("scores"),
@@ -118,7 +118,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CANDIDATE_SQL = """
 cand AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS candidate_window_id, l_orderkey AS stream_id,
-  l_orderkey % 500 AS analysis_run_id, l_linenumber AS candidate_rank, l_partkey % 3600 AS start_seconds,
+  l_orderkey AS analysis_run_id, l_linenumber AS candidate_rank, l_partkey % 3600 AS start_seconds,
   l_partkey % 3600 + 60 + l_suppkey % 300 AS end_seconds, p_name AS title,
   ['motivational_inspirational','personal_journey_recovery','artistic_process','explanation_education','humor_personality','mistakes_problem_solving','emergent_miscellaneous'][(l_partkey % 7 + 1)::INT] AS primary_pillar,
   [p_brand, p_type, p_name] AS raw_tags,

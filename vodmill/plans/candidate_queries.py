@@ -23,12 +23,12 @@ def cands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 500")
+    o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("analysis_run_id"), F.col("o_orderkey").alias("stream_id"), F.concat(F.lit("model-"), (F.col("o_orderkey") % 3).cast("string")).alias("model"),
                     F.when(F.col("o_orderstatus") == "O", "processing").otherwise("complete").alias("status"))
 
 
-RUNS_SQL = "runs AS (SELECT o_orderkey AS analysis_run_id, o_orderkey AS stream_id, 'model-' || o_orderkey % 3 AS model, CASE o_orderstatus WHEN 'O' THEN 'processing' ELSE 'complete' END AS status FROM orders WHERE o_orderkey < 500)"
+RUNS_SQL = "runs AS (SELECT o_orderkey AS analysis_run_id, o_orderkey AS stream_id, 'model-' || o_orderkey % 3 AS model, CASE o_orderstatus WHEN 'O' THEN 'processing' ELSE 'complete' END AS status FROM orders)"
 
 
 @query(f"WITH {CAND} SELECT {ID}, tags, weighted_score, printf('%02d:%02d:%02d', start_seconds // 3600, start_seconds // 60 % 60, start_seconds % 60) AS stamp, start_seconds AS back, CASE WHEN end_seconds >= 3600 THEN printf('%d:%02d:%02d', end_seconds // 3600, end_seconds // 60 % 60, end_seconds % 60) ELSE printf('%d:%02d', end_seconds // 60, end_seconds % 60) END AS label FROM scored")
@@ -130,12 +130,14 @@ def f4_pending_streams(spark, sf_dir):
     return K.pending_streams(B.streams(spark, sf_dir)).select("stream_id", "published_at")
 
 
-@query(f"WITH {CAND} SELECT {ID}, weighted_score, row_number() OVER (ORDER BY weighted_score DESC, {ID}) AS place FROM scored WHERE is_favorite QUALIFY place <= 500")
-def f6_favourites(spark, sf_dir):
-    from pyspark.sql import Window
+@query(f"WITH {B.STREAM_SQL} SELECT stream_id FROM streams ORDER BY published_at DESC, stream_id LIMIT 25 OFFSET 50")
+def f4_stream_batch(spark, sf_dir):
+    return K.stream_batch(B.streams(spark, sf_dir), 50, 25).select("stream_id")
+
 
-    out = K.favourites(cands(spark, sf_dir), "favourites").limit(500)
-    return out.select(ID, "weighted_score", F.row_number().over(Window.orderBy(F.desc("weighted_score"), ID)).cast("long").alias("place"))
+@query(f"WITH {CAND} SELECT {ID}, weighted_score FROM scored WHERE is_favorite")
+def f6_favourites(spark, sf_dir):
+    return K.favourites(cands(spark, sf_dir), "favourites").select(ID, "weighted_score")
 
 
 @query(f"WITH {CAND}, {RUNS_SQL}, {B.STREAM_SQL} SELECT {ID}, s.title AS stream_title, s.published_at, r.model FROM scored c JOIN streams s ON c.stream_id = s.stream_id LEFT JOIN runs r ON c.analysis_run_id = r.analysis_run_id")
@@ -166,9 +168,9 @@ def k1_clip_feed(spark, sf_dir):
     return K.clip_feed(cands(spark, sf_dir), B.streams(spark, sf_dir)).select(ID, "published_at", "weighted_score")
 
 
-@query(f"WITH {CAND}, {B.STREAM_SQL} SELECT {ID}, sc[2] AS hook_strength, published_at, weighted_score FROM scored c JOIN streams s ON c.stream_id = s.stream_id ORDER BY sc[2] DESC, published_at DESC, weighted_score, {ID} LIMIT 300")
+@query(f"WITH {CAND}, {B.STREAM_SQL} SELECT {ID}, sc[2] AS hook_strength, published_at, weighted_score FROM scored c JOIN streams s ON c.stream_id = s.stream_id")
 def k2_candidate_listing(spark, sf_dir):
-    out = K.listing(cands(spark, sf_dir), B.streams(spark, sf_dir), F.col("scores.hook_strength")).limit(300)
+    out = K.listing(cands(spark, sf_dir), B.streams(spark, sf_dir), F.col("scores.hook_strength"))
     return out.select(ID, "scores.hook_strength", "published_at", "weighted_score")
 
 
@@ -239,7 +241,7 @@ def j12_has_content(spark, sf_dir):
 
 
 def _reanalysis(spark, sf_dir):
-    c = cands(spark, sf_dir).where("stream_id % 4 = 0")
+    c = cands(spark, sf_dir)
     s = F.col("start_seconds")
     c = c.withColumn("processing_status", F.when(s % 41 == 0, "failed").otherwise("complete")).withColumn("reviewer_notes", F.when(s % 37 == 0, "keep").otherwise(" "))
     active = c.where("review_status != 'archived'")
@@ -248,7 +250,7 @@ def _reanalysis(spark, sf_dir):
     return c, active, expected, assets, K.reanalysis_plan(active, runs(spark, sf_dir), expected, assets)
 
 
-PLAN_SQL = f"""{CAND}, {RUNS_SQL}, act AS (SELECT *, start_seconds AS s FROM scored WHERE stream_id % 4 = 0 AND review_status <> 'archived'),
+PLAN_SQL = f"""{CAND}, {RUNS_SQL}, act AS (SELECT *, start_seconds AS s FROM scored WHERE review_status <> 'archived'),
  b AS (SELECT stream_id, list_sort(flatten(list(list_filter([CASE WHEN is_favorite THEN {ID} || ': favourite' END, CASE WHEN review_status <> 'pending_review' THEN {ID} || ': reviewed' END, CASE WHEN s % 41 = 0 THEN {ID} || ': not complete' END,
  CASE WHEN s % 37 = 0 THEN {ID} || ': has notes' END, CASE WHEN s % 43 = 0 THEN {ID} || ': has assets' END], lambda v: v IS NOT NULL)))) AS rb, bool_or(s % 53 = 0) AS changed FROM act GROUP BY 1),
  plan AS (SELECT b.stream_id, list_concat(list_filter([CASE WHEN b.stream_id IN (SELECT stream_id FROM runs WHERE status = 'processing') THEN 'a run is processing' END, CASE WHEN changed THEN 'candidate set changed' END], lambda v: v IS NOT NULL), rb) AS blockers FROM b)"""
@@ -259,7 +261,7 @@ def q7_reanalysis_plan(spark, sf_dir):
     return _reanalysis(spark, sf_dir)[-1]
 
 
-@query(f"WITH {PLAN_SQL}, c AS (SELECT s.*, coalesce(len(p.blockers) = 0, false) AS safe FROM scored s LEFT JOIN plan p ON s.stream_id = p.stream_id WHERE s.stream_id % 4 = 0) SELECT {ID}, CASE WHEN safe AND candidate_rank < 4 AND review_status <> 'archived' OR NOT safe AND candidate_rank >= 4 THEN 'archived' ELSE review_status END AS review_status, CASE WHEN safe AND candidate_rank < 4 AND review_status <> 'archived' THEN 1 ELSE 0 END AS history FROM c")
+@query(f"WITH {PLAN_SQL}, c AS (SELECT s.*, coalesce(len(p.blockers) = 0, false) AS safe FROM scored s LEFT JOIN plan p ON s.stream_id = p.stream_id) SELECT {ID}, CASE WHEN safe AND candidate_rank < 4 AND review_status <> 'archived' OR NOT safe AND candidate_rank >= 4 THEN 'archived' ELSE review_status END AS review_status, CASE WHEN safe AND candidate_rank < 4 AND review_status <> 'archived' THEN 1 ELSE 0 END AS history FROM c")
 def q8_supersede(spark, sf_dir):
     c, active, _, _, plan = _reanalysis(spark, sf_dir)
     c = c.withColumn("history", F.array().cast("array<struct<replacement_run:string,reason:string>>"))

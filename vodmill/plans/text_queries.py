@@ -33,18 +33,18 @@ def t1_native_response(spark, sf_dir):
 
 
 def review_texts(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("turn < 4")
+    c = table(spark, sf_dir, "conversations")
     at = lambda s: F.format_string("%02d:%02d", F.floor(s / 60), s % 60)
     say = lambda n: F.when(F.col("turn") % n == 0, "No").otherwise("Yes")
     s = F.col("turn") * 4
     quote = F.array_join(F.slice(T.normalized_words(F.col("text")), 1, 6), " ")
     return c.select(F.concat_ws("-", "conv_id", "turn").alias("quote_id"), F.col("conv_id").alias("stream_id"), "turn", F.concat(
-        F.lit("Clip one ("), at(s), F.lit(" - "), at(s + 40), F.lit(")\nRank: 1\nScore: 8"), F.col("turn").cast("string"), F.lit("/100\nComplete Thought: "), say(2), F.lit("\nStandalone: "), say(3),
+        F.lit("Clip one ("), at(s), F.lit(" - "), at(s + 40), F.lit(")\nRank: 1\nScore: 8"), (F.col("turn") % 10).cast("string"), F.lit("/100\nComplete Thought: "), say(2), F.lit("\nStandalone: "), say(3),
         F.lit("\nVisual Only: no\nExact Caption Quote: "), quote, F.lit("\nNo rank (01:00 - 02:00)\nSummary: left out\n")).alias("text"))
 
 
-@query("""SELECT concat_ws('-', conv_id, turn) AS quote_id, 'Clip one' AS title, '8' || turn || '/100' AS score, list_filter([CASE WHEN turn % 2 = 0 THEN 'incomplete_thought' END, CASE WHEN turn % 3 = 0 THEN 'not_standalone' END], lambda x: x IS NOT NULL) AS local_flags,
- CASE WHEN turn % 3 = 0 THEN 'reject_or_manual_rescue' WHEN turn % 2 = 0 THEN 'reject' ELSE 'candidate_ok' END AS local_recommendation FROM conversations WHERE turn < 4""")
+@query("""SELECT concat_ws('-', conv_id, turn) AS quote_id, 'Clip one' AS title, '8' || turn % 10 || '/100' AS score, list_filter([CASE WHEN turn % 2 = 0 THEN 'incomplete_thought' END, CASE WHEN turn % 3 = 0 THEN 'not_standalone' END], lambda x: x IS NOT NULL) AS local_flags,
+ CASE WHEN turn % 3 = 0 THEN 'reject_or_manual_rescue' WHEN turn % 2 = 0 THEN 'reject' ELSE 'candidate_ok' END AS local_recommendation FROM conversations""")
 def t2_structured_final(spark, sf_dir):
     return R.parse_structured_final(review_texts(spark, sf_dir)).select("quote_id", "title", "score", "local_flags", "local_recommendation")
 
