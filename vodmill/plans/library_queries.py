@@ -142,6 +142,20 @@ def j7_quote_verdict(spark, sf_dir):
     return out.select("quote_id", start.alias("start"), note.alias("note"))
 
 
+@query(f"WITH {WORDS_SQL} SELECT stream_id, i - 1 AS place, second, gram FROM g")
+def w5_word_ngrams(spark, sf_dir):
+    from pyspark.sql import Window
+
+    grams = T.word_ngrams(T.caption_words(segments(spark, sf_dir), order=("event",)))
+    w = Window.partitionBy("stream_id").orderBy("place")
+    return grams.select("stream_id", (F.row_number().over(w) - 1).cast("long").alias("place"), "second", "gram")
+
+
+@query()
+def s17_evidence_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokens("text").alias("tokens"))
+
+
 @query()
 def s17_s18_claim_chunks(spark, sf_dir):
     return T.with_chunks(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text").where("chunk IS NOT NULL").select("conv_id", "turn", "chunk_no.i", "chunk_no.j", F.size("chunk").alias("n"))
@@ -152,6 +166,15 @@ def w4_evidence_windows(spark, sf_dir):
     return T.evidence_windows(segments(spark, sf_dir)).select("stream_id", "event", "length")
 
 
+@query()
+def q2_support_score(spark, sf_dir):
+    """The support of every claim chunk by the captions around its candidate."""
+    c = small_cands(spark, sf_dir)
+    chunks = T.with_chunks(c.select("candidate_window_id", F.col("transcript_excerpt").alias("claim")), "claim").where("chunk IS NOT NULL").select("candidate_window_id", "chunk_no", "chunk")
+    near = T.contexts(c, segments(spark, sf_dir))
+    return chunks.join(near, "candidate_window_id", "left").select("candidate_window_id", "chunk_no.i", "chunk_no.j", T.support_score("chunk", "context").alias("score"))
+
+
 @query()
 def q2_q3_audit_evidence(spark, sf_dir):
     return T.audit_evidence(small_cands(spark, sf_dir), segments(spark, sf_dir))

@@ -36,3 +36,16 @@ def scratch(spark: SparkSession, tag: str) -> str:
         found = tempfile.mkdtemp(prefix="spark-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def derive(base: str, keys: list[str], parts: dict[str, list[str]]) -> None:
+    """Registers a query per operator of a query that applies several: its keys and that operator's columns."""
+    whole, sql = QUERIES[base], SQL.get(base)
+    for name, cols in parts.items():
+        def one(spark: SparkSession, sf_dir: str, cols=cols) -> DataFrame:
+            return whole(spark, sf_dir).select(*keys, *cols)
+
+        one.__name__ = name
+        QUERIES[name] = one
+        if sql:
+            SQL[name] = f"SELECT {', '.join([*keys, *cols])} FROM ({sql})"
