@@ -22,7 +22,7 @@ SMALL = 2_000_000
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines leave the text; documents that lose too much or fail the base rules go."""
-    kept = quality.clean_lines(docs.select(*COLUMNS)).where("kept")
+    kept = quality.keep_clean(docs.select(*COLUMNS))
     return kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
 

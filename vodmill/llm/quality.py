@@ -116,3 +116,13 @@ def clean_lines(
         .withColumn("kept", ~failed & (F.col("kept_chars") >= F.lit(min_kept) * F.col("word_chars")))
         .drop("__split", "__lines", "__good")
     )
+
+
+def keep_clean(df: DataFrame, text: str = "text", min_kept: float = 0.5, min_words: int = 50) -> DataFrame:
+    """The rows of ``clean_lines`` that are kept.
+
+    The row number only keeps the optimizer from moving the test below the measures,
+    where it would put every nested expression of ``kept`` in place of each of its uses.
+    """
+    rows = clean_lines(df, text, min_kept, min_words).withColumn("__row", F.monotonically_increasing_id())
+    return rows.where(F.col("kept") & (F.col("__row") >= 0)).drop("__row")
