@@ -148,7 +148,7 @@ def _nearest(blocks: DataFrame, k: int, kind: str) -> DataFrame:
 
 
 def search(
-    df: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", k: int = 10, tables: int = 24, probes: int = 3, seed: int = 11,
+    df: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", k: int = 10, tables: int = 24, probes: int = 6, seed: int = 11,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row where ``queries`` holds.
 
