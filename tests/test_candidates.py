@@ -74,6 +74,11 @@ def test_structured_pass(spark, tmp_path):
     assert got == {("abc", "final", "x\ny"), ("QQ1", "prompts", '{"a": "see https://y.be/watch?v=QQ1&t=3"}')}
 
 
+def test_complete_passes(spark):
+    files_ = spark.createDataFrame([("r/a/local_review.json", 1), ("r/b/final.txt", 9), ("r/c/local_review.json", 5), ("r/c/final.txt", 3)], "path string, modified int")
+    assert [r["pass_path"] for r in R.complete_passes(files_).collect()] == ["r/c", "r/a"] and R.complete_passes(files_, 1).count() == 1
+
+
 def test_tags_scores_and_times(spark):
     row = spark.createDataFrame([([" Mistake Recovery", "a__b", "", "mistake-recovery", "-x-"],)], "t array<string>").select(C.normalize_tags(F.col("t")).alias("t")).first()
     assert row["t"] == ["mistake-recovery", "a-b", "x"]

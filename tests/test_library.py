@@ -67,6 +67,14 @@ def test_top_k_ties_partitions_and_errors(spark):
         V.cosine_top_k(df, [(7, [1.0, 0.0])], 3, [3]).collect()
 
 
+def test_evaluation_spec():
+    spec = {"dimensions": [8, 16], "topK": 3, "queries": [{"id": "a", "kind": "positive", "text": "x"}, {"id": "b", "kind": "control", "text": "y"}]}
+    assert V.check_spec(spec, 64) == {"dimensions": [16, 8], "top_k": 3, "positive": 1, "control": 1}
+    for bad in ({"dimensions": [128]}, {"dimensions": [8, 8]}, {"topK": 0}, {"queries": []}, {"queries": [{"id": "a", "kind": "odd", "text": "x"}]}, {"queries": spec["queries"] * 2}):
+        with pytest.raises(ValueError):
+            V.check_spec(spec | bad, 64)
+
+
 def test_model_output_is_checked(spark):
     df = spark.createDataFrame([(1, "a")], "trace_id long, content string")
     with pytest.raises(Exception, match="not finite or is zero"):

@@ -116,6 +116,25 @@ def cosine_top_k(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def check_spec(spec: dict, native: int) -> dict:
+    """Validates an evaluation spec (dimensions, topK, queries) and gives its counts; raises ValueError naming the fault."""
+    dims, queries = spec.get("dimensions") or [], spec.get("queries") or []
+    if not dims or any(not isinstance(d, int) or d <= 0 for d in dims) or len(set(dims)) != len(dims):
+        raise ValueError("dimensions must be distinct positive whole numbers")
+    if max(dims) > native:
+        raise ValueError(f"dimension {max(dims)} is above {native}")
+    if not isinstance(spec.get("topK"), int) or spec["topK"] <= 0:
+        raise ValueError("topK must be positive")
+    ids = [q.get("id") for q in queries]
+    if not queries or len(set(ids)) != len(ids) or not all(ids):
+        raise ValueError("queries need distinct ids")
+    for q in queries:
+        if q.get("kind") not in ("positive", "control") or not str(q.get("text") or "").strip():
+            raise ValueError(f"query {q['id']} needs a kind (positive or control) and a text")
+    kinds = [q["kind"] for q in queries]
+    return {"dimensions": sorted(dims, reverse=True), "top_k": spec["topK"], "positive": kinds.count("positive"), "control": kinds.count("control")}
+
+
 def present(matches: DataFrame, traces: DataFrame, media: DataFrame) -> DataFrame:
     """Titles and labels join after the ranking; matches without a trace drop out, scores stay."""
     return matches.join(traces.select("trace_id", "media_id", "start_ms"), "trace_id").join(media.select("media_id", "title", "filename", "media_kind"), "media_id", "left")
