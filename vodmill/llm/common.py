@@ -53,3 +53,10 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread:
 def split_words(text):
     """Array of the words ``[^\\x20\\x09-\\x0D]+``; NULL gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
+
+
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Bounds what a Python worker holds at once: texts are long, and Spark's default is 10,000 rows a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(rows))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     "the of and to in is it that for on with as are was be by at this from or an not have has but they which you we he she "
@@ -199,6 +201,7 @@ def extract(df: DataFrame, html_col: str = "html", out: str = "text") -> DataFra
     Every column passes through unchanged except ``out``, which is replaced where the
     input has it. Rows are independent, so ties, repeats and empty tables need no rule.
     """
+    short_batches(df.sparkSession)
     names = [c for c in df.columns if c != out]
 
     @F.pandas_udf("string")

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 #: Subwords are runs of 1 to 4 bytes of lower-cased words with a mark on both sides.
 SIZES = (1, 2, 3, 4)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -133,6 +135,7 @@ def fit(
     repeatable. Executors turn the sampled texts into bucket counts; the driver gets at
     most per_language x languages rows of at most ``n_buckets`` counts.
     """
+    short_batches(labelled.sparkSession)
     schema = "lang string, at binary, weight binary"
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).alias("k"))
@@ -166,6 +169,8 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     independent; other columns pass through, columns named like the results are replaced.
     """
 
+    short_batches(df.sparkSession)
+
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:

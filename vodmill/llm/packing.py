@@ -9,6 +9,7 @@ ends is laid end to end, so a worker pads one sequence beyond the classes' own w
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 
 def cut(n: int, capacity: int, cuts: int = 3, waste: float = 0.02) -> list[int]:
     """Lengths of the pieces of a document of ``n`` ids."""
@@ -46,9 +49,7 @@ class Encoder:
         import base64
         import json
 
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path, self._library = path, None
         with open(path) as f:
             self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.fast = None
@@ -59,12 +60,27 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    @property
+    def library(self):
+        """Loaded with the first text that needs it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast and (text.isascii() or max(text) < self.PLAIN) and not any(s in text for s in self.special):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_for(path: str, ranks: str | None, pattern: str | None) -> Encoder:
+    """A worker loads a vocabulary once."""
+    return Encoder(path, ranks, pattern)
+
+
 class Bins:
     """The open bins of one worker."""
 
@@ -115,7 +131,7 @@ def pack(
     schema = f"`{doc}` {df.schema[doc].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bins = Encoder(path, ranks, pattern), Bins(capacity, TaskContext.get().partitionId() << 36)
+        encoder, bins = encoder_for(path, ranks, pattern), Bins(capacity, TaskContext.get().partitionId() << 36)
         kind = None
 
         def rows(placed: list[tuple]) -> pa.RecordBatch:
@@ -143,4 +159,5 @@ def pack(
         if kind is not None:
             yield rows(bins.finish())
 
+    short_batches(df.sparkSession)
     return df.select(F.col(doc), F.col(text)).mapInArrow(run, schema)

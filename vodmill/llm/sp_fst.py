@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 MARK = "▁"
 NORMAL, UNKNOWN, UNUSED, BYTE = 1, 2, 5, 6
 
@@ -177,6 +179,8 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     through, columns named ids or decoded are replaced.
     """
 
+    short_batches(df.sparkSession)
+
     @F.pandas_udf("ids binary, decoded string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         machine = compiled(path)

@@ -8,6 +8,7 @@ the library whole, and texts above ``chunk`` characters in overlapping chunks.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 
 class Counter:
     """Counts tokens as ``tokenizers`` does for one vocabulary file, without special tokens added."""
@@ -135,6 +138,12 @@ class Counter:
         return None
 
 
+@functools.lru_cache(maxsize=2)
+def counter_for(path: str, chunk: int) -> Counter:
+    """A worker keeps its counter, and what it remembers, from task to task."""
+    return Counter(path, chunk)
+
+
 def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens", chunk: int = 65_536) -> DataFrame:
     """Adds ``out``: the token count of each whole text; a NULL or empty text counts 0.
 
@@ -142,9 +151,11 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tok
     ``path`` is the vocabulary file, which every worker must be able to read.
     """
 
+    short_batches(df.sparkSession)
+
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(path, chunk)
+        counter = counter_for(path, chunk)
         for s in texts:
             yield pd.Series(counter.batch(["" if t is None else t for t in s]), dtype="int64")
 
