@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_left_join
+from .common import materialize, salted_left_join, short_batches
 from .components import components
 
 U = np.uint64
-WORDS_REMEMBERED = 500_000
+WORDS_REMEMBERED = 100_000
 LANES = 16  # of 64 parity bits each
 
 
@@ -118,6 +118,7 @@ def _map(df: DataFrame, n: int, make, schema: str) -> DataFrame:
                 part = b.slice(i, 512)
                 yield make(shingler, part.column(0), part.column(1), seen)
 
+    short_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -137,7 +138,7 @@ def _keys(percent: int, rows_at_once: int = 200_000):
             if not len(s) or (mark := (_fingerprint(s), len(s))) in seen:
                 continue
             seen.add(mark)  # copies within a task are one document
-            if len(s) >= ends[-2] if len(ends) > 1 else True:
+            if len(ends) < 2 or len(s) >= ends[-2]:
                 ends = bands(2 * len(s), percent)
             j = int(np.searchsorted(ends, len(s), side="right")) - 1
             found = [cell_keys(s, b, *dp) for b in (j - 1, j) if b >= 0 and (dp := cells_of(b, ends, percent))[1]]
@@ -235,9 +236,11 @@ def jaccard_components(
     wanted = members.select("id").distinct()
     if wanted.count() <= small:
         wanted = F.broadcast(wanted)
-    sets = materialize(
-        _map(src.join(wanted, "id", "left_semi"), n, _sets, "id long, n long, shingles array<long>, wide array<long>, " + ", ".join(f"s{k} long" for k in range(LANES)))
-        .dropDuplicates(["id"]), "candidates")
+    found = _map(src.join(wanted, "id", "left_semi"), n, _sets, "id long, n long, shingles array<long>, wide array<long>, " + ", ".join(f"s{k} long" for k in range(LANES)))
+    # sets are wide: only a table that repeats an id pays for making ids unique
+    if narrow.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+        found = found.dropDuplicates(["id"])
+    sets = materialize(found, "candidates")
     sketches = sets.drop("shingles", "wide")
 
     # 1. every document against the best of the least members of its blocks
