@@ -16,6 +16,7 @@ components are exact, while the pairs compared stay few.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -172,10 +173,10 @@ def _sets(shingler, ids, texts, seen):
         names=["id", "n", "shingles", "wide", *[f"s{k}" for k in range(LANES)]])
 
 
-def _within(percent: int, x: str, y: str):
+def _within(percent: int, x: str, y: str, lanes: int = LANES):
     """Whether the sketches of columns x*, y* allow a link: sizes and Hamming distance of the parity bits."""
     total = F.col(f"{x}n") + F.col(f"{y}n")
-    far = sum(F.bit_count(F.col(f"{x}s{k}").bitwiseXOR(F.col(f"{y}s{k}"))) for k in range(LANES))
+    far = sum(F.bit_count(F.col(f"{x}s{k}").bitwiseXOR(F.col(f"{y}s{k}"))) for k in range(lanes))
     near = F.floor(total * (100 - percent) / F.lit(100 + percent))
     return (100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n")) & (far <= near), far
 
@@ -257,10 +258,18 @@ def jaccard_components(
     # 2. pairs of different components that share a block
     placed = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     placed = placed.withColumn("c0", F.min("c").over(block)).withColumn("c1", F.max("c").over(block)).where("c0 != c1")
-    placed = materialize(placed.join(sketches, "id"), "open")
-    left, right = _prefixed(placed.where("c != c0"), "a"), _prefixed(placed, "b")
-    ok, _ = _within(percent, "a", "b")
+    # block rows carry sketches folded to a quarter; the pairs they leave meet the whole ones
+    quarter = LANES // 4
+    folded = sketches.select("id", "n", *[reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"s{k + quarter * i}") for i in range(4)]).alias(f"s{k}") for k in range(quarter)])
+    placed = materialize(placed.join(folded, "id"), "open")
+    left, right = _prefixed(placed.where("c != c0").drop("c0", "c1"), "a"), _prefixed(placed.drop("c0", "c1"), "b")
+    ok, _ = _within(percent, "a", "b", quarter)
     more = left.join(right, (F.col("akey") == F.col("bkey")) & (F.col("bc") < F.col("ac")) & ok).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
+    ok, _ = _within(percent, "x", "y")
+    more = (
+        more.join(_prefixed(sketches, "x"), F.col("a") == F.col("xid")).join(_prefixed(sketches, "y"), F.col("b") == F.col("yid"))
+        .where(ok).select("a", "b")
+    )
     links = materialize(links.unionByName(_verify(more, sets, percent)), "links")
     comps = components(links, "a", "b")
 
