@@ -113,6 +113,24 @@ def test_warc_reads_ranges(spark, monkeypatch):
     assert halves == whole and len(whole) == 200
 
 
+@pytest.mark.parametrize("short", [0, 1, 2])
+def test_warc_record_ends_just_before_the_end_of_a_read(short):
+    import gzip
+    import io
+
+    def member(size):
+        # stored, not compressed: a gzip head of 10 bytes, 5 a block of 65,535 bytes at most, and 8 at the end
+        packer = zlib.compressobj(0, zlib.DEFLATED, 31)
+        return packer.compress(b"x" * size) + packer.flush()
+
+    end = 2**18 - short
+    size = next(n for n in range(end - 100, end) if len(member(n)) == end)
+    raw = member(size) + gzip.compress(b"next")
+    assert [b"".join(chunks) for chunks in warc._members(io.BytesIO(raw), None)] == [b"x" * size, b"next"]
+    with pytest.raises(ValueError, match="gzip-per-record"):
+        list(warc._members(io.BytesIO(member(10) + b"\x1f"), None))
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -132,8 +132,9 @@ def _members(stream, limit: int | None) -> Iterator[Iterator[bytes]]:
             return
         if limit is not None and done >= limit:
             return
-        plain = held[:2] != b"\x1f\x8b"
-        if plain:
+        while len(held) < 2 and (more := stream.read(1 << 18)):  # a read may end between the two bytes of the magic
+            held += more
+        if held[:2] != b"\x1f\x8b":
             raise ValueError("not a gzip-per-record archive")
         unpack = zlib.decompressobj(31)
 
