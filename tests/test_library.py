@@ -67,6 +67,30 @@ def test_top_k_ties_partitions_and_errors(spark):
         V.cosine_top_k(df, [(7, [1.0, 0.0])], 3, [3]).collect()
 
 
+@pytest.mark.parametrize("block", [20, 4096])
+def test_cosine_top_k_of_every_hundredth_row(spark, monkeypatch, block):
+    x = np.random.default_rng(3).normal(size=(6000, 8)).astype("f4")
+    x[::7] = x[0]  # a common vector: ties go to the smaller key
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "trace_id long, vector array<float>").repartition(3)
+    monkeypatch.setattr(V, "QUERY_BLOCK", block)
+    monkeypatch.setattr(V, "ROW_BYTES", 50_000)
+    got = V.cosine_top_k(df, df.where("trace_id % 100 = 0").withColumnRenamed("trace_id", "query_id"), 5, [8, 4]).toPandas()
+    for d in (8, 4):
+        u = x[:, :d] / np.linalg.norm(x[:, :d].astype("f8"), axis=1, keepdims=True)
+        for q in range(0, 6000, 100):
+            s = np.round(np.clip(u @ u[q], -1, 1), 8)
+            mine = got[(got.dimension == d) & (got.query_id == q)].sort_values("rank")
+            assert list(mine.trace_id) == list(np.lexsort((np.arange(6000), -s))[:5])
+    assert len(got) == 2 * 60 * 5
+
+
+def test_cosine_top_k_takes_more_queries_than_a_block(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "trace_id long, vector array<float>")
+    queries = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(V.QUERY_BLOCK + 1)]
+    got = V.cosine_top_k(df, queries, 1).toPandas()
+    assert len(got) == len(queries) and (got.trace_id == 2 - got.query_id % 2).all()
+
+
 def test_evaluation_spec():
     spec = {"dimensions": [8, 16], "topK": 3, "queries": [{"id": "a", "kind": "positive", "text": "x"}, {"id": "b", "kind": "control", "text": "y"}]}
     assert V.check_spec(spec, 64) == {"dimensions": [16, 8], "top_k": 3, "positive": 1, "control": 1}

@@ -13,6 +13,8 @@ from pyspark.sql.types import BinaryType
 
 #: Query vectors held at once by a worker; larger query sets go in blocks.
 QUERY_BLOCK = 4096
+#: Bytes of row vectors that meet a query block in a task, and rows scored at once.
+ROW_BYTES, ROW_SLICE = 16 << 20, 1024
 
 
 @F.pandas_udf(BinaryType())
@@ -72,46 +74,94 @@ def embed_missing(missing: DataFrame, make_backend: Callable[[], Callable[[list]
     return missing.select("trace_id", content).mapInPandas(run, f"trace_id {t}, model_id string, embedding_dimension int, vector array<float>, normalized boolean")
 
 
-def cosine_top_k(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int, dims: list[int] | None = None, key: str = "trace_id", vector: str = "vector") -> DataFrame:
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _matrix(vectors: pa.Array, n: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _keep_best(best: dict, units: dict[int, np.ndarray], ids: np.ndarray, x: np.ndarray, k: int) -> None:
+    """Holds rows against ``best``: dimension -> (scores, keys), a line of k at most per query, best first."""
+    order = np.argsort(ids, kind="stable")
+    for at in range(0, len(ids), ROW_SLICE):
+        part = order[at : at + ROW_SLICE]
+        for d, q in units.items():
+            if d > x.shape[1]:
+                raise ValueError(f"dimension {d} is above {x.shape[1]}")
+            s = np.round(np.clip(q @ _unit(x[part, :d]).T, -1, 1), 8)
+            s[np.isnan(s)] = -np.inf
+            i = np.broadcast_to(ids[part], s.shape)
+            if s.shape[1] > k:  # of equal scores at the edge the smaller keys stay
+                edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                above, same = s > edge, s == edge
+                keep = above | same & (np.cumsum(same, axis=1) <= k - above.sum(axis=1, keepdims=True))
+                s, i = s[keep].reshape(-1, k), i[keep].reshape(-1, k)
+            if d in best:
+                s, i = (np.concatenate(p, axis=1) for p in zip(best[d], (s, i), strict=True))
+            place = np.lexsort((i, -s), axis=1)[:, :k]
+            best[d] = tuple(np.take_along_axis(a, place, axis=1) for a in (s, i))
+
+
+def _found(best: dict, qid: np.ndarray, key: str) -> Iterator[pa.RecordBatch]:
+    for d, (s, i) in best.items():
+        q = np.repeat(qid, s.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), d), pa.int32()), pa.array(q, pa.int64()), pa.array(i.reshape(-1), pa.int64()), pa.array(s.reshape(-1))], names=["dimension", "query_id", key, "score"])
+
+
+def cosine_top_k(rows: DataFrame, queries: DataFrame | list[tuple[int, list[float]]], k: int, dims: list[int] | None = None, key: str = "trace_id", vector: str = "vector") -> DataFrame:
     """K3, K4: (dimension, query_id, rank, key, score): exact cosine of unit vectors, best first, ties to the smaller key.
 
-    ``queries``: a given list (it is sent to the workers, at most QUERY_BLOCK). For each
-    dimension both sides are cut to their first components and made unit again. Each
-    task keeps k rows per query, so only those move. Scores are held to -1..1 and
+    ``queries``: rows (query_id, vector), or a list of such pairs, as many as wanted. Up
+    to QUERY_BLOCK are sent to the tasks that hold the rows. More are dealt into blocks
+    of about that size, rows into parts of about ROW_BYTES, and each block meets each
+    part in a task. For each dimension both sides are cut to their first components and
+    made unit again. Each task keeps k rows per query. Scores are held to -1..1 and
     rounded to 8 places. A dimension above the vectors' own raises ValueError on a worker.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    if len(queries) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: search in blocks")
-    qid = np.array([q for q, _ in queries], dtype=np.int64)
-    qv = np.array([v for _, v in queries], dtype=np.float64)
-    wanted = dims or ([qv.shape[1]] if len(queries) else [])
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            for d in wanted:
-                if d > x.shape[1]:
-                    raise ValueError(f"dimension {d} is above {x.shape[1]}")
-                s = np.round(np.clip(unit(qv[:, :d]) @ unit(x[:, :d]).T, -1, 1), 8)
-                q = np.repeat(np.arange(len(qid)), len(ids))
-                i, v = np.tile(ids, len(qid)), s.reshape(-1)
-                if d in best:
-                    q, i, v = (np.concatenate(p) for p in zip(best[d], (q, i, v), strict=True))
-                order = np.lexsort((i, -v, q))
-                q, i, v = q[order], i[order], v[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                best[d] = tuple(a[place < k] for a in (q, i, v))
-        for d, (q, i, v) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), d), pa.int32()), pa.array(qid[q]), pa.array(i, pa.int64()), pa.array(v)], names=["dimension", "query_id", key, "score"])
-
-    found = rows.select(F.col(key).cast("long"), vector).mapInArrow(run, f"dimension int, query_id long, {key} long, score double")
+    if not isinstance(queries, DataFrame):
+        queries = rows.sparkSession.createDataFrame(queries, "query_id long, vector array<double>")
+    queries = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>"))
+    first = queries.limit(QUERY_BLOCK + 1).collect()
+    wanted = dims or ([len(first[0]["vector"])] if first else [])
+    rows = rows.select(F.col(key).cast("long"), vector)
+    shape = f"dimension int, query_id long, {key} long, score double"
+    if len(first) <= QUERY_BLOCK:
+        qid = np.array([q["query_id"] for q in first], dtype=np.int64)
+        qv = np.array([q["vector"] for q in first], dtype=np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, units = {}, {d: _unit(qv[:, :d]) for d in wanted if len(qid)}
+            for b in batches:
+                if b.num_rows:
+                    _keep_best(best, units, b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1), b.num_rows), k)
+            yield from _found(best, qid, key)
+
+        found = rows.mapInArrow(run, shape)
+    else:
+        blocks = -(-queries.count() // QUERY_BLOCK)
+        parts = max(1, -(-rows.count() * 4 * len(first[0]["vector"]) // ROW_BYTES))
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        left = queries.select("query_id", "vector", dealt("query_id", blocks).alias("__block"), numbers(parts).alias("__part"))
+        right = rows.select(key, vector, dealt(key, parts).alias("__part"), numbers(blocks).alias("__block"))
+
+        def meet(q: pa.Table, r: pa.Table) -> pa.Table:
+            out = []
+            if q.num_rows and r.num_rows:
+                ids, x = r.column(0).to_numpy(), _matrix(r.column(1).combine_chunks(), r.num_rows)
+                for at in range(0, q.num_rows, QUERY_BLOCK):
+                    some = q.slice(at, QUERY_BLOCK)
+                    qv, best = _matrix(some.column(1).combine_chunks(), some.num_rows), {}
+                    _keep_best(best, {d: _unit(qv[:, :d]) for d in wanted}, ids, x, k)
+                    out += _found(best, some.column(0).to_numpy(), key)
+            names = ["dimension", "query_id", key, "score"]
+            return pa.Table.from_batches(out, pa.schema(list(zip(names, (pa.int32(), pa.int64(), pa.int64(), pa.float64()), strict=True))))
+
+        found = left.groupBy("__block", "__part").cogroup(right.groupBy("__block", "__part")).applyInArrow(meet, shape)
     w = Window.partitionBy("dimension", "query_id").orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -332,8 +332,7 @@ def j10_missing_embeddings(spark, sf_dir):
 
 
 def _queries(spark, sf_dir, ids=(1, 3, 5)):
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*ids)).orderBy("vec_id").collect()
-    return [(r["vec_id"], list(r["embedding"])) for r in rows]
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 _COS = """u AS (SELECT vec_id, d, [x::DOUBLE FOR x IN embedding[1:d]] AS v FROM embeddings, (SELECT unnest([{dims}]) AS d)), n AS (SELECT vec_id, d, v, sqrt(list_sum([x * x FOR x IN v])) AS norm FROM u),
