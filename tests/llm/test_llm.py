@@ -217,6 +217,30 @@ def test_html_extraction():
         assert isinstance(html_text.main_text(odd), str)
 
 
+@pytest.mark.parametrize(("attrs", "shown"), [
+    ('class="overflow-hidden"', True), ('class="md:hidden flex"', True), ('aria-hidden="false"', True), ('data-title="hidden gems"', True), ('title="display: none"', True), ('data-hidden="1"', True),
+    ('hidden="until-found"', True), ("hidden", False), ('class="a" HIDDEN=""', False), ("aria-hidden=true", False), ('style="color: red; display: none"', False), ("style='visibility:hidden'", False),
+])
+def test_html_hidden_elements(attrs, shown):
+    body = "The cat of the house is in the garden and it was there with all the others for a long time."
+    assert html_text.main_text(f"<body><div {attrs}><article><p>{body}</p></article></div></body>") == body * shown
+    assert html_text.main_text(f"<article><p>a <span {attrs}>b</span></p></article>").split() == ["a", "b"][: 1 + shown]
+
+
+def test_html_pages_in_other_languages():
+    polish = "Wczoraj wieczorem mieszkańcy miasta spotkali się przy starym moście, żeby wspólnie obejrzeć pokaz świateł nad rzeką. " * 3
+    dutch = "Gisteren liepen veel bewoners van de stad langs het water omdat iedereen het nieuwe theater graag wilde bekijken. " * 3
+    japanese = "昨日の夕方、町の人々は古い橋のそばに集まり、川の上の光を一緒に眺めた。" * 8
+    english = "We use cookies and by this you are told that they help us and it is up to you to say no. "
+    for text in (polish, dutch, japanese):
+        page = f"<body><div><a href=x>{text}</a></div><div>{text}</div><div>{text}</div></body>"
+        assert html_text.main_text(page) == f"{text.strip()}\n{text.strip()}"
+    assert polish.strip() in html_text.main_text(f"<body><div>{polish * 3}</div><div>{english}</div></body>")
+    # a page in a known language still loses blocks without its stop words
+    known = "The cat of the house is in the garden and it was there with all the others for a long time. " * 3
+    assert html_text.main_text(f"<body><div>{known}</div><div>{'red green blue ' * 20}</div></body>") == known.strip()
+
+
 def test_html_column(spark):
     df = spark.createDataFrame([(1, None), (2, "<article><p>hello</p></article>")], "page_id long, html string").withColumn("text", F.lit(0)).withColumn("__x", F.lit(1))
     assert {r["page_id"]: r["text"] for r in html_text.extract(df).collect()} == {1: "", 2: "hello"}

@@ -37,7 +37,10 @@ _OUT_NAMES = re.compile(
 _OUTER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead|top|topbar)(?:$|[\s_-])", re.I)
 _MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post-?body|entry-?content|article-?body|story-?body|main-?content)(?:$|[\s_-])", re.I)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+_ANY_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: What an attribute string with a hiding attribute holds; others are not parsed.
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_HIDING_STYLE = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|svg|iframe|object|canvas|audio|video|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))"
@@ -55,6 +58,19 @@ class Block:
         self.text, self.linked, self.out, self.inside, self.heading = text, linked, out, inside, heading
 
 
+def _hidden(attrs: str) -> bool:
+    """The hidden attribute (but not until-found), aria-hidden with value true, or a style that hides."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    for name, value in _ANY_ATTR.findall(attrs):
+        name, value = name.lower(), value.strip("\"'").strip()
+        if name == "hidden" and not value.lower().startswith("until"):
+            return True
+        if name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDING_STYLE.search(value):
+            return True
+    return False
+
+
 def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
     """(never article, not article unless inside one, article)."""
     out, outer, main = tag in OUT_TAGS, tag in OUTER_TAGS, tag in MAIN_TAGS
@@ -64,7 +80,7 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
             main = main or bool(_MAIN_NAMES.search(names))
             out = out or not main and bool(_OUT_NAMES.search(names))
             outer = outer or bool(_OUTER_NAMES.search(names))
-        out = out or bool(_HIDDEN.search(attrs))
+        out = out or _hidden(attrs)
     return out, outer, main
 
 
@@ -108,7 +124,7 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if tag in INLINE or tag in VOID and tag != "hr":
-            if tag in INLINE and not m[2] and m[4] and not m[4].isspace() and _HIDDEN.search(m[4]) and tag == "span":
+            if tag in INLINE and not m[2] and m[4] and tag == "span" and _hidden(m[4]):
                 stack.append((tag, True, inside))
                 flush()
                 out = True
@@ -140,14 +156,24 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def classify(found: list[Block], short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.3, links: float = 0.25) -> list[bool]:
+def classify(found: list[Block], short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.3, links: float = 0.25, few: float = 0.1) -> list[bool]:
     """Two passes: rules for each block, then ambiguous ones take their nearest decided neighbours' label.
 
-    If any block stands in an article element, blocks outside are no article.
+    If any block stands in an article element, blocks outside are no article. Where under
+    ``few`` of the text of a page stands in blocks with enough stop words, its language is
+    taken for unknown, and length and links decide alone.
     """
     framed = any(b.inside and not b.out for b in found)
+    density: dict[int, float] = {}
+    known = total = 0
+    for i, b in enumerate([] if framed else found):
+        if not b.out and len(b.text) >= short and b.linked <= links * len(b.text):
+            words = _WORD.findall(b.text.lower())
+            density[i] = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+            known, total = known + len(b.text) * (density[i] >= low), total + len(b.text)
+    unknown = known < few * total
     label: list[bool | None] = []
-    for b in found:
+    for i, b in enumerate(found):
         n = len(b.text)
         if b.out or framed and not b.inside or "©" in b.text and n < long:
             label.append(False)
@@ -158,9 +184,7 @@ def classify(found: list[Block], short: int = 70, long: int = 200, low: float =
         elif n < short:
             label.append(False if b.linked else None)
         else:
-            words = _WORD.findall(b.text.lower())
-            density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            label.append((True if n > long else None) if density >= high else None if density >= low else False)
+            label.append((True if n > long else None) if unknown or density[i] >= high else None if density[i] >= low else False)
     if not any(label) and not framed:  # a page of short blocks only: the ambiguous ones are all there is
         return [x is None for x in label]
     n = len(label)
