@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vodmill.operators import library as L
 from vodmill.operators import vectors as V
 from vodmill.plans.catalog import QUERIES, SQL
+from vodmill.plans.library_queries import caption_files
 
 
 @pytest.mark.parametrize(("seconds", "interval", "frames"), [(30, 5, 6), (60, 5, 12), (61, 10, 7), (600, 10, 60), (601, 30, 21), (3600, 30, 120), (3601, 60, 61), (10800, 60, 180), (28800, 120, 240)])
@@ -107,3 +108,25 @@ def test_model_output_is_checked(spark):
 
 def test_registry():
     assert len(QUERIES) > 80 and set(SQL) <= set(QUERIES)
+
+
+def test_reports_and_captions_do_not_grow_with_the_table(spark, tmp_path):
+    import glob
+    import json
+
+    n, sf = 300_000, str(tmp_path)
+    spark.range(n).select(F.col("id").alias("l_orderkey"), F.lit(5).cast("long").alias("l_partkey"), (F.col("id") % 7).cast("double").alias("l_quantity")).write.parquet(f"{sf}/lineitem.parquet")
+    old = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/report-*"))
+    got = {r["report"]: (r["n"], r["views"]) for r in QUERIES["io2_read_report_json"](spark, sf).collect()}
+    assert got == {r: (n // 50, sum(i % 7 for i in range(r, n, 50))) for r in range(50)}
+    (path,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/report-*")) - old
+    reports = [json.load(open(f)) for f in glob.glob(f"{path}/*/part-*")]
+    assert sum(len(x["rows"]) for x in reports) == n and max(len(x["rows"]) for x in reports) <= 4096
+
+    turns = [(1, i, f"t{i}" if i // 1024 != 2 else " ") for i in range(5000)] + [(2, 0, "a  b")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").repartition(4).write.parquet(f"{sf}/conversations.parquet")
+    assert max(len(json.loads(r["json"])["events"]) for r in caption_files(spark, sf).collect()) <= 1024
+    texts = {r["stream_id"]: r["text"] for r in QUERIES["io4_caption_plain_text"](spark, sf).collect()}
+    stamp = lambda s: f"{s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}" if s >= 3600 else f"{s // 60:02d}:{s % 60:02d}"
+    assert texts == {1: "\n".join(f"{stamp(4 * i)} t{i}" for _, i, t in turns[:-1] if t != " "), 2: "00:00 a  b"}
+    assert QUERIES["io3_caption_json3"](spark, sf).count() == 5001 - 1024

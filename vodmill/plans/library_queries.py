@@ -18,12 +18,16 @@ seg AS (SELECT conv_id AS stream_id, turn AS event, turn * 4000 AS start_ms, tur
 """
 
 
+#: Turns of a conversation in a caption text, and orders in a report: either grows in number with the table, not in size.
+CAPTION_TURNS, REPORT_ORDERS = 1024, 4096
+
+
 def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON3 text per conversation: (stream_id, json)."""
+    """A JSON3 text per conversation and range of CAPTION_TURNS turns: (stream_id, chunk, json)."""
     c = table(spark, sf_dir, "conversations")
     event = F.struct((F.col("turn") * 4000).alias("tStartMs"), F.lit(4000).alias("dDurationMs"), F.array(F.struct(F.col("text").alias("utf8"))).alias("segs"))
-    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", event.alias("e")))).alias("x"))
-    return g.select(F.col("conv_id").alias("stream_id"), F.to_json(F.struct(F.col("conv_id").alias("stream"), F.transform("x", lambda x: x["e"]).alias("events"))).alias("json"))
+    g = c.groupBy("conv_id", F.floor(F.col("turn") / CAPTION_TURNS).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("turn", event.alias("e")))).alias("x"))
+    return g.select(F.col("conv_id").alias("stream_id"), "chunk", F.to_json(F.struct(F.col("conv_id").alias("stream"), F.transform("x", lambda x: x["e"]).alias("events"))).alias("json"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +48,10 @@ def io3_caption_json3(spark, sf_dir):
 @query(r"""WITH c AS (SELECT conv_id AS stream_id, turn, CASE WHEN turn * 4 >= 3600 THEN printf('%02d:%02d:%02d', turn * 4 // 3600, turn * 4 // 60 % 60, turn * 4 % 60) ELSE printf('%02d:%02d', turn * 4 // 60, turn * 4 % 60) END || ' ' || text AS line
  FROM conversations WHERE trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) <> '') SELECT stream_id, string_agg(line, chr(10) ORDER BY turn) AS text FROM c GROUP BY 1""")
 def io4_caption_plain_text(spark, sf_dir):
-    return caption_files(spark, sf_dir).select("stream_id", files.caption_plain_text(F.col("json")).alias("text"))
+    # the text of a stream is one row by definition; its captions are parsed by chunks
+    parts = caption_files(spark, sf_dir).select("stream_id", "chunk", files.caption_plain_text(F.col("json")).alias("text")).where("text != ''")
+    chunks = F.sort_array(F.collect_list(F.struct("chunk", "text")))
+    return parts.groupBy("stream_id").agg(F.array_join(F.transform(chunks, lambda x: x["text"]), "\n").alias("text"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS date, l_extendedprice AS revenue, l_quantity * 60 AS minutes FROM lineitem")
@@ -67,7 +74,7 @@ def io2_read_report_json(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     heads = F.array(*[F.struct(F.lit(n).alias("name")) for n in ("video", "views", "report")])
     row = F.array(F.col("l_partkey").cast("string"), F.col("l_quantity").cast("long").cast("string"), (F.col("l_orderkey") % 50).cast("string"))
-    g = li.groupBy((F.col("l_orderkey") % 50).alias("r")).agg(F.collect_list(row).alias("rows"))
+    g = li.groupBy(F.floor(F.col("l_orderkey") / REPORT_ORDERS).alias("r")).agg(F.collect_list(row).alias("rows"))
     path = scratch(spark, "report")
     g.select(F.to_json(F.struct(heads.alias("columnHeaders"), "rows")).alias("value"), "r").write.partitionBy("r").text(path)
     out = files.read_report_json(spark, path)
