@@ -1,13 +1,14 @@
 """Operator 7: SentencePiece encoding and decoding by a weighted finite-state transducer.
 
 The model file is compiled into three machines: the normaliser (dummy prefix, spaces to
-the mark), the pieces, and byte fallback for characters without a piece. Composed with
-an input they span a lattice; its tropical shortest path is the encoding.
-
-For a unigram model an arc weighs the negative score of its piece. The merges of a BPE
-model are no sum of scores: there every arc weighs nothing, and the transducer's state is
-the last piece, with an arc only to pieces that its merges would leave standing beside
-it. A prefix has one such path.
+the mark), the pieces as a tree of symbol arcs whose accepting states put out an id with
+a weight, and byte fallback for characters without a piece. Composed with an input they
+span a lattice of states (place, last piece); its tropical shortest path is the encoding.
+
+For a unigram model an arc weighs the negative score of its piece, and the last piece is
+no part of a state. The merges of a BPE model are no sum of scores: there every arc weighs
+nothing, and a filter lets an arc follow only a piece that the merges would leave
+standing beside its own. The start is followed by any piece that its own merges make.
 Pieces with a mark inside hold nothing but marks, so a run of marks and the text up to
 the next one is encoded alone and remembered.
 """
@@ -15,6 +16,7 @@ the next one is encoded alone and remembered.
 from __future__ import annotations
 
 import functools
+import heapq
 from collections.abc import Iterator
 from struct import pack
 
@@ -27,6 +29,8 @@ from .common import short_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, UNUSED, BYTE = 1, 2, 5, 6
+OUT = ""  # no symbol: what an accepting state puts out
+START = -(1 << 40)  # stands for the last piece before the first
 
 
 class Transducer:
@@ -43,17 +47,16 @@ class Transducer:
         self.prefix = bool(spec.add_dummy_prefix)
         self.bpe = model.trainer_spec.model_type == 2
         self.pieces = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
+        self.names = [p.piece for p in model.pieces]
         self.score = [p.score for p in model.pieces]
         self.byte = [0] * 256
         for i, p in enumerate(model.pieces):
             if p.type == BYTE:
                 self.byte[int(p.piece[3:5], 16)] = i
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
-        self.longest = max(map(len, self.pieces))
-        #: The longest piece that begins with a character.
-        self.reach: dict[str, int] = {}
-        for x in self.pieces:
-            self.reach[x[0]] = max(len(x), self.reach.get(x[0], 1))
+        #: Below every score: what a character without a piece weighs in a unigram model.
+        self.low = min(p.score for p in model.pieces if p.type == NORMAL) - 10
+        self.root = self._tree()
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece reaches over a word's end")
         self.surface = [
@@ -62,89 +65,109 @@ class Transducer:
         ]
         self.split = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         self.words: dict[str, bytes] = {}
-        self.beside: dict[tuple[str, str], bool] = {}
+        self.beside: dict[tuple[int, int], bool] = {}
         self.remembered = remembered
+        self.directly = 0  # words that the lattice had no path for
+
+    def _tree(self) -> dict:
+        """The pieces' machine: arcs by symbol; under OUT an accepting state has (id, weight)."""
+        root: dict = {}
+        for piece, k in self.pieces.items():
+            state = root
+            for c in piece:
+                state = state.setdefault(c, {})
+            state[OUT] = (k, 0.0 if self.bpe else -self.score[k])
+        return root
 
     def merged(self, text: str) -> list[str]:
-        """The pieces that the merge rules leave of a short text: best score first, leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.pieces.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.score[k] > best):
-                    best, at = self.score[k], i
-            if at < 0:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _arc(self, last: str, piece: str) -> bool:
-        """Whether the merges leave ``last`` and ``piece`` side by side."""
-        key = (last, piece)
-        known = self.beside.get(key)
+        """The pieces that the merge rules leave of a text: best score first, leftmost of equals."""
+        parts: list[str | None] = list(text)
+        right = [*range(1, len(parts)), -1]
+        left = [-1, *range(len(parts) - 1)]
+        waiting: list[tuple[float, int, int, str]] = []
+
+        def offer(i: int, j: int) -> None:
+            k = self.pieces.get(parts[i] + parts[j])
+            if k is not None:
+                heapq.heappush(waiting, (-self.score[k], i, j, parts[i] + parts[j]))
+
+        for i in range(len(parts) - 1):
+            offer(i, i + 1)
+        while waiting:
+            _, i, j, both = heapq.heappop(waiting)
+            if parts[i] is None or parts[j] is None or right[i] != j or parts[i] + parts[j] != both:
+                continue
+            parts[i], parts[j] = both, None
+            right[i] = right[j]
+            if right[i] >= 0:
+                left[right[i]] = i
+                offer(i, right[i])
+            if left[i] >= 0:
+                offer(left[i], i)
+        return [p for p in parts if p is not None]
+
+    def _follows(self, last: int, k: int) -> bool:
+        """The arc filter: whether the merges leave pieces ``last`` and ``k`` side by side; START is no piece."""
+        known = self.beside.get((last, k))
         if known is None:
-            known = self.beside[key] = self.merged(last + piece) == [last, piece]
+            two = [self.names[x] for x in (last, k) if x != START]
+            known = self.beside[(last, k)] = self.merged("".join(two)) == two
         return known
 
-    def _path(self, word: str) -> list[str]:
-        """Shortest path through the lattice of one word.
-
-        BPE arcs weigh nothing, so the first path to the end is a shortest one: the search
-        takes longer pieces first and never enters a dead state (place, last piece) twice.
+    def _arcs(self, word: str, at: int) -> list[tuple[int, int, float]]:
+        """(place, id, weight) of the composed machine's arcs from a place; a character without a piece is -1 less its code point."""
+        state, end, n, arcs = self.root, at, len(word), []
+        while end < n and (state := state.get(word[end])) is not None:
+            end += 1
+            if OUT in state:
+                arcs.append((end, *state[OUT]))
+        if not arcs or arcs[0][0] > at + 1:
+            arcs.append((at + 1, -1 - ord(word[at]), 0.0 if self.bpe else -self.low))
+        return arcs
+
+    def _path(self, word: str) -> list[int] | None:
+        """Shortest path through the lattice of one word, as ids.
+
+        The cheapest arc goes first and of equals the one that reaches farthest, so a state
+        is settled when it is first met. No merge reaches over a character without a piece,
+        so any piece may stand beside it.
         """
-        n = len(word)
-        pieces, longest = self.pieces, self.longest
-        if self.bpe:
-            reach, beside = self.reach, self.beside
-            out: list[str] = []
-            dead = set()
-            at, last, tries = 0, "", [min(n, reach.get(word[0], 1))]
-            while at < n:
-                for size in range(tries[-1], 0, -1):
-                    piece = word[at:at + size]
-                    if size > 1 and piece not in pieces:
-                        continue
-                    fits = beside.get((last, piece))
-                    if (self._arc(last, piece) if fits is None else fits) and (not dead or (at + size, piece) not in dead):
-                        tries[-1] = size - 1
-                        out.append(piece)
-                        last = piece
-                        at += size
-                        if at < n:
-                            tries.append(min(n - at, reach.get(word[at], 1)))
-                        break
-                else:
-                    if not out:  # no path: the merges of this word are not local
-                        return self.merged(word)
-                    tries.pop()
-                    gone = out.pop()
-                    dead.add((at, gone))
-                    at -= len(gone)
-                    last = out[-1] if out else ""
-            return out
-        cost, step = [0.0] + [float("inf")] * n, [""] * (n + 1)
-        low = min(self.score) - 10
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                piece = word[i:j]
-                k = pieces.get(piece)
-                if k is None and j - i > 1:
+        n, bpe, beside, push, pop = len(word), self.bpe, self.beside, heapq.heappush, heapq.heappop
+        settled: dict[tuple[int, int], tuple[int, int, int]] = {}
+        waiting = [(0.0, 0, 0, START, START)]  # cost, less the place reached, place left, last piece there, piece
+        while waiting:
+            cost, to, at, last, k = pop(waiting)
+            to = -to
+            if bpe and k >= 0 and (last >= 0 or last == START):
+                fits = beside.get((last, k))
+                if not (self._follows(last, k) if fits is None else fits):
                     continue
-                c = cost[i] - (self.score[k] if k is not None else low)
-                if c < cost[j]:
-                    cost[j], step[j] = c, piece
-        out = []
-        while n:
-            out.append(step[n])
-            n -= len(step[n])
-        return out[::-1]
+            here = (to, k if bpe else 0)
+            if here in settled:
+                continue
+            settled[here] = (at, last, k)
+            if to == n:
+                out = []
+                while to:
+                    at, last, k = settled[here]
+                    out.append(k)
+                    to, here = at, (at, last if bpe or not at else 0)
+                return out[::-1]
+            for end, piece, weight in self._arcs(word, to):
+                push(waiting, (cost + weight, -end, to, k, piece))
+        return None
 
     def _word(self, word: str) -> bytes:
-        ids = []
-        for p in self._path(word):
-            k = self.pieces.get(p)
-            ids += [k] if k is not None else [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
+        path = self._path(word)
+        if path is None:  # merges that no pair of neighbours tells
+            self.directly += 1
+            path = [self.pieces.get(p, -1 - ord(p[0])) for p in self.merged(word)]
+        ids: list[int] = []
+        for k in path:
+            if k >= 0:
+                ids.append(k)
+            else:
+                ids += [self.byte[b] for b in chr(-1 - k).encode("utf-8", "surrogatepass")]
         return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
