@@ -1,9 +1,10 @@
 """Operator 6: token counts, with overlap resynchronisation for huge documents.
 
 A pre-token of this vocabulary never crosses white space, and the library encodes each
-one alone, so counts of pre-tokens add up. Ordinary texts in Latin script are counted
-by looking pre-tokens up in a bounded memory of library results; all other texts go to
-the library whole, and texts above ``chunk`` characters in overlapping chunks.
+one alone, so counts of pre-tokens add up. Texts above ``chunk`` characters go to the
+library in overlapping chunks, which are spliced where both agree. Of shorter ones those
+in Latin script are counted by looking pre-tokens up in a bounded memory of library
+results, the others go to the library whole.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import short_batches
 
+#: Characters above which a text is encoded in chunks, and the first width of their overlap.
+CHUNK, OVERLAP = 8_192, 256
 
 class Counter:
     """Counts tokens as ``tokenizers`` does for one vocabulary file, without special tokens added."""
@@ -26,7 +29,7 @@ class Counter:
     PLAIN = "ɐ"
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, chunk: int = 65_536, overlap: int = 1_024, remembered: int = 400_000):
+    def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP, remembered: int = 400_000):
         import json
 
         import regex
@@ -43,6 +46,7 @@ class Counter:
         self.known = json.dumps(self.PATTERN)[1:-1] in pre and "NFC" in norm and "Lowercase" in norm
         self.chunk, self.overlap, self.remembered = chunk, overlap, remembered
         self.memory: dict[str, int] = {}
+        self.splices = self.widened = 0
 
     def one(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False))
@@ -94,43 +98,47 @@ class Counter:
         reaches across) and both chunks agree on every token from there to the end of
         the overlap. Where an overlap has none, it is widened, at last to the rest of the text.
         """
-        total, start, skip = 0, 0, 0  # the chunk begins at start; tokens before text position skip are counted already
-        enc = self.library.encode(text[:self.chunk], add_special_tokens=False)
-        end = min(len(text), self.chunk)
-        while True:
-            spans = [(a + start, b + start) for a, b in enc.offsets]
-            if end == len(text):
-                return total + sum(a >= skip for a, _ in spans)
+        total, skip = 0, 0  # tokens before text position skip are counted already
+        start, end = 0, min(len(text), self.chunk)
+        ids, places = self._chunk(text, start, end)
+        while end < len(text):
             width = self.overlap
             while True:
                 begin = max(start, end - width)
-                following_end = min(len(text), begin + max(self.chunk, 2 * width))
-                following = self.library.encode(text[begin:following_end], add_special_tokens=False)
-                at = self._common(text, enc, start, following, begin, end, skip)
+                beyond = min(len(text), begin + max(self.chunk, 2 * width))
+                next_ids, next_places = self._chunk(text, begin, beyond)
+                at = self._common(text, ids, places, next_ids, next_places, begin, end, skip)
                 if at is not None:
-                    total += sum(skip <= a < at for a, _ in spans)
-                    skip, start, end, enc = at, begin, following_end, following
+                    total += sum(skip <= p < at for p in places)
+                    skip, start, end, ids, places = at, begin, beyond, next_ids, next_places
+                    self.splices += 1
                     break
                 if begin == start:  # no stable boundary in this chunk at all: take it longer
                     end = min(len(text), start + 2 * (end - start))
-                    enc = self.library.encode(text[start:end], add_special_tokens=False)
+                    ids, places = self._chunk(text, start, end)
                     break
                 width *= 2
+                self.widened += 1
+        return total + sum(p >= skip for p in places)
+
+    def _chunk(self, text: str, start: int, end: int) -> tuple[list[int], list[int]]:
+        """(ids, places in the text) of a chunk's tokens."""
+        enc = self.library.encode(text[start:end], add_special_tokens=False)
+        return enc.ids, [a + start for a, _ in enc.offsets]
 
     @staticmethod
-    def _common(text: str, one, at_one: int, two, at_two: int, end: int, skip: int) -> int | None:
-        first = {a + at_one: i for i, (a, _) in enumerate(one.offsets)}
-        for j, (a, _) in enumerate(two.offsets):
-            p = a + at_two
+    def _common(text: str, ids: list[int], places: list[int], next_ids: list[int], next_places: list[int], begin: int, end: int, skip: int) -> int | None:
+        first = {p: i for i, p in enumerate(places)}
+        for j, p in enumerate(next_places):
             if p >= end:
                 return None
-            if p <= max(at_two, skip) or p not in first or not text[p - 1].isspace() or unicodedata.combining(text[p]):
+            if p <= max(begin, skip) or p not in first or not text[p - 1].isspace() or unicodedata.combining(text[p]):
                 continue
             # tokens up to the last white space before the end of the first chunk must agree
             i, k = first[p], j
-            last = max((q for q in range(end - 1, p, -1) if text[q].isspace()), default=p)
-            while i < len(one.ids) and one.offsets[i][0] + at_one < last:
-                if k >= len(two.ids) or one.ids[i] != two.ids[k]:
+            last = next((q for q in range(end - 1, p, -1) if text[q].isspace()), p)
+            while i < len(ids) and places[i] < last:
+                if k >= len(next_ids) or ids[i] != next_ids[k]:
                     break
                 i, k = i + 1, k + 1
             else:
@@ -144,7 +152,7 @@ def counter_for(path: str, chunk: int) -> Counter:
     return Counter(path, chunk)
 
 
-def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens", chunk: int = 65_536) -> DataFrame:
+def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens", chunk: int = CHUNK) -> DataFrame:
     """Adds ``out``: the token count of each whole text; a NULL or empty text counts 0.
 
     Rows are independent; other columns pass through, ``out`` is replaced where it exists.
