@@ -1,4 +1,12 @@
-"""Operator 5: main text of HTML pages by two-pass block rules."""
+"""Operator 5: main text of HTML pages by two-pass block rules.
+
+A scanner that looks at each character once cuts the page into blocks. The first pass
+judges each block by its length, the share of its text in links and the density of stop
+words; what these leave open takes the label of the nearest blocks that they decide.
+Names of elements and attributes are hints: they take navigation, forms, notices and
+comments out, and where an article element holds most of what the rules accept, the
+rules ask less of its blocks and the rest of the page is no article.
+"""
 
 from __future__ import annotations
 
@@ -36,17 +44,15 @@ _OUT_NAMES = re.compile(
     r"pagination|pager|legal|copyright|disclaimer)(?:$|[\s_-])", re.I)
 _OUTER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead|top|topbar)(?:$|[\s_-])", re.I)
 _MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post-?body|entry-?content|article-?body|story-?body|main-?content)(?:$|[\s_-])", re.I)
-_ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_ANY_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-#: What an attribute string with a hiding attribute holds; others are not parsed.
-_MAY_HIDE = re.compile(r"hidden|display", re.I)
 _HIDING_STYLE = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|svg|iframe|object|canvas|audio|video|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I)
+#: Elements whose content is no text: skipped to their end tag, or to the page's end where browsers do so.
+RAW = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>", re.I) for t in ("script", "style", "noscript", "svg", "iframe", "object", "canvas", "audio", "video", "math")}
+_SWALLOWS = frozenset(["script", "style"])
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR_NAME = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)\s*(=?)\s*")
+_BARE = re.compile(r"[^\s>]*")
+_GAP = re.compile(r"[\s/]*")
+_NOTED = frozenset(["class", "id", "role", "itemprop"])
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -58,157 +64,267 @@ class Block:
         self.text, self.linked, self.out, self.inside, self.heading = text, linked, out, inside, heading
 
 
-def _hidden(attrs: str) -> bool:
+class Scanner:
+    """Cuts a page into texts and tags in one pass: what was once looked for in vain is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.gone = page, set()
+
+    def _find(self, what, at: int) -> int:
+        """End of the next ``what`` (a string or a pattern) from ``at``, -1 for none."""
+        if what in self.gone:
+            return -1
+        if isinstance(what, str):
+            i = self.page.find(what, at)
+            i = i + len(what) if i >= 0 else -1
+        else:
+            m = what.search(self.page, at)
+            i = m.end() if m else -1
+        if i < 0:
+            self.gone.add(what)
+        return i
+
+    def _attributes(self, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+        """(names with values, whether a slash ends the tag, place after the tag; -1 for a tag without an end)."""
+        page, found = self.page, []
+        while True:
+            gap = _GAP.match(page, at)
+            if gap.end() >= len(page):
+                return found, False, -1
+            if page[gap.end()] == ">":
+                return found, "/" in gap[0], gap.end() + 1
+            m = _ATTR_NAME.match(page, at)
+            at, value = m.end(), ""
+            if m[2]:
+                quote = page[at:at + 1]
+                end = self._find(quote, at + 1) if quote in ("'", '"') else -1
+                if end > 0:
+                    value, at = page[at + 1:end - 1], end
+                else:  # no quotes, or never closed
+                    bare = _BARE.match(page, at)
+                    value, at = bare[0], bare.end()
+            found.append((m[1].lower(), value))
+
+    def parts(self) -> Iterator[tuple]:
+        """("text", text), ("open", tag, attributes, slash) and ("close", tag) in page order."""
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            lt = page.find("<", at)
+            if lt < 0:
+                yield "text", page[at:]
+                return
+            if lt > at:
+                yield "text", page[at:lt]
+            if page.startswith("<!--", lt):
+                end = self._find("-->", lt + 2)
+                at = end if end > 0 else n
+            elif page.startswith(("<!", "<?"), lt):
+                end = self._find(">", lt)
+                at = end if end > 0 else n
+            else:
+                close = page.startswith("/", lt + 1)
+                name = _NAME.match(page, lt + 2 if close else lt + 1)
+                if not name:
+                    yield "text", "<"
+                    at = lt + 1
+                    continue
+                attributes, slash, end = self._attributes(name.end())
+                if end < 0:  # a tag that never ends shows nothing
+                    return
+                at, tag = end, name[0].lower()
+                if close:
+                    yield "close", tag
+                elif tag in RAW:
+                    if not (slash and tag in ("svg", "math")):
+                        end = self._find(RAW[tag], at)
+                        at = end if end > 0 else n if tag in _SWALLOWS else at
+                else:
+                    yield "open", tag, attributes, slash
+
+
+def _hidden(attributes: list[tuple[str, str]]) -> bool:
     """The hidden attribute (but not until-found), aria-hidden with value true, or a style that hides."""
-    if not _MAY_HIDE.search(attrs):
-        return False
-    for name, value in _ANY_ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").strip()
-        if name == "hidden" and not value.lower().startswith("until"):
+    for name, value in attributes:
+        value = value.strip().lower()
+        if name == "hidden" and not value.startswith("until"):
             return True
-        if name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDING_STYLE.search(value):
+        if name == "aria-hidden" and value == "true" or name == "style" and _HIDING_STYLE.search(value):
             return True
     return False
 
 
-def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+def _marks(tag: str, attributes: list[tuple[str, str]]) -> tuple[bool, bool, bool]:
     """(never article, not article unless inside one, article)."""
     out, outer, main = tag in OUT_TAGS, tag in OUTER_TAGS, tag in MAIN_TAGS
-    if attrs and tag not in ("html", "body"):
-        names = " ".join(m[1].strip("\"'") for m in _ATTR.findall(attrs))
+    if attributes and tag not in ("html", "body"):
+        names = " ".join(v for k, v in attributes if k in _NOTED)
         if names:
             main = main or bool(_MAIN_NAMES.search(names))
             out = out or not main and bool(_OUT_NAMES.search(names))
             outer = outer or bool(_OUTER_NAMES.search(names))
-        out = out or _hidden(attrs)
+        out = out or _hidden(attributes)
     return out, outer, main
 
 
-def blocks(page: str) -> list[Block]:
+class Builder:
     """Text blocks in page order. Unclosed elements end with their parent."""
-    found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, out, inside an article
-    parts: list[str] = []
-    linked: list[str] = []
-    in_link = heading = out = inside = False
-
-    def flush() -> None:
-        nonlocal heading
-        if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+
+    def __init__(self) -> None:
+        self.found: list[Block] = []
+        self.stack: list[tuple[str, bool, bool]] = []  # tag, out, inside an article
+        self.open: dict[str, int] = {}  # how many of a tag are open
+        self.parts: list[str] = []
+        self.linked: list[str] = []
+        self.link = -1  # depth at which a link was opened
+        self.heading = self.out = self.inside = False
+
+    def flush(self) -> None:
+        if self.parts:
+            text = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
             if text:
-                found.append(Block(text, len(_SPACE.sub(" ", html.unescape("".join(linked))).strip()), out, inside, heading))
-            parts.clear()
-            linked.clear()
-
-    def pop_to(i: int) -> None:
-        nonlocal out, inside
-        del stack[i:]
-        out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at:m.start()]
-            parts.append(piece)
-            if in_link:
-                linked.append(piece)
-        at = m.end()
-        tag = m[3]
-        if not tag:
-            continue
-        tag = tag.lower()
-        if tag == "a":
-            in_link = not m[2]
+                linked = len(_SPACE.sub(" ", html.unescape("".join(self.linked))).strip())
+                self.found.append(Block(text, linked, self.out, self.inside, self.heading))
+            self.parts.clear()
+            self.linked.clear()
+
+    def text(self, piece: str) -> None:
+        self.parts.append(piece)
+        if self.link >= 0:
+            self.linked.append(piece)
+
+    def push(self, tag: str, out: bool, inside: bool) -> None:
+        self.stack.append((tag, out, inside))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.out, self.inside = out, inside
+
+    def pop(self) -> None:
+        self.open[self.stack.pop()[0]] -= 1
+        self.out, self.inside = self.stack[-1][1:] if self.stack else (False, False)
+        if self.link > len(self.stack):
+            self.link = -1
+
+    def opened(self, tag: str, attributes: list[tuple[str, str]], slash: bool) -> None:
         if tag == "br":
-            parts.append(" ")
-            continue
-        if tag in INLINE or tag in VOID and tag != "hr":
-            if tag in INLINE and not m[2] and m[4] and tag == "span" and _hidden(m[4]):
-                stack.append((tag, True, inside))
-                flush()
-                out = True
-            elif m[2] and stack and stack[-1][0] == tag:
-                flush()
-                pop_to(len(stack) - 1)
-            continue
-        flush()
-        in_link = False
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-            heading = False
-            continue
-        if stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            pop_to(len(stack) - 1)
-        elif tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-            pop_to(len(stack) - 1)
-        heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-        never, outer, main = _marks(tag, m[4].strip())
-        out = out or never or outer and not inside
-        inside = inside or main and not out
-        if tag not in VOID and not m[4].endswith("/"):
-            stack.append((tag, out, inside))
-    parts.append(page[at:])
-    flush()
-    return found
-
-
-def classify(found: list[Block], short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.3, links: float = 0.25, few: float = 0.1) -> list[bool]:
-    """Two passes: rules for each block, then ambiguous ones take their nearest decided neighbours' label.
-
-    If any block stands in an article element, blocks outside are no article. Where under
-    ``few`` of the text of a page stands in blocks with enough stop words, its language is
-    taken for unknown, and length and links decide alone.
+            self.text(" ")
+        elif tag == "a":
+            self.link = len(self.stack)
+        elif tag in INLINE or tag in VOID and tag != "hr":
+            if tag == "span" and _hidden(attributes):
+                self.flush()
+                self.push(tag, True, self.inside)
+        else:
+            self.flush()
+            if self.stack and self.stack[-1][0] in _CLOSED_BY_ANY or self.stack and self.stack[-1][0] == tag and tag in _CLOSED_BY_SAME:
+                self.pop()
+            self.heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+            never, outer, main = _marks(tag, attributes)
+            out = self.out or never or outer and not self.inside
+            if tag not in VOID and not slash:
+                self.push(tag, out, self.inside or main and not out)
+
+    def closed(self, tag: str) -> None:
+        if tag == "a":
+            self.link = -1
+        elif tag in INLINE:
+            if self.stack and self.stack[-1][0] == tag:
+                self.flush()
+                self.pop()
+        elif tag not in VOID:
+            self.flush()
+            self.heading = False
+            if self.open.get(tag):
+                while self.stack[-1][0] != tag:
+                    self.pop()
+                self.pop()
+
+
+_CLOSED_BY_ANY = frozenset("p h1 h2 h3 h4 h5 h6".split())
+_CLOSED_BY_SAME = frozenset("li td th tr dt dd option".split())
+
+
+def blocks(page: str) -> list[Block]:
+    made = Builder()
+    for part in Scanner(page).parts():
+        if part[0] == "text":
+            made.text(part[1])
+        elif part[0] == "open":
+            made.opened(*part[1:])
+        else:
+            made.closed(part[1])
+    made.flush()
+    return made.found
+
+
+def decide(
+    found: list[Block], short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.3, links: float = 0.25, few: float = 0.1, bulk: float = 0.5,
+) -> list[tuple[bool, str]]:
+    """(article, the rule that says so) for each block, in two passes.
+
+    First, by block: ``outside`` (elements that never hold article text), ``links`` (over
+    ``links`` of the text is linked), ``density`` (``short`` characters or more: many stop
+    words and a length over ``long`` accept, few stop words reject). Where under ``few``
+    of a page's text stands in blocks with enough stop words, its language is taken for
+    unknown, and ``length`` decides alone. Where the accepted text of article elements is
+    at least ``bulk`` of all accepted text, or there is no other, they frame the page: other
+    blocks go (``frame``), and inside blocks are not rejected for few stop words and may
+    be linked up to 0.6.
+    Second, blocks still open take their nearest decided neighbours' label (``neighbours``);
+    those outside or out of the frame tell nothing, and headings take that of the block
+    below. Without any accepted block all open ones are accepted (``short page``).
     """
-    framed = any(b.inside and not b.out for b in found)
     density: dict[int, float] = {}
     known = total = 0
-    for i, b in enumerate([] if framed else found):
-        if not b.out and len(b.text) >= short and b.linked <= links * len(b.text):
+    for i, b in enumerate(found):
+        if not b.out and len(b.text) >= short and b.linked <= 0.6 * len(b.text):
             words = _WORD.findall(b.text.lower())
             density[i] = sum(w in STOP_WORDS for w in words) / max(1, len(words))
             known, total = known + len(b.text) * (density[i] >= low), total + len(b.text)
     unknown = known < few * total
-    label: list[bool | None] = []
-    for i, b in enumerate(found):
-        n = len(b.text)
-        if b.out or framed and not b.inside or "©" in b.text and n < long:
-            label.append(False)
-        elif b.linked > (0.6 if b.inside else links) * n:
-            label.append(False)
-        elif b.inside:
-            label.append(True)
-        elif n < short:
-            label.append(False if b.linked else None)
-        else:
-            label.append((True if n > long else None) if unknown or density[i] >= high else None if density[i] >= low else False)
-    if not any(label) and not framed:  # a page of short blocks only: the ambiguous ones are all there is
-        return [x is None for x in label]
+
+    def judged(i: int, b: Block, framed: bool) -> tuple[bool | None, str]:
+        n, inner = len(b.text), framed and b.inside
+        if b.out:
+            return False, "outside"
+        if framed and not b.inside:
+            return False, "frame"
+        if b.linked > (0.6 if inner else links) * n or n < short and b.linked and not inner:
+            return False, "links"
+        if n < short:
+            return None, ""
+        if unknown:
+            return (True, "length") if n > long else (None, "")
+        if density[i] >= (low if inner else high) and n > (short if inner else long):
+            return True, "density"
+        return (None, "") if inner or density[i] >= low else (False, "density")
+
+    plain = [judged(i, b, False) for i, b in enumerate(found)]
+    inside = sum(len(b.text) for i, b in enumerate(found) if b.inside and judged(i, b, True)[0])
+    around = sum(len(b.text) for b, (good, _) in zip(found, plain, strict=True) if good and not b.inside)
+    framed = any(b.inside and not b.out for b in found) and inside >= bulk * (inside + around)
+    label = [judged(i, b, True) for i, b in enumerate(found)] if framed else plain
+    if not any(good for good, _ in label):  # a page of short blocks only: the open ones are all there is
+        return [(good is None, why or "short page") for good, why in label]
     n = len(label)
-    before, after = [None] * n, [None] * n
-    last = None
-    for i in range(n):
-        last = (i, label[i]) if label[i] is not None else last
-        before[i] = last
-    last = None
-    for i in range(n - 1, -1, -1):
-        last = (i, label[i]) if label[i] is not None else last
-        after[i] = last
+    before: list[tuple[int, bool] | None] = [None] * n
+    after: list[tuple[int, bool] | None] = [None] * n
+    for side, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
+        last = None
+        for i in order:
+            good, why = label[i]
+            if good is not None and why not in ("frame", "outside"):
+                last = (i, good)
+            side[i] = last
     decided = []
-    for i in range(n):
-        if label[i] is not None:
-            decided.append(label[i])
-            continue
+    for i, (good, why) in enumerate(label):
         a, b = before[i], after[i]
-        if found[i].heading:
-            decided.append(bool(b and b[1]))
+        if good is not None:
+            decided.append((good, why))
+        elif found[i].heading:
+            decided.append((b[1] if b else framed, "neighbours"))
         elif a and b:
-            decided.append(a[1] if a[1] == b[1] else a[1] if i - a[0] <= b[0] - i else b[1])
+            decided.append((a[1] if i - a[0] <= b[0] - i else b[1], "neighbours"))
         else:
-            decided.append(bool((a or b) and (a or b)[1]))
+            decided.append((bool((a or b) and (a or b)[1]), "neighbours"))
     return decided
 
 
@@ -216,7 +332,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    return "\n".join(b.text for b, good in zip(found, classify(found), strict=True) if good)
+    return "\n".join(b.text for b, (good, _) in zip(found, decide(found), strict=True) if good)
 
 
 def extract(df: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
