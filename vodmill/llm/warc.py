@@ -1,11 +1,13 @@
 """Operator 2: WARC archives as a PySpark Python data source.
 
 Writing: each task writes its own gzip-per-record file; the commit writes a manifest of
-the files of successful attempts with places where a reader may start. Reading: a
-partition per manifest range (or per file of a foreign archive); predicates on the
-record type, digest, date, URI and record id are pushed down and tested on the headers;
-blocks of records that fail, or of all records where ``payload`` is false, are
-decompressed past but never parsed into payloads.
+the files of successful attempts with places where a reader may start, and beside each
+file lies an index of its records' places and headers. Reading: a partition per manifest
+range; archives from elsewhere (``.warc.gz``, ``.warc``) are cut into ranges that begin at
+the next gzip member, plain ones are a partition each. Predicates on the record type,
+digest, date, URI and record id are pushed down. With an index the reader goes from one
+wanted record to the next and, where ``payload`` is false, opens no record at all; without
+one it tests the headers and passes over blocks that fail.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ SCHEMA = (
 #: What the writer takes, in this order.
 WRITE_SCHEMA = "record_id string, record_type string, date string, target_uri string, payload_digest string, refers_to string, payload binary"
 MANIFEST = "_manifest.json"
+INDEX = ".index"
 #: Compressed bytes after which a reader's range ends at the next record.
 RANGE_BYTES = 16 << 20
 _FIELDS = {
@@ -89,15 +92,19 @@ class WarcWriter(DataSourceArrowWriter):
         name = f"part-{uuid.uuid4().hex}.warc.gz"  # a repeated attempt never meets another's file
         at, starts = 0, [0]
         with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
-            for b in iterator:
-                for i in range(b.num_rows):
-                    row = {c: b.column(k)[i].as_py() for k, c in enumerate(b.schema.names)}
-                    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    data = packer.compress(record(row)) + packer.flush()
-                    if at - starts[-1] >= RANGE_BYTES:
-                        starts.append(at)
-                    out.write(data)
-                    at += len(data)
+            with fs.open_output_stream(f"{base}/{name}{INDEX}", compression="gzip") as index:
+                for b in iterator:
+                    for i in range(b.num_rows):
+                        row = {c: b.column(k)[i].as_py() for k, c in enumerate(b.schema.names)}
+                        whole = record(row)
+                        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                        data = packer.compress(whole) + packer.flush()
+                        if at - starts[-1] >= RANGE_BYTES:
+                            starts.append(at)
+                        out.write(data)
+                        head = whole[:whole.index(b"\r\n\r\n") + 4].decode()
+                        index.write(json.dumps([at, head]).encode() + b"\n")
+                        at += len(data)
         return Written(name, starts, at)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -112,6 +119,7 @@ class WarcWriter(DataSourceArrowWriter):
         for m in messages:
             if m:
                 fs.delete_file(f"{base}/{m.name}")
+                fs.delete_file(f"{base}/{m.name}{INDEX}")
 
 
 @dataclass
@@ -124,6 +132,30 @@ class Range(InputPartition):
         self.file, self.start, self.end = file, start, end
 
 
+def _next_member(stream, limit: int | None) -> int | None:
+    """The place, from where ``stream`` stands, of the next gzip member that holds a record; None beyond ``limit``."""
+    held, at = b"", 0
+    while limit is None or at < limit:
+        i = held.find(b"\x1f\x8b\x08")
+        if i >= 0 and len(held) - i >= 1 << 16 or i >= 0 and not (more := stream.read(1 << 18)):
+            try:
+                if zlib.decompressobj(31).decompress(held[i:i + (1 << 16)], 5) == b"WARC/":
+                    return at + i if limit is None or at + i < limit else None
+            except zlib.error:
+                pass
+            held, at = held[i + 1:], at + i + 1
+            continue
+        if i < 0:
+            more = stream.read(1 << 18)
+            keep = held[-2:] if more else b""
+            at += len(held) - len(keep)
+            held = keep
+        if not more:
+            return None
+        held += more
+    return None
+
+
 def _members(stream, limit: int | None) -> Iterator[Iterator[bytes]]:
     """The decompressed data of each gzip member that begins before ``limit`` bytes."""
     held, done = b"", 0
@@ -135,22 +167,21 @@ def _members(stream, limit: int | None) -> Iterator[Iterator[bytes]]:
         while len(held) < 2 and (more := stream.read(1 << 18)):  # a read may end between the two bytes of the magic
             held += more
         if held[:2] != b"\x1f\x8b":
-            raise ValueError("not a gzip-per-record archive")
+            raise ValueError("not a gzip archive")
         unpack = zlib.decompressobj(31)
 
         def data():
             nonlocal held, done
             while True:
                 n = len(held)
-                out = unpack.decompress(held)
-                held = unpack.unused_data if unpack.eof else b""
+                out = unpack.decompress(held, 1 << 20)
+                held = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
                 done += n - len(held)
                 if out:
                     yield out
                 if unpack.eof:
                     return
-                held = stream.read(1 << 18)
-                if not held:
+                if not held and not (held := stream.read(1 << 18)):
                     raise EOFError("archive ends inside a record")
 
         chunks = data()
@@ -159,17 +190,59 @@ def _members(stream, limit: int | None) -> Iterator[Iterator[bytes]]:
             pass
 
 
-def _header(chunks: Iterator[bytes]) -> tuple[dict, bytes]:
-    """The header fields of a record, lower-cased, and the first bytes of its block."""
-    got = b""
-    while b"\r\n\r\n" not in got:
-        got += next(chunks)
-    head, _, rest = got.partition(b"\r\n\r\n")
+def _plain(stream) -> Iterator[Iterator[bytes]]:
+    """An archive without compression, as one member."""
+    yield iter(lambda: stream.read(1 << 18), b"")
+
+
+class Records:
+    """The records of one member: a member may hold several."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held = chunks, b""
+
+    def _more(self) -> bool:
+        more = next(self.chunks, b"")
+        self.held += more
+        return bool(more)
+
+    def header(self) -> dict | None:
+        """The header fields of the next record, lower-cased; None at the end."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            if self.held or not self._more():
+                break
+        if not self.held:
+            return None
+        seen = 0
+        while (end := self.held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(self.held)
+            if not self._more():
+                raise ValueError("a record without a blank line after its header")
+        head, self.held = self.held[:end], self.held[end + 4:]
+        if not head.startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
+        return _fields(head.decode("utf-8", "replace"))
+
+    def block(self, length: int, wanted: bool) -> bytes:
+        """The ``length`` bytes of the block, or nothing where it is not ``wanted``."""
+        parts, left = [], length
+        while left:
+            if not self.held and not self._more():
+                raise EOFError("archive ends inside a record")
+            part, self.held = self.held[:left], self.held[left:]
+            left -= len(part)
+            if wanted:
+                parts.append(part)
+        return b"".join(parts)
+
+
+def _fields(head: str) -> dict:
     fields = {}
-    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in head.split("\r\n")[1:]:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
-    return fields, rest
+    return fields
 
 
 class WarcReader(DataSourceReader):
@@ -201,32 +274,82 @@ class WarcReader(DataSourceReader):
             ] or [Range("", 0, 0)]
         info = fs.get_file_info(base)
         found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(base, recursive=True))
-        return [Range(x.path, 0, None) for x in found if x.type == pafs.FileType.File and x.path.endswith(".warc.gz")] or [Range("", 0, 0)]
+        out = []
+        for x in found:
+            if x.type == pafs.FileType.File and x.path.endswith(".warc"):
+                out.append(Range(x.path, 0, None))
+            elif x.type == pafs.FileType.File and x.path.endswith(".warc.gz"):
+                out += [Range(x.path, a, a + RANGE_BYTES) for a in range(0, x.size, RANGE_BYTES)]
+        return out or [Range("", 0, 0)]
+
+    def _row(self, fields: dict) -> dict | None:
+        """The columns of a record's header; None where a pushed test fails."""
+        row = {c: fields.get(h.lower()) for c, h in _FIELDS.items()}
+        for c in ("record_id", "refers_to"):
+            row[c] = row[c].strip("<>") if row[c] else None
+        if row["payload_digest"]:
+            row["payload_digest"] = row["payload_digest"].rpartition(":")[2]
+        if any(row[c] is None or (not row[c].startswith(v[0]) if how == "starts" else row[c] not in v) for c, how, v in self.tests):
+            return None
+        return row
+
+    def _out(self, row: dict, fields: dict, body: bytes | None) -> tuple:
+        size = int(row["payload_length"]) if row["payload_length"] else None if body is None else len(body)
+        length = int(fields.get("content-length", 0))
+        return row["record_id"], row["record_type"], row["date"], row["target_uri"], row["payload_digest"], row["refers_to"], size, length, body
+
+    def _records(self, chunks: Iterator[bytes]) -> Iterator[tuple]:
+        records = Records(chunks)
+        while (fields := records.header()) is not None:
+            row = self._row(fields)
+            wanted = row is not None and self.payload and row["record_type"] != "revisit"
+            block = records.block(int(fields.get("content-length", 0)), wanted)
+            if row is not None:
+                http = fields.get("content-type", "").startswith("application/http")
+                yield self._out(row, fields, (block.partition(b"\r\n\r\n")[2] if http else block) if wanted else None)
+
+    def _indexed(self, fs, partition: Range) -> Iterator[tuple]:
+        """Reads the records that pass by their places in the index; their bodies alone are unpacked."""
+        with fs.open_input_file(partition.file) as f, fs.open_input_stream(f"{partition.file}{INDEX}", compression="gzip") as lines:
+            rest = b""
+            while part := lines.read(1 << 18):
+                *whole, rest = (rest + part).split(b"\n")
+                for place, head in map(json.loads, whole):
+                    if not partition.start <= place < partition.end:
+                        continue
+                    fields = _fields(head)
+                    row = self._row(fields)
+                    if row is None:
+                        continue
+                    if not self.payload or row["record_type"] == "revisit":
+                        yield self._out(row, fields, None)
+                        continue
+                    f.seek(place)
+                    yield from self._records(next(_members(f, 1)))
 
     def read(self, partition: Range):
         if not partition.file:
             return
+        from pyarrow import fs as pafs
+
         fs, _ = _fs(self.path)
+        if (self.tests or not self.payload) and fs.get_file_info(f"{partition.file}{INDEX}").type == pafs.FileType.File:
+            yield from self._indexed(fs, partition)
+            return
         with fs.open_input_file(partition.file) as f:
             f.seek(partition.start)
+            if partition.file.endswith(".warc"):
+                yield from self._records(next(_plain(f)))
+                return
             limit = None if partition.end is None else partition.end - partition.start
+            if partition.start:  # a range of an archive from elsewhere may begin inside a member
+                ahead = _next_member(f, limit)
+                if ahead is None:
+                    return
+                f.seek(partition.start + ahead)
+                limit = None if limit is None else limit - ahead
             for chunks in _members(f, limit):
-                fields, rest = _header(chunks)
-                row = {c: fields.get(h.lower()) for c, h in _FIELDS.items()}
-                for c in ("record_id", "refers_to"):
-                    row[c] = row[c].strip("<>") if row[c] else None
-                if row["payload_digest"]:
-                    row["payload_digest"] = row["payload_digest"].rpartition(":")[2]
-                if any(row[c] is None or (not row[c].startswith(v[0]) if how == "starts" else row[c] not in v) for c, how, v in self.tests):
-                    continue
-                length = int(fields.get("content-length", 0))
-                body = None
-                if self.payload and row["record_type"] != "revisit":
-                    block = (rest + b"".join(chunks))[:length]
-                    http = fields.get("content-type", "").startswith("application/http")
-                    body = block.partition(b"\r\n\r\n")[2] if http else block
-                size = int(row["payload_length"]) if row["payload_length"] else None if body is None else len(body)
-                yield (row["record_id"], row["record_type"], row["date"], row["target_uri"], row["payload_digest"], row["refers_to"], size, length, body)
+                yield from self._records(chunks)
 
 
 class WarcSource(DataSource):
@@ -255,14 +378,16 @@ def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """Records to write. Of rows with equal payloads of at least ``min_revisit_bytes`` the largest key is the response.
 
     Payload: the html as UTF-8, NULL as empty. Only digests that occur twice or more are
-    joined, salted, so a payload that fills a third of the table is no hot key.
+    joined, salted, so a payload that fills a third of the table is no hot key. Rows that
+    repeat the largest key are each a response; a NULL key is smaller than any other and,
+    alone with its payload, a response. An empty table gives no records.
     """
     raw = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), raw.alias("payload"), F.sha1(raw).alias("sha"))
     groups = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("sha").agg(F.max("k").alias("first"), F.count("*").alias("n"))
     groups = materialize(groups.where("n > 1").select("sha", "first"), "payloads")
     out = salted_left_join(rows, groups, ["sha"], "k")
-    again = F.col("first").isNotNull() & (F.col("first") != F.col("k"))
+    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("k"))
     # base32 of the 160-bit digest, five bits a letter
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     bits = F.concat(*[F.lpad(F.conv(F.substring("sha", 1 + 10 * i, 10), 16, 2), 40, "0") for i in range(4)])
@@ -285,7 +410,10 @@ def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFr
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the pages to an archive in the shared folder and reads every record back."""
+    """Writes the pages to an archive in the shared folder and reads every record back.
+
+    NULL and repeated ``page_id`` as in ``with_revisits``; an empty table gives no rows.
+    """
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_archive(with_revisits(pages), path)
     return read_archive(pages.sparkSession, path)
