@@ -4,7 +4,8 @@ Three rounds of random signs and a fast Hadamard transform rotate each unit vect
 cell in a table is the signed axis it is nearest to. Every row is indexed in every
 table. A query probes the cells of its nearest signed axes in each table; blocks of one
 cell are compared with the queries that probe it, by the exact distance in double
-precision on the original vectors.
+precision on the original vectors. The rows of each cell are counted first, and a cell
+that holds many, as clustered vectors make them, is dealt over chunks of bounded size.
 """
 
 from __future__ import annotations
@@ -62,8 +63,8 @@ def _vectors(col: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _hashed(df: DataFrame, tables: int, probes: int, chunks: int, query: bool, seed: int) -> DataFrame:
-    """(dim, tbl, cell, chunk, kind, id, vec): a row per table, probe and, for queries, chunk."""
+def _hashed(df: DataFrame, tables: int, probes: int, seed: int, vectors: bool = True) -> DataFrame:
+    """(dim, tbl, cell, id, vec): a row per table and probe; without ``vectors`` only the cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -73,32 +74,36 @@ def _hashed(df: DataFrame, tables: int, probes: int, chunks: int, query: bool, s
                 for dim in sorted({len(v) for v in vecs}):
                     rows = [i for i, v in enumerate(vecs) if len(v) == dim]
                     x = np.stack([vecs[i] for i in rows])
-                    own = ids[rows]
                     c = cells(x.astype(np.float64), tables, probes, seed)
-                    n, t, p = c.shape
-                    grid = np.broadcast_to(np.arange(t)[None, :, None], c.shape)
-                    who = np.broadcast_to(np.arange(n)[:, None, None], c.shape).reshape(-1)
-                    cell, tbl = c.reshape(-1), grid.reshape(-1)
-                    if query:
-                        chunk = np.tile(np.arange(chunks), len(who))
-                        who, cell, tbl = (np.repeat(a, chunks) for a in (who, cell, tbl))
-                    else:
-                        chunk = ((own * 0x9E3779B1) >> 7) % chunks
-                        chunk = chunk[who]
-                    raw = [v.tobytes() for v in x]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(who), dim), pa.int32()), pa.array(tbl, pa.int32()), pa.array(cell, pa.int32()),
-                        pa.array(chunk, pa.int32()), pa.array(np.full(len(who), int(query)), pa.int32()), pa.array(own[who], pa.int64()),
-                        pa.array([raw[i] for i in who], pa.binary()),
-                    ], names=["dim", "tbl", "cell", "chunk", "kind", "id", "vec"])
-
-    return df.mapInArrow(run, "dim int, tbl int, cell int, chunk int, kind int, id long, vec binary")
+                    who = np.broadcast_to(np.arange(len(rows))[:, None, None], c.shape).reshape(-1)
+                    tbl = np.broadcast_to(np.arange(tables)[None, :, None], c.shape).reshape(-1)
+                    made = [pa.array(np.full(len(who), dim), pa.int32()), pa.array(tbl, pa.int32()), pa.array(c.reshape(-1), pa.int32())]
+                    if vectors:
+                        raw = [v.tobytes() for v in x]
+                        made += [pa.array(ids[rows][who], pa.int64()), pa.array([raw[i] for i in who], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(made, names=["dim", "tbl", "cell", "id", "vec"][:len(made)])
+
+    return df.mapInArrow(run, "dim int, tbl int, cell int" + (", id long, vec binary" if vectors else ""))
+
+
+def _small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """Broadcast a counted table of up to ``most`` rows; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _dealt(rows: DataFrame, asked: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
+    """(dim, tbl, cell, chunk, kind, id, vec): rows of a cell over chunks of about CHUNK_ROWS, its queries in each of them."""
+    counts = _small(counts.select(*on, F.ceil(F.col("n") / CHUNK_ROWS).cast("int").alias("chunks")))
+    names = ["dim", "tbl", "cell", "chunk", "kind", "id", "vec"]
+    held = rows.join(counts, on).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("kind", F.lit(0))
+    met = asked.join(counts, on).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("kind", F.lit(1))
+    return held.select(*names).unionByName(met.select(*names))
 
 
 def _nearest(blocks: DataFrame, k: int, kind: str) -> DataFrame:
     """The k nearest rows of each block for each query in it.
 
-    Rows of a block arrive first and are held (a chunk is bounded); its queries stream past.
+    Rows of a block arrive first and are held: CHUNK_ROWS or little more; its queries stream past.
     """
     keys = ["dim", "tbl", "cell", "chunk"]
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -148,7 +153,7 @@ def _nearest(blocks: DataFrame, k: int, kind: str) -> DataFrame:
 
 
 def search(
-    df: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", k: int = 10, tables: int = 24, probes: int = 6, seed: int = 11,
+    df: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", k: int = 10, tables: int = 16, probes: int = 6, seed: int = 11,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row where ``queries`` holds.
 
@@ -171,27 +176,24 @@ def search(
     rows = base.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
     rows = materialize(rows, "vectors")
     asked = materialize(base.where(queries), "queries")
-    sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).limit(10_000).collect()}
-    n = max(sizes.values(), default=0)
-    per_cell = 2 << max(1, (max(sizes, default=2) - 1).bit_length())
-    chunks = max(1, -(-n // (per_cell * CHUNK_ROWS)))
-    blocks = _hashed(rows, tables, 1, chunks, False, seed).unionByName(_hashed(asked, tables, probes, chunks, True, seed))
+    counts = materialize(_hashed(rows, tables, 1, seed, False).groupBy("dim", "tbl", "cell").agg(F.count("*").alias("n")), "cells")
+    blocks = _dealt(_hashed(rows, tables, 1, seed), _hashed(asked, tables, probes, seed), counts, ["dim", "tbl", "cell"])
     found = materialize(_nearest(blocks, k, kind), "nearest")
 
     # queries with too few candidates meet every row, in blocks
     got = found.groupBy("query_id").agg(F.count("*").alias("c"))
-    size_of = F.create_map(*[F.lit(x) for d, c in sizes.items() for x in (d, c)]) if sizes else F.create_map(F.lit(0), F.lit(0))
-    short = asked.join(got, asked.id == got.query_id, "left").where(
-        F.coalesce("c", F.lit(0)) < F.least(F.lit(k), F.coalesce(size_of[F.size("v")], F.lit(0)) - 1)).select("id", "v")
+    sizes = counts.where("tbl = 0").groupBy("dim").agg(F.sum("n").alias("n"))
+    sized = asked.withColumn("dim", F.size("v")).join(_small(sizes), "dim")
+    short = materialize(sized.join(got, sized.id == got.query_id, "left").where(F.coalesce("c", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("id", "v"), "short")
     if short.limit(1).count():
-        every = max(1, -(-n // CHUNK_ROWS))
-        flat = lambda d, q: d.select(
-            F.size("v").alias("dim"), F.lit(0).alias("tbl"), F.lit(0).alias("cell"),
-            (F.explode(F.sequence(F.lit(0), F.lit(every - 1))) if q else F.pmod(F.xxhash64("id"), F.lit(every))).cast("int").alias("chunk"),
-            F.lit(int(q)).alias("kind"), "id", "v")
-        plain = flat(rows, False).unionByName(flat(short, True)).mapInArrow(
-            lambda batches: (pa.RecordBatch.from_arrays(
-                [*b.columns[:6], pa.array([v.tobytes() for v in _vectors(b.column(6))], pa.binary())], names=["dim", "tbl", "cell", "chunk", "kind", "id", "vec"]) for b in batches),
-            "dim int, tbl int, cell int, chunk int, kind int, id long, vec binary")
-        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(_nearest(plain, k, kind))
+        def flat(d: DataFrame) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([v.tobytes() for v in _vectors(b.column(2))], pa.binary())], names=["dim", "id", "vec"])
+
+            plain = d.select(F.size("v").alias("dim"), "id", "v").mapInArrow(run, "dim int, id long, vec binary")
+            return plain.withColumn("tbl", F.lit(0)).withColumn("cell", F.lit(0))
+
+        blocks = _dealt(flat(rows), flat(short), sizes, ["dim"])
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(_nearest(blocks, k, kind))
     return found.select("query_id", "rank", "vec_id", "score")
