@@ -9,13 +9,22 @@ from .common import SPACES, WORD_GAP, split_words
 
 #: A line passes the punctuation rule if it ends in one of these (quotes or brackets may follow)
 #: or holds the end of a sentence inside, as a long line cut off at its end does.
-TERMINAL = (".", "!", "?", "…", ":", ";", "。", "！", "？")
+TERMINAL = (".", "!", "?", "…", ":", ";", "。", "！", "？", "।", "॥", "؟", "۔", "።", "။", "។")
 CLOSING = "\"'”’»)]"
-#: Phrases of site furniture; a line with one of them goes.
+#: Phrases of site furniture in English, German, French and Spanish, in lower case.
+#: A line of at most FURNITURE_WORDS words that holds one as whole words goes.
 BOILERPLATE = (
-    "javascript", "cookie", "lorem ipsum", "all rights reserved", "terms of use", "terms of service",
+    "javascript", "cookie", "cookies", "lorem ipsum", "all rights reserved", "terms of use", "terms of service",
     "privacy policy", "sign in", "log in", "subscribe", "share this", "read more", "copyright",
+    "impressum", "datenschutz", "datenschutzerklärung", "alle rechte vorbehalten", "nutzungsbedingungen", "startseite", "anmelden", "abonnieren", "weiterlesen", "mehr lesen",
+    "mentions légales", "tous droits réservés", "témoins de connexion", "politique de confidentialité", "conditions d'utilisation", "se connecter", "s'abonner", "lire la suite",
+    "aviso legal", "todos los derechos reservados", "política de privacidad", "términos de uso", "condiciones de uso", "iniciar sesión", "suscríbete", "leer más",
 )
+FURNITURE_WORDS = 20
+#: A navigation line has at most so many words, in three labels or more, of one word and a half on average at most.
+LABEL_WORDS = 12
+#: A line of at most LABEL_WORDS words that stands so often in a text is furniture of its page.
+REPEATED = 3
 SYMBOLS = "#*$%&|<>"
 
 
@@ -65,24 +74,38 @@ def _has(text: Column, parts) -> Column:
     return found
 
 
-def line_ok(line: Column, furniture: bool, symbol_share: float = 0.2, shout_share: float = 0.3) -> Column:
-    """The per-line rules: punctuation, navigation and symbols, shouting, boilerplate.
+def line_ok(line: Column, furniture: bool, repeated: Column, symbol_share: float = 0.2, shout_share: float = 0.3) -> Column:
+    """The per-line rules: punctuation, navigation, symbols, shouting, boilerplate, repeated short lines.
 
-    ``furniture``: whether to look for boilerplate phrases, needed only where the whole text
-    holds one. The costly tests run only on lines that hold a symbol or ``!!``.
+    Navigation: a short line of at least three labels, each ended by a sentence end, bar, dot
+    or arrow, with one word and a half each on average at most. ``furniture``: whether to look for boilerplate
+    phrases, needed only where the whole text holds one. ``repeated``: the text's short lines
+    that stand often. The costly tests run only on lines that are short or hold a symbol or ``!!``.
     """
     words = F.size(F.array_remove(F.split(line, WORD_GAP), ""))
     marked = F.when(_has(line, SYMBOLS), F.regexp_count(line, F.lit(r"[#*$%&|<>]+")) > symbol_share * words)
     shouted = F.when(F.contains(line, F.lit("!!")), F.regexp_count(line, F.lit("!!")) > shout_share * words)
-    phrase = _has(F.lower(line), BOILERPLATE) if furniture else F.lit(False)
+    few = F.length(line) <= 40 * LABEL_WORDS
+    labels = F.regexp_count(line, F.lit(r"[.!?|›»·•/:]+(?=[\s\"'”’»)\]]|$)"))
+    menu = F.when(few & (words <= LABEL_WORDS), (labels >= 3) & (2 * words <= 3 * labels))
+    phrase = F.lit(False)
+    if furniture:
+        named = "|".join(BOILERPLATE).replace(" ", r"\s+")
+        phrase = F.when((words <= FURNITURE_WORDS) & _has(F.lower(line), BOILERPLATE), F.lower(line).rlike(rf"(?<!\p{{L}})(?:{named})(?!\p{{L}})"))
+    often = F.when(F.size(repeated) > 0, F.array_contains(repeated, line))
     end = F.substring(F.rtrim(line, F.lit(SPACES + CLOSING)), -1, 1)
     no = F.lit(False)
     return (
         (end.isin(*TERMINAL) | _has(line, (". ", "! ", "? ")))
-        & ~F.coalesce(marked, no) & ~F.coalesce(shouted, no) & ~phrase
+        & ~F.coalesce(marked, no) & ~F.coalesce(shouted, no) & ~F.coalesce(menu, no) & ~F.coalesce(phrase, no) & ~F.coalesce(often, no)
     )
 
 
+def sorted_short(lines: Column) -> Column:
+    """The short lines among ``lines``, sorted, so that equal ones stand side by side."""
+    return F.sort_array(F.filter(lines, lambda s: (F.length(s) <= 40 * LABEL_WORDS) & (F.size(F.array_remove(F.split(s, WORD_GAP), "")) <= LABEL_WORDS)))
+
+
 def clean_lines(
     df: DataFrame, text: str = "text", min_kept: float = 0.5, min_words: int = 50,
 ) -> DataFrame:
@@ -105,8 +128,12 @@ def clean_lines(
         "n_symbols": symbols.cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
     })
-    searched = F.filter("__split", lambda s: blank(s) | line_ok(s, True))
-    plain = F.filter("__split", lambda s: blank(s) | line_ok(s, False))
+    out = out.withColumn("__short", F.when(F.size("__lines") - F.size(F.array_distinct("__lines")) >= REPEATED - 1, sorted_short(F.col("__lines"))))
+    sorted_ = F.col("__short")
+    often = F.array_distinct(F.filter(sorted_, lambda s, i: F.coalesce(F.get(sorted_, i - (REPEATED - 1)) == s, F.lit(False))))
+    out = out.withColumn("__often", often)
+    searched = F.filter("__split", lambda s: blank(s) | line_ok(s, True, F.col("__often")))
+    plain = F.filter("__split", lambda s: blank(s) | line_ok(s, False, F.col("__often")))
     out = out.withColumn("__good", F.when(_has(F.lower(t), BOILERPLATE), searched).otherwise(plain))
     out = out.withColumn("clean_text", F.when(F.col(text).isNotNull(), F.array_join("__good", "\n")))
     out = out.withColumn("kept_chars", F.length(F.array_join(split_words(F.col("clean_text")), "")).cast("long"))
@@ -114,7 +141,7 @@ def clean_lines(
     return (
         out.withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("kept_chars") >= F.lit(min_kept) * F.col("word_chars")))
-        .drop("__split", "__lines", "__good")
+        .drop("__split", "__lines", "__short", "__often", "__good")
     )
 
 
