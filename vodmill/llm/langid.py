@@ -8,7 +8,6 @@ text's logits are the mean of its subwords' rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,6 @@ from .common import short_batches
 
 #: Subwords are runs of 1 to 4 bytes of lower-cased words with a mark on both sides.
 SIZES = (1, 2, 3, 4)
-_LETTER = re.compile(r"[^\W\d_]")
 _MARK = 32
 
 
@@ -60,7 +58,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(label, calibrated probability, rejected); ``und`` for NULL or a text without a letter."""
-        if text is None or not _LETTER.search(text) or not self.labels:
+        if text is None or not self.labels or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         at = buckets(text, len(self.table))
         counts = np.bincount(at, minlength=len(self.table)) if len(at) > len(self.table) else None
@@ -127,27 +125,31 @@ def train(
 
 def fit(
     labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400,
-    languages: int = 200, n_buckets: int = 1 << 15,
+    most_rows: int = 80_000, n_buckets: int = 1 << 15,
 ) -> Model:
-    """Trains on at most ``per_language`` rows of each of at most ``languages`` labels.
+    """Trains on at most ``per_language`` rows of each label, fewer if the labels are so many
+    that ``most_rows`` would be passed, but one of each at least: no label is left out.
 
     The rows are those with the smallest hashes of ``key``, so the sample is even and
     repeatable. Executors turn the sampled texts into bucket counts; the driver gets at
-    most per_language x languages rows of at most ``n_buckets`` counts.
+    most ``most_rows`` rows, or one a label, of at most ``n_buckets`` counts. Rows whose label is NULL or
+    whose text is NULL or without a letter teach nothing; repeated rows may be drawn
+    each; without any row the model knows no label and rejects all.
     """
     short_batches(labelled.sparkSession)
     schema = "lang string, at binary, weight binary"
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).alias("k"))
     # count first, then let only hashes below a share of each label through, so that few rows meet in a label's task
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return train([], [], n_buckets)
-    shares = [(la, min(1.0, 2 * per_language / n)) for la, n in counts.items()]
+    per_language = max(1, min(per_language, most_rows // len(counts)))
+    shares = [(la, min(1.0, (2 * per_language + 50) / n)) for la, n in counts.items()]  # so many that no label ends up without a row
     limit = F.create_map(*[F.lit(x) for la, share in shares for x in (la, float(share))])[F.col("lang")]
     rows = rows.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= limit)
     order = Window.partitionBy("lang").orderBy("h", "k", "text")
-    sample = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).orderBy("r", "lang").limit(per_language * languages)
+    sample = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

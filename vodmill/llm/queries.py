@@ -81,8 +81,8 @@ def op7_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out():
-    """Whether a document's fold is kept from training."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    """Whether a document's fold is kept from training; a missing id reads as an empty text, whose fold is."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
