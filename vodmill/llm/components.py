@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,8 +24,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, component): the least node reachable, for every node that has a link to another.
 
-    Each round is written to the shared folder; hubs are met by partial minima before
-    the shuffle. The rounds needed grow with the logarithm of a component's size.
+    Each round is written to the shared folder and its predecessor deleted; hubs are met
+    by partial minima before the shuffle. The rounds needed grow with the logarithm of a
+    component's size. Links with a NULL end are none; an empty table gives an empty result.
     """
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = materialize(edges, "edges")
@@ -34,7 +35,8 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before["n"]:
             break
-        edges = materialize(_stars(_stars(edges, True), False), "edges")
+        last, edges = edges, materialize(_stars(_stars(edges, True), False), "edges")
+        discard(last)
         after = sign(edges)
         if tuple(after) == tuple(before):
             break
