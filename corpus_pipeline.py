@@ -21,13 +21,20 @@ SMALL = 2_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines leave the text; documents that lose too much or fail the base rules go."""
+    """Failing lines leave the text; documents that lose too much or fail the base rules go.
+
+    A NULL or empty text has no words and goes; repeated rows are judged each; an empty table gives an empty result.
+    """
     kept = quality.keep_clean(docs.select(*COLUMNS))
     return kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of rejected language go; a missing ``lang`` is filled with the prediction."""
+    """Documents of rejected language go; a missing ``lang`` is filled with the prediction.
+
+    NULL texts and texts without a letter have no language and go; repeated rows are judged each;
+    without labelled rows nothing can be told and all go; an empty table gives an empty result.
+    """
     model = langid.fit(docs.where(~held_out()))
     kept = langid.predict(docs.select(*COLUMNS), model).where(~F.col("rejected"))
     return kept.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
@@ -39,18 +46,29 @@ def _ids(found: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays, once."""
-    groups = materialize(jaccard.jaccard_components(docs.select("doc_id", "text"), n=WORDS, percent=PERCENT), "groups")
-    kept = docs.select(*COLUMNS).join(_ids(groups.where("component_id < doc_id")), "doc_id", "left_anti")
-    twice = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL")
-    if twice.limit(1).count():
-        twice = _ids(twice)
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*COLUMNS)
+    """Of each group of linked documents the one with the smallest id stays, once.
+
+    Rows that repeat an id with another text, and rows without an id, are documents of
+    their own: each stays unless its text links with one that stays. Texts without a word
+    link with nothing and all stay; an empty table gives an empty result.
+    """
+    groups = materialize(jaccard.jaccard_components(docs.select("doc_id", "text"), n=WORDS, percent=PERCENT, marks=True), "groups")
+    docs = docs.select(*COLUMNS)
+    if not groups.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        return docs.join(_ids(groups.where("component_id < doc_id")), "doc_id", "left_anti").select(*COLUMNS)
+    stay = groups.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "n_shingles")).alias("k"))
+    stay = stay.select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__fp"), F.col("k.n_shingles").alias("__n"))
+    marked = docs.withColumn("__set", jaccard.set_marks("text", WORDS))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__set.fp") == F.col("__fp")) & (F.col("__set.n") == F.col("__n"))
+    kept = marked.where("__set.n > 0").join(stay, same, "left_semi").dropDuplicates(["doc_id", "__set"])
+    return kept.unionByName(marked.where("__set.n = 0")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 token ids, a row per piece."""
+    """Sequences of at most 1024 token ids, a row per piece.
+
+    A NULL text is packed as an empty one, a single id; repeated rows are packed each; an empty table gives an empty result.
+    """
     return packed(docs)
 
 
