@@ -52,6 +52,21 @@ def test_shards_cut_inside_a_hot_key(spark):
         assert sorted(g["slot"]) == list(range(len(g)))
 
 
+def test_shards_cut_among_equal_rows(spark):
+    df = spark.createDataFrame([(5, "same")] * 800 + [(i, f"{i}") for i in range(8)], "doc_id long, text string").repartition(5)
+    out = sharding.histogram_shards(df, shards=8).toPandas()
+    assert Counter(zip(out.doc_id, out.text, strict=True)) == Counter((r["doc_id"], r["text"]) for r in df.collect())
+    held = out.groupby("shard")["size"].sum()
+    assert len(held) == 8 and held.max() - held.min() <= 10
+    for _, g in out.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    hot = spark.createDataFrame([(5, "t" * (i % 7) + str(i)) for i in range(1500)] + [(6, "t" * (i % 5) + str(i)) for i in range(900)], "doc_id long, text string")
+    held = sharding.histogram_shards(hot, shards=8, cells=64).groupBy("shard").agg(F.sum("size").alias("s")).toPandas().s
+    assert len(held) == 8 and held.max() - held.min() <= 22
+    only = sharding.histogram_shards(spark.createDataFrame([(None, None)] * 64, "doc_id long, text string"), shards=8)
+    assert sorted(r["count"] for r in only.groupBy("shard").count().collect()) == [8] * 8
+
+
 def test_shards_edge_cases(spark, docs):
     out = sharding.histogram_shards(docs.withColumn("shard", F.lit("mine")).withColumn("k", F.lit(1)), shards=4)
     got = out.toPandas()
@@ -127,10 +142,63 @@ def test_warc_record_ends_just_before_the_end_of_a_read(short):
     size = next(n for n in range(end - 100, end) if len(member(n)) == end)
     raw = member(size) + gzip.compress(b"next")
     assert [b"".join(chunks) for chunks in warc._members(io.BytesIO(raw), None)] == [b"x" * size, b"next"]
-    with pytest.raises(ValueError, match="gzip-per-record"):
+    with pytest.raises(ValueError, match="gzip archive"):
         list(warc._members(io.BytesIO(member(10) + b"\x1f"), None))
 
 
+def foreign(i, body, kind="response"):
+    head = f"HTTP/1.1 200 OK\r\nX: {i}\r\n\r\n".encode()
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x:{i}>", f"WARC-Target-URI: http://h/{i}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(head + body)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + head + body + b"\r\n\r\n"
+
+
+def test_warc_archives_from_elsewhere(spark, monkeypatch, tmp_path):
+    """Several records in a member, plain archives, ranges that begin anywhere, and broken records."""
+    import gzip
+
+    rng = np.random.default_rng(0)
+    bodies = [rng.integers(0, 256, int(n)).astype(np.uint8).tobytes() for n in rng.integers(0, 3000, 60)]
+    records = [foreign(i, b) for i, b in enumerate(bodies)]
+    want = {f"urn:x:{i}": b for i, b in enumerate(bodies)}
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "some.warc.gz").write_bytes(b"".join(gzip.compress(b"".join(records[i:i + 7])) for i in range(0, 60, 7)))
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    for name in ("one.warc.gz", "some.warc.gz", "each.warc.gz", "plain.warc"):
+        for size in (16 << 20, 5000, 317):
+            monkeypatch.setattr(warc, "RANGE_BYTES", size)
+            reader = warc.WarcReader({"path": str(tmp_path / name)})
+            got = [r for part in reader.partitions() for r in reader.read(part)]
+            assert len(got) == 60 and {r[0]: r[8] for r in got} == want, (name, size)
+    got = warc.read_archive(spark, str(tmp_path)).groupBy("record_id").count().collect()
+    assert len(got) == 60 and all(r["count"] == 4 for r in got)
+    assert warc.read_archive(spark, str(tmp_path / "one.warc.gz"), payload=False).where("record_id = 'urn:x:7'").count() == 1
+    whole = gzip.compress(records[0]) + gzip.compress(records[1])
+    for cut in range(0, len(whole), 97):
+        at = warc._next_member(__import__("io").BytesIO(whole[cut:]), None)
+        assert (None if at is None else at + cut) == next((s for s in (0, len(gzip.compress(records[0]))) if s >= cut), None)
+    for bad, said in ((b"WARC/1.0\r\nno blank line", "blank line"), (b"HTTP/1.0 200\r\n\r\n", "not a WARC record"), (records[0][:-40], "inside a record")):
+        with pytest.raises((ValueError, EOFError), match=said):
+            list(warc.WarcReader({"path": ""})._records(iter([bad])))
+
+
+def test_warc_index_opens_only_wanted_records(spark, monkeypatch):
+    path = f"{common.shared_dir(spark)}/w3"
+    df = spark.createDataFrame([*PAGES, (None, "u7", "<p>a</p>")], "page_id long, url string, html string")
+    warc.write_archive(warc.with_revisits(df), path)
+    opened = []
+    records = warc.WarcReader._records
+    monkeypatch.setattr(warc.WarcReader, "_records", lambda self, chunks: (opened.append(1), records(self, chunks))[1])
+    for payload, tests, rows, unpacked in (("true", [("target_uri", "starts", ("u5",))], 1, 1), ("false", [], 7, 0), ("true", [("record_type", "in", ("revisit",))], 4, 0)):
+        opened.clear()
+        reader = warc.WarcReader({"path": path, "payload": payload})
+        reader.tests = tests
+        got = [r for part in reader.partitions() for r in reader.read(part)]
+        assert (len(got), len(opened)) == (rows, unpacked)
+        whole = warc.WarcReader({"path": path})
+        assert {r[:8] for r in got} <= {r[:8] for part in whole.partitions() for r in whole.read(part)}
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -158,6 +226,31 @@ def test_neighbours_recall_and_scores(spark):
         assert list(g.sort_values("rank")["rank"]) == list(range(1, 11)) and g.sort_values("rank").score.is_monotonic_increasing
 
 
+def test_neighbours_of_clustered_vectors_come_in_bounded_chunks(spark, monkeypatch):
+    """Nearly all rows in one cell of every table: dealt over chunks, and searched as well."""
+    monkeypatch.setattr(ann, "CHUNK_ROWS", 64)
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=16)
+    x = (centre + 0.05 * rng.normal(size=(1500, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    largest = []
+    near = ann._nearest
+    monkeypatch.setattr(ann, "_nearest", lambda blocks, k, kind: (largest.append(blocks.where("kind = 0").groupBy("dim", "tbl", "cell", "chunk").count().agg(F.max("count")).first()[0]), near(blocks, k, kind))[1])
+    got = ann.search(df, F.col("id") % 100 == 0).toPandas()
+    want = brute(list(enumerate(x)))
+    assert sum(len({j for j, _ in want[q]} & set(g.vec_id)) for q, g in got.groupby("query_id")) / (10 * len(want)) >= 0.9
+    assert largest[0] <= 130
+
+
+def test_neighbours_of_many_lengths_keep_the_exact_way(spark):
+    rows = [(i, [float(1 + i % 7 + j) * (-1) ** (i * j) for j in range(1 + i % 40)]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("id") % 100 == 0).groupBy("query_id").count().collect()
+    same = {d: sum(len(v) == d for _, v in rows) for d in range(1, 41)}
+    distinct = {d: len({tuple(v) for _, v in rows if len(v) == d}) for d in same}
+    assert {r["query_id"]: r["count"] for r in got} == {i: min(10, same[1 + i % 40] - 1) for i in range(0, 1200, 100)} and min(distinct.values()) > 0
+
+
 def test_neighbours_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, []), (7, [1.0, None]), (100, [0.0, 2.0]), (200, [0.5, 0.5, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -201,6 +294,50 @@ def test_quality_verdicts(spark):
     assert {r["doc_id"] for r in quality.keep_clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 6}
 
 
+def plain_verdict(t):
+    """The line rules once more, line by line: (kept, clean text)."""
+    lines = (t or "").split("\n")
+    count = Counter(x for x in lines if len(WORD.findall(x)) <= 12 and len(x) <= 480)
+    good = []
+    for line in lines:
+        words = WORD.findall(line)
+        low = line.lower()
+        end = line.rstrip(common.SPACES + quality.CLOSING)[-1:]
+        labels = len(re.findall(r"[.!?|›»·•/:]+(?=[\s\"'”’»)\]]|$)", line))
+        bad = (
+            not (end in quality.TERMINAL and end or any(x in line for x in (". ", "! ", "? ")))
+            or len(re.findall(r"[#*$%&|<>]+", line)) > 0.2 * len(words) or line.count("!!") > 0.3 * len(words)
+            or len(line) <= 480 and len(words) <= 12 and labels >= 3 and 2 * len(words) <= 3 * labels
+            or len(words) <= 20 and any(re.search(rf"(?<![^\W\d_]){re.escape(x)}(?![^\W\d_])", low) for x in quality.BOILERPLATE)
+            or count[line] >= 3
+        )
+        if not words or not bad:
+            good.append(line)
+    chars = lambda x: sum(map(len, WORD.findall(x)))
+    return not measures(t)[5] and chars("\n".join(good)) >= 0.5 * chars(t or ""), "\n".join(good)
+
+
+def test_quality_verdicts_equal_a_plain_version(spark, docs):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    prose = " ".join(f"word{i}" for i in range(60)) + "."
+    odd = [prose + "\nSign in.\nOur blog in design in a dialog in here.\nThe cookie monster " + "eats a lot of things " * 8 + ".", prose + "\nagain.\nagain.\nagain.\n again.", prose + "\nA. B. C.", "यह एक वाक्य है।\n" * 2 + prose, "x\n" * 5 + prose]
+    df = table.union(docs).union(spark.createDataFrame([(9000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    for r in quality.clean_lines(df).select("text", "kept", "clean_text").collect():
+        kept, clean = plain_verdict(r["text"])
+        assert (r["kept"], r["clean_text"] or "") == (kept, clean), r["text"]
+
+
+def test_quality_furniture_of_other_languages(spark):
+    rows = [
+        (1, "\n".join(f"Startseite{i}. Über{i} uns. Impressum{i}." for i in range(40))),
+        (2, "\n".join(f"{x} {i}." for i in range(14) for x in ("Mentions légales", "Tous droits réservés", "Acceptez les témoins de connexion"))),
+        (3, "\n".join(f"{x} número {i}." for i in range(14) for x in ("Aviso legal", "Política de privacidad", "Iniciar sesión"))),
+        (4, "\n".join(f"{x} {i}, bitte." for i in range(14) for x in ("Alle Rechte vorbehalten", "Hier anmelden", "Datenschutz"))),
+    ]
+    out = quality.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["kept"], r["kept_chars"]) for r in out] == [(False, 0)] * 4
+
+
 # 5 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -217,6 +354,102 @@ def test_html_extraction():
         assert isinstance(html_text.main_text(odd), str)
 
 
+EN = "The cat of the house is in the garden and it was there with all the others for a long time. " * 3
+IT = "Il gatto della casa dorme nel giardino mentre tutti gli altri guardano la finestra aperta della cucina. " * 4
+RU = "Вчера вечером жители города собрались у старого моста, чтобы вместе посмотреть на огни над рекой. " * 4
+
+
+def test_html_names_are_only_hints():
+    """Article elements that hold little, other languages, odd quotes and signs."""
+    page = f"<body><div><p>{EN}</p><p>{EN}</p></div><article><a href=x>Read this next</a></article></body>"
+    assert html_text.main_text(page) == f"{EN.strip()}\n{EN.strip()}"
+    for text in (IT, RU):
+        assert html_text.main_text(f"<body><h1>Uno</h1><p>{text}</p><p>{text}</p></body>") == f"Uno\n{text.strip()}\n{text.strip()}"
+    assert html_text.main_text(f"<article><p data-x=it's>{EN}</p><p>more's</p></article>") == f"{EN.strip()}\nmore's"
+    assert html_text.main_text(f"<article><p>{EN}</p><p>The © sign stands here.</p></article>") == f"{EN.strip()}\nThe © sign stands here."
+    cards = "".join(f"<a href={i}><div>{EN}</div></a>" for i in range(3))
+    assert html_text.main_text(f"<body><div>{cards}</div><div>{EN}</div></body>") == EN.strip()
+    assert html_text.main_text("<p>1 < 2 and a<b and so</p><p title='>'>x</p>").startswith("1 < 2 and a")
+    assert html_text.main_text(f"<p>{EN}</p><script/>hidden</script><svg/><p>{EN}</p>") == f"{EN.strip()}\n{EN.strip()}"
+
+
+@pytest.mark.parametrize("piece", ["<a", "<a ", "<a b=\"'", "<a b='x", "<!--", "<script>", "<svg>", "<div>", "</div>", "<div>x</p>", "<p>x", "<span hidden>", "a<", "<a\n=", "<p>x</p>", "&amp", "<li></b>"])
+def test_html_hostile_pages_take_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 8
+
+
+def plain_blocks(page):
+    """A second way to the blocks, by the standard library's parser: (text, linked characters, outside, in an article, heading)."""
+    from html.parser import HTMLParser
+
+    found, stack, parts = [], [], []
+
+    class Parser(HTMLParser):
+        skip = link = heading = False
+
+        def cut(self):
+            text = " ".join("".join(t for t, _ in parts).split())
+            if text:
+                linked = " ".join("".join(t for t, a in parts if a).split())
+                found.append((text, len(linked), any(o for _, o in stack), any(t == "article" for t, _ in stack), self.heading))
+            parts.clear()
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("b", "meta"):
+                return
+            if tag in ("a", "br"):
+                self.link = tag == "a" or self.link
+                parts.append((" " if tag == "br" else "", False))
+                return
+            self.cut()
+            if tag in ("script", "style"):
+                self.skip = True
+            if stack and (stack[-1][0] in ("p", "h1") or stack[-1][0] == tag == "li"):
+                stack.pop()
+            self.heading = tag == "h1"
+            stack.append((tag, tag in ("nav", "footer", "head") or dict(attrs).get("class") == "ad"))
+
+        def handle_endtag(self, tag):
+            if tag == "b":
+                return
+            if tag == "a":
+                self.link = False
+                return
+            self.cut()
+            self.skip = self.heading = False
+            while any(t == tag for t, _ in stack) and stack.pop()[0] != tag:
+                pass
+
+        def handle_data(self, data):
+            if not self.skip:
+                parts.append((data, self.link))
+
+    parser = Parser()
+    parser.feed(page)
+    parser.close()
+    parser.cut()
+    return found
+
+
+def test_html_pages_equal_a_plain_version(spark):
+    """The blocks of every page of the table by another parser, and each rule seen at work."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    rules = Counter()
+    for p in pages:
+        made = html_text.blocks(p)
+        assert [(b.text, b.linked, b.out, b.inside, b.heading) for b in made] == plain_blocks(p)
+        want = [t for t, linked, out, inside, _ in plain_blocks(p) if inside and not out and linked == 0]
+        assert html_text.main_text(p) == "\n".join(want)
+        for shown in (p, p.replace("<article", "<div").replace("</article", "</div").replace("<nav", "<div").replace("</nav", "</div")):
+            rules.update(why for _, why in html_text.decide(html_text.blocks(shown)))
+    assert min(rules[x] for x in ("outside", "links", "density", "neighbours", "length", "short page")) > 0, rules
+    assert rules["density"] > rules["short page"]
+
+
 @pytest.mark.parametrize(("attrs", "shown"), [
     ('class="overflow-hidden"', True), ('class="md:hidden flex"', True), ('aria-hidden="false"', True), ('data-title="hidden gems"', True), ('title="display: none"', True), ('data-hidden="1"', True),
     ('hidden="until-found"', True), ("hidden", False), ('class="a" HIDDEN=""', False), ("aria-hidden=true", False), ('style="color: red; display: none"', False), ("style='visibility:hidden'", False),
@@ -264,6 +497,21 @@ def test_token_counts_equal_the_library(chunk, overlap):
     assert counter.batch(texts) == counter.batch(texts)
 
 
+def test_long_texts_are_spliced(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(f"length(text) > {token_count.CHUNK}").select("text").collect()]
+    whole, counter = Tokenizer.from_file(path), token_count.Counter(path)
+    assert len(texts) > 20
+    assert counter.batch(texts) == [len(whole.encode(t, add_special_tokens=False)) for t in texts]
+    assert counter.splices >= len(texts) and not counter.memory
+    # no white space anywhere: overlaps widen until one chunk holds the text
+    odd = ["é" * 30_000, "ab" * 9_000 + " " + "ab" * 9_000]
+    assert counter.batch(odd) == [len(whole.encode(t, add_special_tokens=False)) for t in odd]
+    assert counter.widened > 0
+
+
 def test_token_count_column(spark, docs):
     out = token_count.count_tokens(docs.withColumn("n_tokens", F.lit("x")), P.path("word_bpe_49k.json")).collect()
     assert [r["n_tokens"] for r in out if r["text"] in (None, "")] == [0, 0] and len(out) == len(TEXTS)
@@ -287,6 +535,54 @@ def test_sentencepiece_equals_the_library(spark, docs):
     assert sp_fst.encode(empty(spark), path).count() == 0
 
 
+def test_sentencepiece_takes_the_lattice_for_every_word(spark):
+    import time
+
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), sp_fst.Transducer(path)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(300).collect()]
+    rng = np.random.default_rng(2)
+    long = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), 100_000)), "a" * 100_000, " " * 5000 + "x"]
+    for t in [t or "" for t in texts] + ODD + long:
+        began = time.perf_counter()
+        ids = np.frombuffer(machine.encode(t), "<u4").tolist()
+        assert time.perf_counter() - began < 5
+        assert ids == library.encode(t)
+    assert machine.directly == 0
+    # the filter is what makes the path the merges' own: without it the lattice holds other paths
+    machine.words.clear()
+    machine._follows = lambda last, k: True
+    machine.beside.clear()
+    assert any(np.frombuffer(machine.encode(t or ""), "<u4").tolist() != library.encode(t or "") for t in texts[:50])
+
+
+def test_sentencepiece_unigram_weights(tmp_path):
+    """A unigram model written down by hand from the pieces of the other, with scores of its own."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        model.ParseFromString(f.read())
+    rng = np.random.default_rng(8)
+    model.trainer_spec.model_type = 1
+    for p in model.pieces:
+        if p.type == sp_fst.NORMAL:
+            p.score = -float(rng.uniform(2, 14))
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), sp_fst.Transducer(path)
+    for t in ["the river and the stone", "été naïve 日本", "x" * 300, "a  b", "🎉 ok", *[" ".join("".join(rng.choice(list("etaoinshr"), 7)) for _ in range(40)) for _ in range(20)]]:
+        ids = np.frombuffer(machine.encode(t), "<u4").tolist()
+        cost = lambda x: sum(-machine.score[i] for i in x)
+        assert ids == library.encode(t) or abs(cost(ids) - cost(library.encode(t))) < 1e-3, t
+        assert machine.decode(machine.encode(t)) == t
+    assert machine.directly == 0
+
+
 # 8 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -308,6 +604,22 @@ def test_language_id(spark):
     assert langid.predict(df.limit(0), model).count() == 0
     assert langid.fit(df.limit(0)).predict("abc") == ("und", 0.0, True)
     assert langid.fit(df.where("lang = 'en'")).predict("the stone")[0] == "en"
+    assert [model.predict(t)[0] for t in (None, "", "½ ² Ⅷ 12 _", "!?")] == ["und"] * 4 and model.predict("ª")[0] != "und"
+
+
+def test_language_id_leaves_no_label_out(spark):
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    rows = [(i, " ".join([words[i % 60]] * 8), f"l{i % 60}") for i in range(600)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_rows=120)
+    assert len(model.labels) == 60
+
+
+def test_language_id_of_long_texts_and_missing_ids(spark):
+    from vodmill.llm.queries import held_out
+
+    model = langid.fit(labelled(spark))
+    assert model.predict("der fluss und das haus " * 100_000)[0] == "de"
+    assert [r[0] for r in spark.createDataFrame([(None,), (3,)], "doc_id long").select(held_out()).collect()] == [True, zlib.crc32(b"3") % 5 == 0]
 
 
 # 9 -----------------------------------------------------------------------------------------------------------------
@@ -390,6 +702,55 @@ def test_jaccard_shuffle_of_texts_and_repeats(spark):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
+def group(rng, at, size, count, share, tag):
+    """Texts of ``size`` words of which all but a run of their own are common: pairs of about ``share`` similar shingles."""
+    base = [f"{tag}{i}" for i in range(size)]
+    own = round(size * (1 - share) / (1 + share))
+    rows = []
+    for k in range(count):
+        start = int(rng.integers(size - own))
+        rows.append((at + k, " ".join([*base[:start], *[f"{tag}{k}own{i}" for i in range(own)], *base[start + own:]])))
+    return rows
+
+
+def test_jaccard_groups_are_not_paired_out(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [*group(rng, 0, 150, 300, 0.7, "far"), *group(rng, 1000, 150, 300, 0.93, "near"), *group(rng, 2000, 150, 100, 0.84, "brim")]
+    compared = []
+    verify = jaccard._verify
+    monkeypatch.setattr(jaccard, "_verify", lambda pairs, *rest: (compared.append(pairs.count()), verify(pairs, *rest))[1])
+    refined = jaccard._refined
+    monkeypatch.setattr(jaccard, "_refined", lambda *a: (out := refined(*a), compared.append(out.count()))[0])
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {k: v for k, (_, v) in brute_components(rows).items()}
+    assert sum(compared) < 10 * len(rows), compared  # the pairs of the groups are 94,650
+
+
+def test_refined_keys_lose_no_link(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(60):
+        base = np.unique(rng.integers(0, 400, int(rng.integers(20, 300))))
+        for _ in range(3):
+            rows.append((len(rows), sorted({*(int(x) for x in base if rng.random() < 0.96), *(int(x) for x in rng.integers(1000, 1200, 4))})))
+    sets = spark.createDataFrame([(i, len(x), x) for i, x in rows], "id long, n long, shingles array<long>")
+    for percent in (80, 85):
+        found = {(r["a"], r["b"]) for r in jaccard._refined(sets.select("id", F.col("id").alias("c")), sets, percent).collect()}
+        for i, x in rows:
+            for j, y in rows[:i]:
+                if 100 * len({*x} & {*y}) >= percent * len({*x} | {*y}):
+                    assert (i, j) in found or (j, i) in found
+
+
+def test_jaccard_ids_with_several_texts_and_none(spark):
+    w = [f"w{i}" for i in range(60)]
+    v = [f"v{i}" for i in range(60)]
+    rows = [(1, " ".join(w)), (1, " ".join(v)), (2, " ".join([*v, "x"])), (3, " ".join([*w, "y"])), (None, " ".join([*w, "z"])), (None, "alone in here"), (7, "alone in here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, 1), (None, 7), (7, 7)], key=str)
+
+
 def test_parity_sketch_bounds_difference():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))

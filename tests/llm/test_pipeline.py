@@ -39,6 +39,15 @@ def test_stages(spark, tmp_path):
     assert langid.fit(docs.limit(0)).labels == []
 
 
+def test_near_duplicates_keep_every_text_of_an_id(spark):
+    w, v, u = (" ".join(f"{c}{i}" for i in range(60)) for c in "wvu")
+    rows = [(1, w), (1, v), (1, v), (2, v + " x"), (3, w + " y"), (None, u), (None, u + " z"), (4, u), (5, ""), (5, ""), (6, "other words here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, w), (1, v), (4, u), (5, ""), (5, ""), (6, "other words here")], key=str)
+    assert out.columns == corpus_pipeline.COLUMNS
+
+
 def test_run_reads_documents(spark, tmp_path):
     spark.createDataFrame([(1, "word " * 60 + ".", "en", "s", 1)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
