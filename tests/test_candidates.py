@@ -158,7 +158,16 @@ def test_grounding(spark, segments):
 
 
 def test_tokens_chunks_and_support(spark):
-    assert T.evidence_tokens("It’s 1,200 V at 5ma ﬁne") == ["it's", "1200", "volts", "at", "5", "milliamps", "fine"]
+    cut = {
+        "It’s 1,200 V at 5ma ﬁne": ["it's", "1200", "volts", "at", "5", "milliamps", "fine"], "12 v, 12-v 3v's 4vx é5ma 6maé _7v a8 v": ["12", "volts", "12", "v", "3", "volts's", "4vx", "5ma", "6ma", "7v", "a8", "v"],
+        "1,2,3 4,a 5,,6 \u0663 v Straße \x01v 9\x01v 1\u2003mA": ["123", "4", "a", "5", "6", "volts", "strasse", "v", "9", "v", "1", "milliamps"], "": [], "don't o'c'k 'tis": ["don't", "o'c", "k", "tis"],
+        "1," * 20_000 + "5": ["1" * 20_000 + "5"], "ab" * 20_000: ["ab" * 20_000],
+    }
+    got = spark.createDataFrame([(t,) for t in cut] + [(None,)], "t string").select("t", T.tokens("t").alias("w")).collect()
+    assert {r["t"]: r["w"] for r in got} == cut | {None: []}
+    pairs = [("the red fox ran", "a red fox walked home today"), ("red fox", "a red fox"), ("no such", "words here"), ("", "a"), (None, "a"), ("a", None)]
+    rows = spark.createDataFrame([tuple(None if x is None else x.split() for x in p) for p in pairs], "c array<string>, x array<string>").select("c", "x", T.support_score("c", "x").alias("s")).collect()
+    assert all(r["s"] == T.score_support(r["c"] or [], r["x"] or []) for r in rows) and [r["s"] for r in rows][1:] == [1.0, 0.0, 0.0, 0.0, 0.0]
     chunks = spark.range(1).select(F.explode(C.claim_chunks(F.array(*[F.lit(str(i)) for i in range(45)]))).alias("c")).collect()
     assert [(r["c"][0], len(r["c"])) for r in chunks] == [("0", 24), ("18", 24), ("36", 9)]
     assert T.score_support(["a", "b"], ["x", "a", "b"]) == 1.0 and T.score_support([], ["a"]) == 0.0

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from vodmill.functions import candidates as C
 
@@ -20,24 +19,36 @@ from vodmill.functions import candidates as C
 TOLERANCE, SUPPORT, WINDOW_SEGMENTS, WINDOW_SECONDS = 5, 0.68, 12, 30
 BUCKET = 300
 SENTINEL = "no verified in window transcript evidence"
-#: Rewriting of folded text before it is cut into tokens, in this order, and what a token is.
-REWRITES = (("’", "'"), ("–", "-"), (r"(?<=\d),(?=\d)", ""), (r"\b(\d+)\s*v\b", r"\1 volts"), (r"\b(\d+)\s*ma\b", r"\1 milliamps"))
-TOKEN = r"[a-z0-9]+(?:'[a-z]+)?"
-_REWRITES = [(re.compile(a), b) for a, b in REWRITES]
-_TOKEN = re.compile(TOKEN)
+#: Units that are spelled out after a number.
+UNITS = {"v": "volts", "ma": "milliamps"}
+_WORD, _GAP = r"\p{L}\p{N}_", r"[\s\x1c-\x1f\x85\p{Z}]"
+_UNIT = "\x01"  # stands before a unit while a text is cut
 
 
-def evidence_tokens(text: str | None) -> list[str]:
-    """Folded tokens; digits lose their commas, 'N v' and 'N ma' spell out the unit."""
-    folded = unicodedata.normalize("NFKC", text or "").casefold()
-    for pattern, new in _REWRITES:
-        folded = pattern.sub(new, folded)
-    return _TOKEN.findall(folded)
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def tokens(texts: pd.Series) -> pd.Series:
-    return texts.map(evidence_tokens)
+def tokens(text: Column | str) -> Column:
+    """Words of letters a-z and digits, with an apostrophe part; '1,200' is one number, units after a number are spelled out.
+
+    ASCII texts stay in built-in functions; only others go to Python to be folded. A NULL
+    text has no words.
+    """
+    raw = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    plain = ~raw.rlike(r"[^\x00-\x7F]")
+    low = F.translate(F.when(plain, F.lower(raw)).otherwise(_folded(F.when(~plain, raw))), _UNIT + "’", "-'")
+    numbers = F.regexp_replace(low, r"(?<=\p{Nd}),(?=\p{Nd})", "")
+    marked = F.regexp_replace(numbers, rf"(?<![{_WORD}])(\p{{Nd}}+){_GAP}*({'|'.join(UNITS)})(?![{_WORD}])", f"$1 {_UNIT}$2")
+
+    def spelled(word: Column) -> Column:
+        out = word
+        for unit, name in UNITS.items():
+            out = F.when(word.rlike(f"^{_UNIT}{unit}(?:'|$)"), F.concat(F.lit(name), F.regexp_extract(word, "'.*$", 0))).otherwise(out)
+        return out
+
+    return F.transform(F.regexp_extract_all(marked, F.lit(f"{_UNIT}?[a-z0-9]+(?:'[a-z]+)?"), F.lit(0)), spelled)
 
 
 def with_chunks(df: DataFrame, text: str) -> DataFrame:
@@ -72,10 +83,21 @@ def score_support(claim: list[str], context: list[str]) -> float:
 
 
 @F.pandas_udf(DoubleType())
-def support_score(claims: pd.Series, contexts: pd.Series) -> pd.Series:
+def _measured(claims: pd.Series, contexts: pd.Series) -> pd.Series:
     return pd.Series([0.0 if c is None or x is None else score_support(list(c), list(x)) for c, x in zip(claims, contexts, strict=True)])
 
 
+def support_score(claim: Column | str, context: Column | str) -> Column:
+    """Q2 for columns of words: claims that stand in the context, or share no word with it, are settled
+    by built-in functions; only the others go to Python. NULL or empty words give 0."""
+    c, x = (F.col(v) if isinstance(v, str) else v for v in (claim, context))
+    exact = F.contains(F.array_join(x, " "), F.array_join(c, " "))
+    open_ = F.coalesce(~exact & F.arrays_overlap(c, x), F.lit(False))
+    none = (F.coalesce(F.size(c), F.lit(0)) <= 0) | (F.coalesce(F.size(x), F.lit(0)) <= 0)
+    measured = _measured(F.when(open_, c), F.when(open_, x))
+    return F.when(none, 0.0).when(exact, 1.0).when(open_, measured).otherwise(0.0)
+
+
 def interval_join(cands: DataFrame, segments: DataFrame, before: int = 0, after: int = 0, starts_only: bool = False) -> DataFrame:
     """Candidate rows with the segments of their stream that overlap [start - before, end + after] seconds.
 

@@ -158,14 +158,62 @@ def w5_word_ngrams(spark, sf_dir):
     return grams.select("stream_id", (F.row_number().over(w) - 1).cast("long").alias("place"), "second", "gram")
 
 
-@query()
+def audit_cands(spark, sf_dir):
+    """A candidate per caption turn, whose claims plain SQL can judge.
+
+    By turn % 5: the turn's own text; words that no caption holds; both; evidence with
+    timestamps, of either kind; a stream without captions.
+    """
+    c = table(spark, sf_dir, "conversations")
+    kind, own, other = F.col("turn") % 5, F.col("text"), F.lit("Zqa zqb zqc zqd zqe.")
+    timed = F.when(F.col("conv_id") % 2 == 0, own).otherwise(other)
+    entry = F.array(F.struct(F.lit("").alias("timestamp"), (F.col("turn") * 4).cast("bigint").alias("seconds"), timed.alias("text")))
+    return c.select(
+        F.concat_ws("-", "conv_id", "turn").alias("candidate_window_id"), F.when(kind == 4, F.col("conv_id") + 1_000_000_000).otherwise(F.col("conv_id")).alias("stream_id"),
+        (F.col("turn") * 4).alias("start_seconds"), (F.col("turn") * 4 + 6).alias("end_seconds"),
+        F.when(kind == 1, other).when(kind == 2, F.concat(own, F.lit("\n"), other)).when(kind == 3, "").otherwise(own).alias("transcript_excerpt"),
+        F.when(kind == 3, entry).otherwise(F.array().cast("array<struct<timestamp:string,seconds:bigint,text:string>>")).alias("transcript_evidence"))
+
+
+def token_sql(text: str) -> str:
+    """The evidence tokens of Latin text: folded, digit groups joined, units spelled out."""
+    low = f"replace(replace(lower({text}), 'ß', 'ss'), '’', chr(39))"
+    joined = rf"regexp_replace(regexp_replace({low}, '([0-9]),([0-9])', '\1\2', 'g'), '([0-9]),([0-9])', '\1\2', 'g')"
+    for unit, name in (("v", "volts"), ("ma", "milliamps")):
+        joined = rf"regexp_replace({joined}, '(^|[^\pL\pN_])([0-9]+)\s*{unit}($|[^\pL\pN_])', '\1\2 {name}\3', 'g')"
+    return f"regexp_extract_all({joined}, '[a-z0-9]+(?:''[a-z]+)?')"
+
+
+def chunk_sql(source: str) -> str:
+    """CTE ``chunk`` (key, i, j, words): the claim chunks of ``source`` (key, claim)."""
+    return rf"""sent AS (SELECT key, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS i FROM (SELECT key, list_filter(string_split_regex(claim, '[.!?;\n]+'), lambda x: trim(x) <> '') AS ss FROM {source})),
+ tok AS (SELECT key, i, {token_sql('s')} AS w FROM sent),
+ chunk AS (SELECT key, i, j, w[j * 18 + 1 : j * 18 + 24] AS words FROM (SELECT key, i, w, unnest(range(CASE WHEN len(w) < 3 THEN 0 WHEN len(w) <= 24 THEN 1 ELSE (len(w) - 7) // 18 + 1 END)) AS j FROM tok) WHERE len(w) - j * 18 >= 3)"""
+
+
+#: The claims of ``audit_cands`` and what is to be found for each: the number of chunks and of supported ones.
+AUDIT_SQL = rf"""k AS (SELECT concat_ws('-', conv_id, turn) AS key, conv_id, turn, turn % 5 AS kind, text, turn % 5 = 3 AS timed FROM conversations),
+ ex AS (SELECT *, CASE kind WHEN 1 THEN 'Zqa zqb zqc zqd zqe.' WHEN 2 THEN text || chr(10) || 'Zqa zqb zqc zqd zqe.' WHEN 3 THEN '' ELSE text END AS excerpt FROM k),
+ cl AS (SELECT key, CASE WHEN timed THEN CASE WHEN conv_id % 2 = 0 THEN text ELSE 'Zqa zqb zqc zqd zqe.' END ELSE excerpt END AS claim FROM ex),
+ {chunk_sql('cl')},
+ per AS (SELECT key, count(*) AS chunks, count(*) FILTER (words[1] <> 'zqa') AS supported FROM chunk JOIN ex USING (key) WHERE kind <> 4 GROUP BY key),
+ base AS (SELECT ex.key, CASE WHEN kind = 4 THEN conv_id + 1000000000 ELSE conv_id END AS stream_id, kind <> 4 AS has, timed, len({token_sql('excerpt')}) = 0 AS quiet, coalesce(chunks, 0) AS chunks, coalesce(supported, 0) AS supported FROM ex LEFT JOIN per USING (key))"""
+
+
+def audit_sql(strict: bool) -> str:
+    legacy = "WHEN quiet THEN 'pass' ELSE 'fail'" if strict else "WHEN quiet THEN 'pass' WHEN chunks = 0 THEN 'unverifiable' WHEN supported = chunks THEN 'pass' WHEN supported = 0 THEN 'unverifiable' ELSE 'fail'"
+    return f"""WITH {AUDIT_SQL} SELECT key AS candidate_window_id, stream_id, CASE WHEN NOT has THEN '{'pass' if strict else 'unverifiable'}' WHEN timed THEN CASE WHEN supported = chunks THEN 'pass' ELSE 'fail' END {legacy} END AS status,
+ chunks, supported, CASE WHEN chunks > supported THEN [(chunks - supported) || ' of ' || chunks || ' claims lack support'] ELSE CAST([] AS VARCHAR[]) END AS issues FROM base"""
+
+
+@query(f"SELECT conv_id, turn, {token_sql('text')} AS tokens FROM conversations")
 def s17_evidence_tokens(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokens("text").alias("tokens"))
 
 
-@query()
+@query(f"WITH src AS (SELECT concat_ws('-', conv_id, turn) AS key, text AS claim FROM conversations), {chunk_sql('src')} SELECT CAST(split_part(key, '-', 1) AS BIGINT) AS conv_id, CAST(split_part(key, '-', 2) AS BIGINT) AS turn, CAST(i AS INT) AS i, CAST(j AS INT) AS j, array_to_string(words, ' ') AS words FROM chunk")
 def s17_s18_claim_chunks(spark, sf_dir):
-    return T.with_chunks(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text").where("chunk IS NOT NULL").select("conv_id", "turn", "chunk_no.i", "chunk_no.j", F.size("chunk").alias("n"))
+    return T.with_chunks(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text").where("chunk IS NOT NULL").select("conv_id", "turn", "chunk_no.i", "chunk_no.j", F.array_join("chunk", " ").alias("words"))
 
 
 @query(f"WITH {SEG_SQL}, o AS (SELECT *, lead(start_ms, k) OVER (PARTITION BY stream_id ORDER BY event) AS last_ms, k FROM seg, range(12) t(k)), p AS (SELECT a.stream_id, a.event, k + 1 AS length FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY event) AS rn FROM seg) a JOIN (SELECT stream_id, start_ms AS later, row_number() OVER (PARTITION BY stream_id ORDER BY event) AS rn2 FROM seg) b ON a.stream_id = b.stream_id, range(12) t(k) WHERE rn2 = rn + k AND later <= start_ms + 30000) SELECT stream_id, event, length::INT AS length FROM p")
@@ -173,33 +221,38 @@ def w4_evidence_windows(spark, sf_dir):
     return T.evidence_windows(segments(spark, sf_dir)).select("stream_id", "event", "length")
 
 
-@query()
+@query(f"WITH {AUDIT_SQL} SELECT chunk.key AS candidate_window_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN words[1] = 'zqa' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM chunk JOIN ex USING (key) WHERE kind < 3")
 def q2_support_score(spark, sf_dir):
     """The support of every claim chunk by the captions around its candidate."""
-    c = small_cands(spark, sf_dir)
+    c = audit_cands(spark, sf_dir).where("transcript_excerpt != '' AND stream_id < 1000000000")
     chunks = T.with_chunks(c.select("candidate_window_id", F.col("transcript_excerpt").alias("claim")), "claim").where("chunk IS NOT NULL").select("candidate_window_id", "chunk_no", "chunk")
     near = T.contexts(c, segments(spark, sf_dir))
     return chunks.join(near, "candidate_window_id", "left").select("candidate_window_id", "chunk_no.i", "chunk_no.j", T.support_score("chunk", "context").alias("score"))
 
 
-@query()
+@query(audit_sql(False))
 def q2_q3_audit_evidence(spark, sf_dir):
-    return T.audit_evidence(small_cands(spark, sf_dir), segments(spark, sf_dir))
+    return T.audit_evidence(audit_cands(spark, sf_dir), segments(spark, sf_dir))
 
 
-@query()
+@query(audit_sql(True))
 def q4_validate_evidence(spark, sf_dir):
-    return T.audit_evidence(small_cands(spark, sf_dir), segments(spark, sf_dir), require_timed=True)
+    return T.audit_evidence(audit_cands(spark, sf_dir), segments(spark, sf_dir), require_timed=True)
 
 
-@query()
+@query(f"SELECT status, count(*) AS n FROM ({audit_sql(False)}) GROUP BY status")
 def a13_audit_summary(spark, sf_dir):
-    return T.audit_evidence(small_cands(spark, sf_dir), segments(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
+    return T.audit_evidence(audit_cands(spark, sf_dir), segments(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {SEG_SQL}, {AUDIT_SQL}, need AS (SELECT ex.key, conv_id, turn, kind FROM ex WHERE kind <> 3 AND trim(excerpt) <> ''),
+ win AS (SELECT need.key, seg.event, seg.start_ms, seg.text, array_to_string({token_sql('seg.text')}, ' ') AS words FROM need JOIN seg ON kind <> 4 AND seg.stream_id = conv_id AND seg.start_ms BETWEEN turn * 4000 AND turn * 4000 + 6000),
+ best AS (SELECT chunk.key, i, j, arg_min((start_ms // 1000) || ':' || text, (length(text), event)) FILTER (contains(win.words, array_to_string(chunk.words, ' '))) AS b FROM chunk JOIN need USING (key) LEFT JOIN win ON win.key = chunk.key GROUP BY chunk.key, i, j),
+ told AS (SELECT key, bool_and(b IS NOT NULL) AS grounded, list(b ORDER BY i, j) AS said FROM best GROUP BY key)
+ SELECT key AS candidate_window_id, grounded, CASE WHEN grounded THEN list_filter(said, lambda x, n: n = list_position(said, x)) END AS evidence FROM told""")
 def q5_ground_evidence(spark, sf_dir):
-    return T.ground_evidence(small_cands(spark, sf_dir), segments(spark, sf_dir))
+    out = T.ground_evidence(audit_cands(spark, sf_dir), segments(spark, sf_dir))
+    return out.withColumn("evidence", F.transform("evidence", lambda e: F.concat_ws(":", e["seconds"].cast("string"), e["text"])))
 
 
 def media(spark, sf_dir):
