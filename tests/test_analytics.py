@@ -112,7 +112,15 @@ def test_csv_files(spark, tmp_path):
     assert (got["v"], float(got["r"])) == (1620, 32.75)
     assert [(r["video_id"], r["stream_position_seconds"]) for r in series.collect()] == [("v2", 60)]
     assert {r["video_id"]: (r["title"], r["content_type"]) for r in videos.collect()} == {"v1": ("T", "short"), "v2": ("U", "live")}
+    (tmp_path / "several").mkdir()
+    for name, text in (("a", "Date,Views\n2024-01-01,5\n"), ("b", "\ufeffViews,Date,Likes\n7,2024-01-02,1\n"), ("c", "Date,Views\n\"2024-01-03\",9\n"), ("d", "Views (%),Date\n")):
+        (tmp_path / "several" / f"{name}.csv").write_text(text, encoding="utf-8")
+    several = files.read_metrics_csv(spark, str(tmp_path / "several" / "*.csv"))
+    assert {tuple(r) for r in several.select("date", "views", "likes").collect()} == {("2024-01-01", "5", None), ("2024-01-02", "7", "1"), ("2024-01-03", "9", None)} and "views_pct" in several.columns
     (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "several" / "e.csv").write_text("")
+    with pytest.raises(ValueError, match="no header"):
+        files.read_metrics_csv(spark, str(tmp_path / "several" / "*.csv"))
     with pytest.raises(ValueError, match="no header"):
         files.read_metrics_csv(spark, str(tmp_path / "empty.csv"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vodmill.functions import candidates as C
 from vodmill.operators import captions as T
+from vodmill.operators import library
 from vodmill.operators import candidates as K
 from vodmill.operators import responses as R
 from vodmill.plans import bindings as B
@@ -94,6 +95,17 @@ def test_responses_and_captions(spark, tmp_path):
     assert [(r["start_ms"], r["end_ms"], r["text"]) for r in files.read_caption_json3(spark, str(f)).orderBy("event").collect()] == [(1000, 3200, "hello world"), (5000, 6000, "dragon staff")]
     bad = spark.createDataFrame([('{"events": 3}',)], "j string").select(files.caption_segments(F.col("j")).alias("s"), files.caption_plain_text(F.col("j")).alias("p")).first()
     assert bad["s"] is None
+    broken = {"a.json": '{"events": 3}', "b.json": '{"events": [{"tStartMs": "soon", "segs": [{"utf8": "x"}]}]}', "c.json": "not json", "d.json": '{"events": [{"tStartMs": [1], "segs": [{"utf8": "x"}]}]}'}
+    fine = {"e.json": '{"events": [{"tStartMs": "7", "segs": [{"utf8": "ok"}]}, {"tStartMs": "soon", "segs": []}]}', "f.json": "{}"}
+    (tmp_path / "many").mkdir()
+    for name, text in (broken | fine).items():
+        (tmp_path / "many" / name).write_text(text)
+    many = str(tmp_path / "many")
+    assert {r["file"] for r in files.caption_failures(spark, many).collect()} == set(broken)
+    assert [(r["file"], r["start_ms"], r["text"]) for r in files.read_caption_json3(spark, many, strict=False).collect()] == [("e.json", 7, "ok")]
+    for name, said in (("a.json", "no array"), ("b.json", "no number"), ("c.json", "no JSON object"), ("d.json", "no number")):
+        with pytest.raises(Exception, match=said):
+            files.read_caption_json3(spark, f"{many}/{name}").collect()
     g = tmp_path / "r.txt"
     g.write_text('```json\n{"stream_id": "s", "candidate": {"title": "A", "start_seconds": 5, "end_seconds": 9}}\n```')
     r = files.read_candidate_responses(spark, str(g)).first()
@@ -105,8 +117,22 @@ def test_media_scan_and_exports(spark, tmp_path):
         p = tmp_path / "in" / n
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(b"12")
-    got = {(r["source_path"], r["media_kind"], r["size_bytes"]) for r in files.scan_media(spark, str(tmp_path / "in"), content=False).collect()}
+    got = {(r["source_path"], r["media_kind"], r["size_bytes"]) for r in files.scan_media(spark, str(tmp_path / "in")).collect()}
     assert got == {("a/x.MP4", "video", 2), ("a/b/y.png", "image", 2)}
+    import hashlib
+
+    big = tmp_path / "in" / "a" / "x.MP4"
+    big.write_bytes(b"0123456789" * 100_000)
+    media = files.scan_media(spark, str(tmp_path / "in"))
+    lost = media.limit(1).withColumn("path", F.lit(f"file:{tmp_path}/in/gone.mp4")).withColumn("source_path", F.lit("gone.mp4"))
+    summed = files.with_checksums(media.unionByName(lost), piece=4096)
+    got = {r["source_path"]: (r["checksum_sha256"], r["error"]) for r in summed.collect()}
+    assert got["a/x.MP4"] == (hashlib.sha256(big.read_bytes()).hexdigest(), None) and got["a/b/y.png"][0] == hashlib.sha256(b"12").hexdigest()
+    assert got["gone.mp4"][0] is None and "FileNotFound" in got["gone.mp4"][1]
+    known = spark.createDataFrame([], "media_id string, source_path string, size_bytes long, source_modified_ns long, checksum_sha256 string")
+    out = {r["source_path"]: r["outcome"] for r in library.ingest(summed, known).collect()}
+    assert out == {"a/x.MP4": "created", "a/b/y.png": "created", "gone.mp4": "error"}
+    assert library.outcome_counts(library.ingest(summed, known)).first()["error"] == 1
     df = spark.createDataFrame([(1, ["a", "b"])], "id int, tags array<string>")
     files.export_candidates(df, str(tmp_path / "csv"), "csv")
     files.export_candidates(df, str(tmp_path / "json"))

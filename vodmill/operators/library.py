@@ -37,18 +37,23 @@ def ingest(files: DataFrame, media: DataFrame) -> DataFrame:
 
     ``files``: source_path, size_bytes, source_modified_ns, checksum_sha256; ``media``: the known
     rows with media_id. Content hashes come from the reading stage, so no bytes are shuffled.
-    Of new files with equal content the first path is created, the others are skipped.
+    Of new files with equal content the first path is created, the others are skipped. A
+    file whose reading failed (``error``, where ``files`` has that column) is an error,
+    unless its size and time say that it is unchanged; it stops no other.
     """
+    if "error" not in files.columns:
+        files = files.withColumn("error", F.lit(None).cast("string"))
     known = media.select("source_path", F.col("media_id").alias("own"), F.col("size_bytes").alias("old_size"), F.col("source_modified_ns").alias("old_ns"))
     owner = media.groupBy("checksum_sha256").agg(F.min("media_id").alias("holder"))
     out = files.join(known, "source_path", "left").join(owner, "checksum_sha256", "left")
     same = F.col("own").isNotNull() & (F.col("size_bytes") == F.col("old_size")) & (F.col("source_modified_ns") == F.col("old_ns"))
     held = F.col("holder").isNotNull() & (F.col("own").isNull() | (F.col("holder") != F.col("own")))
-    out = out.withColumn("fresh", ~same & ~held)
+    failed = F.col("error").isNotNull()
+    out = out.withColumn("fresh", ~same & ~held & ~failed)
     first = out.where("fresh").groupBy("checksum_sha256").agg(F.min("source_path").alias("first_path"))
     out = out.join(first, "checksum_sha256", "left")
-    outcome = F.when(same | held | (F.col("source_path") != F.col("first_path")), "skipped").when(F.col("own").isNotNull(), "updated").otherwise("created")
-    return out.select("source_path", "checksum_sha256", outcome.alias("outcome"))
+    outcome = F.when(same, "skipped").when(failed, "error").when(held | (F.col("source_path") != F.col("first_path")), "skipped").when(F.col("own").isNotNull(), "updated").otherwise("created")
+    return out.select("source_path", "checksum_sha256", outcome.alias("outcome"), "error")
 
 
 def outcome_counts(df: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,12 +23,37 @@ def normalize_header(name: str) -> str:
     return out
 
 
-def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
-    """IO1: all values as strings under normalised headers; an empty file or one without a header raises ValueError."""
-    df = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-    if not df.columns:
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line to the files that begin with it; a file without one raises ValueError.
+
+    The driver holds a line a file, as it holds the list of files. A file's first row is the
+    one with the least row number among those of its first block.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("row"))
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "row").alias("header")).collect()
+    out: dict[str, list[str]] = {}
+    for r in first:
+        if r["header"].strip("\ufeff\r "):
+            out.setdefault(r["header"].strip("\ufeff\r"), []).append(r["file"])
+    if not out or sum(map(len, out.values())) < len(set(spark.read.text(path).inputFiles())):
         raise ValueError("the CSV has no header")
-    return df.toDF(*[normalize_header(c) for c in df.columns])
+    return out
+
+
+def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
+    """IO1: all values as strings under normalised headers; an empty file or one without a header raises ValueError.
+
+    Files of several exports may differ in their columns and in the columns' order: those
+    that share a header line are read together, then joined by name; a column that a file
+    lacks is NULL there.
+    """
+    out = None
+    for names in sorted(_headers(spark, path).items()):
+        df = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(names[1])
+        df = df.toDF(*[normalize_header(c) for c in df.columns])
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def read_report_json(spark: SparkSession, path: str) -> DataFrame:
@@ -57,10 +85,37 @@ def caption_segments(json: Column, collapse: bool = True) -> Column:
     return F.filter(F.transform(events, one), lambda x: x["text"] != "")
 
 
-def read_caption_json3(spark: SparkSession, path: str) -> DataFrame:
-    """IO3: caption segments of each file in event order."""
+def caption_error(json: Column) -> Column:
+    """Why a JSON3 caption text can't be read: no JSON object, ``events`` that is no array, a time that is no number; else NULL."""
+    raw = F.get_json_object(json, "$.events")
+    shown = lambda e: F.exists(
+        F.coalesce(F.from_json(F.get_json_object(e, "$.segs"), "array<string>"), F.array().cast("array<string>")),
+        lambda s: F.coalesce(F.trim(F.regexp_replace(F.get_json_object(s, "$.utf8"), r"\s+", " ")), F.lit("")) != "")
+    odd = lambda e, p: F.coalesce(F.get_json_object(e, p), F.lit("")).rlike(r"\S") & F.get_json_object(e, p).try_cast("double").isNull()
+    events = F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))
+    bad = F.exists(events, lambda e: (odd(e, "$.tStartMs") | odd(e, "$.dDurationMs")) & shown(e))
+    return (
+        F.when(~F.startswith(F.ltrim(F.coalesce(F.get_json_object(json, "$"), F.lit(""))), F.lit("{")), "the caption text is no JSON object")
+        .when(raw.isNotNull() & ~F.startswith(F.ltrim(raw), F.lit("[")), "the events field is no array").when(bad, "an event has a time that is no number"))
+
+
+def read_caption_json3(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """IO3: caption segments of each file in event order.
+
+    A file that can't be read raises; with ``strict=False`` it gives no rows, and ``caption_failures`` names it.
+    """
     doc = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    return doc.select("file", F.explode(caption_segments(F.col("value"))).alias("s")).select("file", "s.*")
+    error = caption_error(F.col("value"))
+    found = caption_segments(F.col("value"))
+    told = F.raise_error(F.concat(F.col("file"), F.lit(": "), error)).cast("array<struct<event:int,start_ms:bigint,end_ms:bigint,text:string>>")
+    found = F.when(error.isNull(), found).otherwise(told if strict else F.lit(None))
+    return doc.select("file", F.explode(found).alias("s")).select("file", "s.*")
+
+
+def caption_failures(spark: SparkSession, path: str) -> DataFrame:
+    """IO3: (file, error) of the caption files that can't be read."""
+    doc = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), caption_error(F.col("value")).alias("error"))
+    return doc.where("error IS NOT NULL")
 
 
 def caption_plain_text(json: Column) -> Column:
@@ -83,10 +138,42 @@ def media_rows(df: DataFrame, root: str) -> DataFrame:
     return df.select(rel.alias("source_path"), kind.alias("media_kind"), F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("source_modified_ns"), *rest).where("media_kind IS NOT NULL")
 
 
-def scan_media(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """IO5: media files below ``root``; the content column is only read where asked for."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return media_rows(df if content else df.drop("content"), root)
+def scan_media(spark: SparkSession, root: str) -> DataFrame:
+    """IO5: media files below ``root``, listed without reading their content; ``path`` is the whole path."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
+    return media_rows(df.withColumn("full_path", F.col("path")), root).withColumnRenamed("full_path", "path")
+
+
+def with_checksums(media: DataFrame, piece: int = 4 << 20) -> DataFrame:
+    """IO5: adds ``checksum_sha256`` and ``error`` by reading each file at ``path`` in pieces.
+
+    A recording of any length takes ``piece`` bytes of memory. A file that can't be read has
+    a NULL checksum and the reason in ``error``, and stops no other.
+    """
+    names = [f for f in media.schema if f.name not in ("checksum_sha256", "error")]
+    schema = T.StructType([*names, T.StructField("checksum_sha256", T.StringType()), T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        from pyarrow import fs
+
+        for b in batches:
+            sums, errors = [], []
+            for path in b.column("path").to_pylist():
+                digest, said = hashlib.sha256(), None
+                try:
+                    store, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+                    with store.open_input_stream(place, compression=None) as f:
+                        while part := f.read(piece):
+                            digest.update(part)
+                except Exception as e:  # noqa: BLE001  one bad file is an outcome, not the end of the job
+                    said = f"{type(e).__name__}: {e}"
+                sums.append(None if said else digest.hexdigest())
+                errors.append(said)
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in names], pa.array(sums, pa.string()), pa.array(errors, pa.string())], names=schema.names)
+
+    return media.select(*[f.name for f in names]).repartition("path").mapInArrow(run, schema)
 
 
 _EVIDENCE = "array<struct<timestamp:string,seconds:bigint,text:string>>"
