@@ -35,7 +35,7 @@ U = np.uint64
 WORDS_REMEMBERED = 100_000
 LANES = 16  # of 64 parity bits each
 SMALL_BLOCK = 16  # members up to which a block compares its pairs directly
-CLASS_BITS = 6  # leading bits of a size that name its narrow class
+CLASS_BITS = 8  # leading bits of a size that name its narrow class: below 256 each size is one
 
 
 class Shingler:
