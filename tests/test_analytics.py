@@ -95,6 +95,8 @@ def test_upsert_last_wins_and_is_idempotent(spark):
 def test_livestream_rollup(spark, daily):
     rows = spark.createDataFrame([("live_1", 0, 12.0, 14, 1), ("live_1", 60, 20.0, 25, 2)], "video string, livestreamPosition long, averageConcurrentViewers double, peakConcurrentViewers long, seq long")
     starts = spark.createDataFrame([("live_1", "2026-08-01T10:00:00Z")], "video_id string, t string").select("video_id", M.parse_datetime(F.col("t")).alias("actual_start"))
+    late = A.upsert(A.upsert(None, spark.createDataFrame([("a", 5, 9), ("b", 1, 1)], "k string, v long, seq long"), ["k"], ["seq"], across=True), spark.createDataFrame([("a", 4, 3), ("b", 2, 2)], "k string, v long, seq long"), ["k"], ["seq"], across=True)
+    assert sorted((r["k"], r["v"]) for r in late.collect()) == [("a", 5), ("b", 2)]
     series = A.upsert(None, A.timeseries(rows, starts), A.SERIES_KEY, ["seq"])
     assert [str(r["measured_at"]) for r in series.orderBy("stream_position_seconds").collect()] == ["2026-08-01 10:00:00", "2026-08-01 10:01:00"]
     r = A.livestream_rollup(daily, series).where("video_id = 'live_1'").first()

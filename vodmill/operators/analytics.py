@@ -29,9 +29,12 @@ def normalize_daily(rows: DataFrame) -> DataFrame:
     )
 
 
-def upsert(target: DataFrame | None, batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+def upsert(target: DataFrame | None, batch: DataFrame, key: list[str], order: list[str], across: bool = False) -> DataFrame:
     """``target`` with the rows of ``batch`` put in by ``key``; the batch's last row in ``order`` wins.
 
+    With ``across`` a row of ``target`` that is later in ``order`` stays, so that the result does
+    not depend on how rows are dealt into batches; the order columns are kept in the table for it.
+
     One shuffle by key; the map side keeps a row per key and task. The result is a new
     version: write it elsewhere than ``target`` is read from.
     """
@@ -39,7 +42,7 @@ def upsert(target: DataFrame | None, batch: DataFrame, key: list[str], order: li
     if target is not None:
         rows = rows.unionByName(target.withColumn("__new", F.lit(0)), allowMissingColumns=True)
     values = [c for c in rows.columns if c not in key and c != "__new"]
-    best = F.max_by(F.struct(*values), F.struct("__new", *order)).alias("v")
+    best = F.max_by(F.struct(*values), F.struct(*([*order, "__new"] if across else ["__new", *order]))).alias("v")
     return rows.groupBy(*key).agg(best).select(*key, "v.*")
 
 

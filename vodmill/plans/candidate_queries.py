@@ -48,10 +48,16 @@ def s19_s20_f8_pillars(spark, sf_dir):
     return d.select("doc_id", C.normalize_pillar(F.col("text")).alias("named"), C.infer_pillar(F.col("text")).alias("inferred"), C.is_refusal(F.col("text")).alias("refused"))
 
 
-@query(f"""WITH {CAND} SELECT {ID}, least(100, sc[2]) AS hook_strength, least(100, sc[11]) AS confidence, 75 AS audio_clarity FROM scored""")
+@query(f"""WITH {CAND} SELECT {ID}, CASE candidate_rank % 5 WHEN 1 THEN 75 WHEN 2 THEN 75 WHEN 4 THEN 100 ELSE least(100, sc[2]) END::INT AS hook_strength,
+ CASE candidate_rank % 5 WHEN 4 THEN 70 ELSE least(100, sc[11]) END::INT AS confidence, CASE candidate_rank % 5 WHEN 3 THEN 12 ELSE 75 END AS audio_clarity FROM scored""")
 def s21_parse_scores(spark, sf_dir):
+    """A name given twice, one missing, one without its colon, other order and case, a value above 100."""
     c = cands(spark, sf_dir)
-    text = F.concat(F.lit("Hook: 3, hook: "), F.col("scores.hook_strength").cast("string"), F.lit("; Confidence: "), F.col("scores.confidence").cast("string"))
+    h, f, kind = F.col("scores.hook_strength").cast("string"), F.col("scores.confidence").cast("string"), F.col("candidate_rank") % 5
+    text = (
+        F.when(kind == 0, F.concat(F.lit("Hook: 3, hook: "), h, F.lit("; Confidence: "), f)).when(kind == 1, F.concat(F.lit("Confidence: "), f, F.lit(" | Mood: 9")))
+        .when(kind == 2, F.concat(F.lit("Hook "), h, F.lit("\nConfidence:"), f, F.lit("/100"))).when(kind == 3, F.concat(F.lit("CONFIDENCE: "), f, F.lit(", audio: 12. Hook:  "), h, F.lit("%")))
+        .otherwise("Hook: 999; Confidence: unknown"))
     s = C.parse_scores(text)
     return c.select(ID, s.alias("s")).select(ID, "s.hook_strength", "s.confidence", "s.audio_clarity")
 
@@ -105,14 +111,19 @@ def a12_review_summary(spark, sf_dir):
     return K.count_by(_reviewed(spark, sf_dir), "recommendation")
 
 
-@query(f"""WITH {CAND} SELECT {ID}, CASE WHEN start_seconds % 3 = 0 THEN 2 ELSE 1 END AS n, start_seconds + CASE WHEN start_seconds % 3 = 0 THEN 5 ELSE 0 END AS first FROM scored""")
+@query(f"""WITH {CAND} SELECT {ID}, CASE start_seconds % 6 WHEN 0 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 3 WHEN 4 THEN 0 ELSE 1 END::BIGINT AS n,
+ CASE start_seconds % 6 WHEN 0 THEN start_seconds + 5 WHEN 2 THEN NULL WHEN 3 THEN start_seconds WHEN 4 THEN NULL ELSE start_seconds END AS first FROM scored""")
 def s27_parse_evidence(spark, sf_dir):
+    """Times inside, none, "no verified", more than three with the first at the start, an empty text, times outside only."""
     c = cands(spark, sf_dir)
-    s = F.col("start_seconds")
+    s, kind = F.col("start_seconds"), F.col("start_seconds") % 6
     at = lambda x: C.seconds_to_timestamp(x)
-    text = F.when(s % 3 == 0, F.concat(F.lit("said ("), at(s + 5), F.lit(") and "), at(s + 9), F.lit(" then 99:59:59"))).otherwise("nothing timed")
+    text = (
+        F.when(kind == 0, F.concat(F.lit("said ("), at(s + 5), F.lit(") and "), at(s + 9), F.lit(" then 99:59:59"))).when(kind == 2, F.concat(F.lit("No verified speech at "), at(s + 5)))
+        .when(kind == 3, F.concat_ws(", ", at(s), at(s + 1), at(F.col("end_seconds")), at(s + 2))).when(kind == 4, "").when(kind == 5, F.concat(F.lit("later "), at(F.col("end_seconds") + 1)))
+        .otherwise("nothing timed"))
     ev = C.parse_evidence(text, s, F.col("end_seconds"))
-    return c.select(ID, F.size(ev).cast("long").alias("n"), F.element_at(ev, 1)["seconds"].alias("first"))
+    return c.select(ID, F.size(ev).cast("long").alias("n"), F.get(ev, 0)["seconds"].alias("first"))
 
 
 @query(f"WITH {CAND}, {RUNS_SQL} SELECT {ID} FROM scored WHERE review_status <> 'archived' AND primary_pillar = 'artistic_process' AND list_contains(tags, 'red-widget') AND analysis_run_id IN (SELECT analysis_run_id FROM runs WHERE model = 'model-1')")

@@ -30,6 +30,9 @@ def ingest_stream(
 ) -> StreamingQuery:
     """ST2: upserts micro-batches of report rows; the last write per key wins, days before ``start`` are ignored.
 
+    Last is what ``order`` says, within a batch and between batches: the order columns stay in
+    the table, so neither the order of files nor their number per batch changes the result.
+
     ``read`` gives the current table, ``write`` stores the next version under the batch
     number, so a repeated batch writes the same version again. ``touched`` gets the video
     ids of a batch, for the rollups of affected livestreams.
@@ -37,7 +40,7 @@ def ingest_stream(
 
     def step(batch: DataFrame, number: int) -> None:
         new = A.normalize_daily(batch).where(F.col("date") >= start)
-        write(A.upsert(read(), new, A.DAILY_KEY, order), number)
+        write(A.upsert(read(), new, A.DAILY_KEY, order, across=True), number)
         if touched:
             touched(new.select("video_id").distinct(), number)
 
