@@ -49,12 +49,30 @@ def t2_structured_final(spark, sf_dir):
     return R.parse_structured_final(review_texts(spark, sf_dir)).select("quote_id", "title", "score", "local_flags", "local_recommendation")
 
 
-@query()
+T3_SQL = r"""WITH w0 AS (SELECT conv_id AS stream_id, turn, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM conversations),
+ wl AS (SELECT stream_id, flatten(list(w ORDER BY turn)) AS ws, flatten(list([turn * 4 FOR x IN w] ORDER BY turn)) AS ss FROM w0 GROUP BY 1),
+ q AS (SELECT concat_ws('-', stream_id, turn) AS quote_id, stream_id, turn, w[1:6] AS need FROM w0),
+ g AS (SELECT stream_id, i, ss[i] AS second, ws[i:i + 5] AS gram FROM wl, unnest(range(1, len(ws) + 1)) t(i)),
+ best AS (SELECT quote_id, arg_min(second, i) AS second FROM q JOIN g USING (stream_id) WHERE len(need) > 0 AND gram[1:len(need)] = need GROUP BY 1),
+ x AS (SELECT quote_id, turn * 4 AS s0, turn * 4 + 40 AS e, second, 80 + turn % 10 AS score, turn % 2 = 0 AS cut, turn % 3 = 0 AS bound FROM q LEFT JOIN best USING (quote_id)),
+ n AS (SELECT *, CASE WHEN second IS NULL THEN '' WHEN second BETWEEN s0 AND e THEN 'verified' WHEN second BETWEEN s0 - 15 AND s0 - 1 THEN 'start-adjusted-to-caption-quote' ELSE 'caption-quote-outside-window' END AS note,
+  CASE WHEN second BETWEEN s0 - 15 AND s0 - 1 THEN second ELSE s0 END AS start_seconds FROM x),
+ r AS (SELECT *, note IN ('verified', 'start-adjusted-to-caption-quote') AS sure, list_filter([CASE WHEN cut THEN 'incomplete-thought' END, CASE WHEN bound THEN 'not-standalone' END, CASE WHEN note NOT IN ('', 'verified') THEN note END,
+  CASE WHEN note NOT IN ('verified', 'start-adjusted-to-caption-quote') THEN 'caption-quote-needs-verification' END], lambda t: t IS NOT NULL) AS risks FROM n)
+SELECT quote_id, 'Clip one' AS title, start_seconds::BIGINT AS start_seconds, e::BIGINT AS end_seconds, (e - start_seconds)::BIGINT AS duration_seconds, 'artistic_process' AS primary_pillar,
+ ['artistic-process', 'short-ready', 'native-youtube-structured-v1', CASE WHEN bound THEN 'reject-or-manual-rescue' WHEN cut THEN 'reject' ELSE 'candidate-ok' END] AS tags, risks,
+ CASE WHEN len(risks) > 0 THEN 'needs_verification' ELSE 'pending_review' END AS review_status, sure AS caption_quote_verified, 1 AS estimated_short_count,
+ least(100, score + 2)::INT AS hook_strength, CASE WHEN cut OR bound THEN least(score, 70) ELSE score END::INT AS standalone_clarity, 88 AS audio_clarity, 72 AS educational_value, CASE WHEN cut OR bound THEN 82 ELSE 92 END AS confidence FROM r"""
+
+
+@query(T3_SQL)
 def t3_structured_candidates(spark, sf_dir):
     reviews = R.parse_structured_final(review_texts(spark, sf_dir))
     quotes = reviews.select("quote_id", "stream_id", F.col("exact_caption_quote").alias("quote"))
     words = T.caption_words(segments(spark, sf_dir), order=("event",))
-    return R.structured_candidates(reviews.drop("stream_id"), T.align_quotes(quotes, words))
+    out = R.structured_candidates(reviews.drop("stream_id"), T.align_quotes(quotes, words))
+    scores = ("hook_strength", "standalone_clarity", "audio_clarity", "educational_value", "confidence")
+    return out.select(*[c for c in out.columns if c != "scores"], *[F.col(f"scores.{c}").alias(c) for c in scores])
 
 
 @query("SELECT concat('vid', p_partkey) AS video_id, 'final' AS artifact_type, strlen(p_name) AS n FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT concat('vid', p_partkey), 'prompts', strlen('{\"a\":\"watch?v=vid' || p_partkey || '&t=1\"}') FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 0 UNION ALL SELECT concat('vid', p_partkey), 'prompts', strlen('{\"a\":\"watch?v=vid' || p_partkey || '&t=1\"}') FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 1")
