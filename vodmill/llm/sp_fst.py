@@ -9,8 +9,9 @@ For a unigram model an arc weighs the negative score of its piece, and the last
 no part of a state. The merges of a BPE model are no sum of scores: there every arc weighs
 nothing, and a filter lets an arc follow only a piece that the merges would leave
 standing beside its own. The start is followed by any piece that its own merges make.
-Pieces with a mark inside hold nothing but marks, so a run of marks and the text up to
-the next one is encoded alone and remembered.
+No arc reaches over two characters that stand side by side in no piece, so the lattice
+falls apart between them: each run between such places is composed alone and remembered,
+as is each run of marks with the text up to the next one.
 """
 
 from __future__ import annotations
@@ -64,7 +65,10 @@ class Transducer:
             for p in model.pieces
         ]
         self.split = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        #: Characters that stand side by side in a piece.
+        self.joined = {x[i:i + 2] for x in self.pieces for i in range(len(x) - 1)}
         self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         self.beside: dict[tuple[int, int], bool] = {}
         self.remembered = remembered
         self.directly = 0  # words that the lattice had no path for
@@ -132,7 +136,9 @@ class Transducer:
         is settled when it is first met. No merge reaches over a character without a piece,
         so any piece may stand beside it.
         """
-        n, bpe, beside, push, pop = len(word), self.bpe, self.beside, heapq.heappush, heapq.heappop
+        n, bpe, beside = len(word), self.bpe, self.beside
+        # arcs of equal weight come longest last, so a stack already has the farthest on top
+        push, pop = (list.append, list.pop) if bpe else (heapq.heappush, heapq.heappop)
         settled: dict[tuple[int, int], tuple[int, int, int]] = {}
         waiting = [(0.0, 0, 0, START, START)]  # cost, less the place reached, place left, last piece there, piece
         while waiting:
@@ -157,11 +163,11 @@ class Transducer:
                 push(waiting, (cost + weight, -end, to, k, piece))
         return None
 
-    def _word(self, word: str) -> bytes:
-        path = self._path(word)
+    def _run(self, run: str) -> bytes:
+        path = self._path(run)
         if path is None:  # merges that no pair of neighbours tells
             self.directly += 1
-            path = [self.pieces.get(p, -1 - ord(p[0])) for p in self.merged(word)]
+            path = [self.pieces.get(p, -1 - ord(p[0])) for p in self.merged(run)]
         ids: list[int] = []
         for k in path:
             if k >= 0:
@@ -170,6 +176,17 @@ class Transducer:
                 ids += [self.byte[b] for b in chr(-1 - k).encode("utf-8", "surrogatepass")]
         return pack(f"<{len(ids)}I", *ids)
 
+    def _word(self, word: str) -> bytes:
+        joined, runs, start, out = self.joined, self.runs, 0, []
+        for at in [i for i in range(1, len(word)) if word[i - 1:i + 1] not in joined] + [len(word)]:
+            run = word[start:at]
+            ids = runs.get(run)
+            if ids is None:
+                ids = runs[run] = self._run(run)
+            out.append(ids)
+            start = at
+        return b"".join(out)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         if not text:
@@ -178,6 +195,8 @@ class Transducer:
             self.words.clear()
         if len(self.beside) > 4 * self.remembered:
             self.beside.clear()
+        if len(self.runs) > self.remembered:
+            self.runs.clear()
         words = self.split((MARK if self.prefix else "") + text.replace(" ", MARK))
         known = self.words
         for w in set(words).difference(known):
