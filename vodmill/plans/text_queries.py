@@ -16,17 +16,25 @@ from .registry import query, scratch, table
 
 
 def native_texts(spark, sf_dir):
+    """Two candidates a text, in four shapes: all labels, no scores at all, other order and case of labels, no "n." before the title."""
     p = table(spark, sf_dir, "part")
     at = lambda m: F.format_string("%02d:%02d", F.col("p_size") + m, F.col("p_partkey") % 60)
-    one = lambda n, m, score: F.concat(
-        F.lit(f"{n}. "), F.col("p_name"), F.lit(" ("), at(m), F.lit(" - "), at(m + 5), F.lit(f")\nRank: {n}\nPrimary Pillar: Humor & personality\nSummary: made of "), F.col("p_type"),
-        F.lit(f"\n  more\nTags: {score}, #"), F.col("p_brand"), F.lit('\nPossible Hooks: "a b" / c\nWindow Type: source-window\nChatter Risk: low\nExact Caption Quote: so it is\nCompleteness Check: yes\nComponent Scores: Hook: 99, Confidence: '),
-        (F.col("p_partkey") % 100).cast("string"), F.lit("\nUsefulness Score: 77\n\n"))
+    kind = F.col("p_partkey") % 4
+
+    def one(n: int, m: int, tag: str):
+        head = F.concat(F.when(kind == 3, "").otherwise(f"{n}. "), F.col("p_name"), F.lit(" ("), at(m), F.lit(" - "), at(m + 5), F.lit(f")\nRank: {n}\n"))
+        pillar, summary = F.lit("Primary Pillar: Humor & personality\n"), F.concat(F.lit("Summary: made of "), F.col("p_type"), F.lit("\n  more\n"))
+        tags, hooks = F.concat(F.lit(f"Tags: {tag}, #"), F.col("p_brand"), F.lit("\n")), F.lit('Possible Hooks: "a b" / c\n')
+        rest = F.lit("Window Type: source-window\nChatter Risk: low\nExact Caption Quote: so it is\nCompleteness Check: yes\n")
+        scores = F.concat(F.lit("Component Scores: Hook: 99, Confidence: "), (F.col("p_partkey") % 100).cast("string"), F.lit("\nUsefulness Score: 77\n"))
+        body = F.when(kind == 1, F.concat(pillar, summary, tags, hooks, rest)).when(kind == 2, F.concat(scores, rest, hooks, tags, summary, pillar)).otherwise(F.concat(pillar, summary, tags, hooks, rest, scores))
+        return F.concat(head, body, F.lit("\n"))
+
     return p.select("p_partkey", F.concat(F.lit("Here it is\n"), one(1, 0, "x y"), one(2, 9, "z")).alias("text"))
 
 
 @query("""SELECT p_partkey, i::INT AS position, p_name AS title, (p_size + i * 9) * 60 + p_partkey % 60 AS start_seconds, (p_size + i * 9 + 5) * 60 + p_partkey % 60 AS end_seconds, 'personal_journey_recovery' AS primary_pillar, 'made of ' || p_type || ' more' AS concise_summary,
- list_concat([CASE i WHEN 0 THEN 'x-y' ELSE 'z' END], string_split(lower(p_brand), '#')) AS tags, ['a b'] AS possible_hooks, 99 AS hook_strength, (p_partkey % 100)::INT AS confidence, 77 AS editing_potential, true AS valid FROM part, range(2) t(i)""")
+ list_concat([CASE i WHEN 0 THEN 'x-y' ELSE 'z' END], string_split(lower(p_brand), '#')) AS tags, ['a b'] AS possible_hooks, CASE p_partkey % 4 WHEN 1 THEN 75 ELSE 99 END AS hook_strength, CASE p_partkey % 4 WHEN 1 THEN 70 ELSE p_partkey % 100 END::INT AS confidence, CASE p_partkey % 4 WHEN 1 THEN 80 ELSE 77 END AS editing_potential, true AS valid FROM part, range(2) t(i)""")
 def t1_native_response(spark, sf_dir):
     out = R.parse_native_response(native_texts(spark, sf_dir))
     return out.select("p_partkey", "position", "title", "start_seconds", "end_seconds", "primary_pillar", "concise_summary", "tags", "possible_hooks", "scores.hook_strength", "scores.confidence", "scores.editing_potential", "valid")
