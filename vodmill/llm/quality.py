@@ -21,8 +21,10 @@ BOILERPLATE = (
     "aviso legal", "todos los derechos reservados", "política de privacidad", "términos de uso", "condiciones de uso", "iniciar sesión", "suscríbete", "leer más",
 )
 FURNITURE_WORDS = 20
-#: A navigation line has at most so many words, in three labels or more, of one word and a half on average at most.
+#: A navigation line has at most so many words, in three labels or more, of one word and a half on average at most, and so many characters.
 LABEL_WORDS = 12
+LABEL_CHARS = 120
+LABEL_ENDS = ".!?|›»·•/:"
 #: A line of at most LABEL_WORDS words that stands so often in a text is furniture of its page.
 REPEATED = 3
 SYMBOLS = "#*$%&|<>"
@@ -85,9 +87,9 @@ def line_ok(line: Column, furniture: bool, repeated: Column, symbol_share: float
     words = F.size(F.array_remove(F.split(line, WORD_GAP), ""))
     marked = F.when(_has(line, SYMBOLS), F.regexp_count(line, F.lit(r"[#*$%&|<>]+")) > symbol_share * words)
     shouted = F.when(F.contains(line, F.lit("!!")), F.regexp_count(line, F.lit("!!")) > shout_share * words)
-    few = F.length(line) <= 40 * LABEL_WORDS
+    ends = F.length(line) - F.length(F.translate(line, LABEL_ENDS, ""))
     labels = F.regexp_count(line, F.lit(r"[.!?|›»·•/:]+(?=[\s\"'”’»)\]]|$)"))
-    menu = F.when(few & (words <= LABEL_WORDS), (labels >= 3) & (2 * words <= 3 * labels))
+    menu = F.when((F.length(line) <= LABEL_CHARS) & (ends >= 3), (words <= LABEL_WORDS) & (labels >= 3) & (2 * words <= 3 * labels))
     phrase = F.lit(False)
     if furniture:
         named = "|".join(BOILERPLATE).replace(" ", r"\s+")
@@ -103,7 +105,7 @@ def line_ok(line: Column, furniture: bool, repeated: Column, symbol_share: float
 
 def sorted_short(lines: Column) -> Column:
     """The short lines among ``lines``, sorted, so that equal ones stand side by side."""
-    return F.sort_array(F.filter(lines, lambda s: (F.length(s) <= 40 * LABEL_WORDS) & (F.size(F.array_remove(F.split(s, WORD_GAP), "")) <= LABEL_WORDS)))
+    return F.sort_array(F.filter(lines, lambda s: (F.length(s) <= LABEL_CHARS) & (F.size(F.array_remove(F.split(s, WORD_GAP), "")) <= LABEL_WORDS)))
 
 
 def clean_lines(
@@ -128,13 +130,15 @@ def clean_lines(
         "n_symbols": symbols.cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
     })
-    out = out.withColumn("__short", F.when(F.size("__lines") - F.size(F.array_distinct("__lines")) >= REPEATED - 1, sorted_short(F.col("__lines"))))
+    out = out.withColumn("__short", F.when(F.col("n_dup_lines") >= REPEATED - 1, sorted_short(F.col("__lines"))))
     sorted_ = F.col("__short")
     often = F.array_distinct(F.filter(sorted_, lambda s, i: F.coalesce(F.get(sorted_, i - (REPEATED - 1)) == s, F.lit(False))))
     out = out.withColumn("__often", often)
     searched = F.filter("__split", lambda s: blank(s) | line_ok(s, True, F.col("__often")))
     plain = F.filter("__split", lambda s: blank(s) | line_ok(s, False, F.col("__often")))
-    out = out.withColumn("__good", F.when(_has(F.lower(t), BOILERPLATE), searched).otherwise(plain))
+    out = out.withColumn("__low", F.lower(t))
+    out = out.withColumn("__named", _has(F.col("__low"), BOILERPLATE)).drop("__low")
+    out = out.withColumn("__good", F.when(F.col("__named"), searched).otherwise(plain)).drop("__named")
     out = out.withColumn("clean_text", F.when(F.col(text).isNotNull(), F.array_join("__good", "\n")))
     out = out.withColumn("kept_chars", F.length(F.array_join(split_words(F.col("clean_text")), "")).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
