@@ -297,7 +297,7 @@ def test_quality_verdicts(spark):
 def plain_verdict(t):
     """The line rules once more, line by line: (kept, clean text)."""
     lines = (t or "").split("\n")
-    count = Counter(x for x in lines if len(WORD.findall(x)) <= 12 and len(x) <= 480)
+    count = Counter(x for x in lines if len(WORD.findall(x)) <= 12 and len(x) <= 120)
     good = []
     for line in lines:
         words = WORD.findall(line)
@@ -307,7 +307,7 @@ def plain_verdict(t):
         bad = (
             not (end in quality.TERMINAL and end or any(x in line for x in (". ", "! ", "? ")))
             or len(re.findall(r"[#*$%&|<>]+", line)) > 0.2 * len(words) or line.count("!!") > 0.3 * len(words)
-            or len(line) <= 480 and len(words) <= 12 and labels >= 3 and 2 * len(words) <= 3 * labels
+            or len(line) <= 120 and len(words) <= 12 and labels >= 3 and 2 * len(words) <= 3 * labels
             or len(words) <= 20 and any(re.search(rf"(?<![^\W\d_]){re.escape(x)}(?![^\W\d_])", low) for x in quality.BOILERPLATE)
             or count[line] >= 3
         )
@@ -553,6 +553,7 @@ def test_sentencepiece_takes_the_lattice_for_every_word(spark):
     assert machine.directly == 0
     # the filter is what makes the path the merges' own: without it the lattice holds other paths
     machine.words.clear()
+    machine.runs.clear()
     machine._follows = lambda last, k: True
     machine.beside.clear()
     assert any(np.frombuffer(machine.encode(t or ""), "<u4").tolist() != library.encode(t or "") for t in texts[:50])
