@@ -268,6 +268,8 @@ def _refined(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     partners = f"array_distinct(transform(sequence({floor(least)}, {most}, {step}), x -> {floor('x')}))"
     # of n shingles the first n - overlap + 1 suffice, and the least overlap with a set of m or more is percent (n + m) / (100 + percent)
     near = f"filter({partners}, m -> place <= n + 1 - (({percent} * (n + m) + {99 + percent}) div {100 + percent}))"
+    # few shingles stand within the longest prefix, that of the smallest partners: the rest need no list of partners
+    ranked = ranked.where(F.expr(f"place <= n + 1 - (({percent} * (n + {floor(least)}) + {99 + percent}) div {100 + percent})"))
     keyed = ranked.select("s", "id", "c", F.expr(floor("n")).alias("q"), F.explode(F.expr(near)).alias("m"))
     keyed = materialize(keyed.withColumn("lo", F.least("q", "m")).withColumn("hi", F.greatest("q", "m")), "refined")
     open_ = keyed.groupBy("s", "lo", "hi").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").drop("c1")
