@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vodmill.functions import metrics as M
 from vodmill.operators import analytics as A
 from vodmill.operators import captions as T
 from vodmill.operators import responses as R
 from vodmill.sources import files
 from vodmill.streaming import ingest
+from vodmill.streaming.store import LivestreamStore
 
 from . import bindings as B
+from .analytics_queries import ROLLUP_SQL
 from .library_queries import segments
 from .registry import query, scratch, table
 
@@ -118,20 +121,32 @@ def st1_incremental_window(spark, sf_dir):
     return ingest.incremental_window(log, "1996-01-01", "2000-01-01")
 
 
-@query(f"WITH {B.METRIC_SQL} SELECT day AS date, video AS video_id, ct AS content_type, lod AS live_or_on_demand, views FROM daily WHERE day >= '1996-06-01'")
-def st2_streaming_upsert(spark, sf_dir):
-    source, store, mark = scratch(spark, "stream-in"), scratch(spark, "stream-out"), scratch(spark, "stream-mark")
+FIRST_DAY = "1996-06-01"
+
+
+def ingested(spark, sf_dir, with_series: bool) -> LivestreamStore:
+    """A store that took lineitem's rows, and the events, in micro-batches."""
+    store = LivestreamStore(spark, scratch(spark, "store"), B.BATCH_ORDER, span=7)
     # eight files and three a batch: late rows of a key come in batches before earlier ones
+    source = scratch(spark, "stream-in")
     B.metric_rows(spark, sf_dir).repartition(8, F.xxhash64("seq", "seq2")).write.parquet(source)
-    schema = spark.read.parquet(source).schema
-    state: dict[str, str] = {}
-
-    def write(df, number):
-        path = f"{store}/v{number}"
-        df.write.mode("overwrite").parquet(path)
-        state["now"] = path
-
-    read = lambda: spark.read.parquet(state["now"]) if state else None
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(source)
-    ingest.ingest_stream(rows, "1996-06-01", read, write, B.BATCH_ORDER, mark).awaitTermination()
-    return spark.read.parquet(state["now"]).select(*A.DAILY_KEY, "views")
+    rows = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 3).parquet(source)
+    ingest.ingest_daily(rows, FIRST_DAY, store, scratch(spark, "stream-mark")).awaitTermination()
+    if with_series:
+        points = scratch(spark, "stream-in")
+        B.timeseries_rows(spark, sf_dir).repartition(4, F.xxhash64("seq")).write.parquet(points)
+        rows = spark.readStream.schema(spark.read.parquet(points).schema).option("maxFilesPerTrigger", 2).parquet(points)
+        starts = B.videos(spark, sf_dir).select("video_id", M.parse_datetime(F.col("published_at")).alias("actual_start"))
+        ingest.ingest_series(rows, starts, store, scratch(spark, "stream-mark")).awaitTermination()
+    return store
+
+
+@query(f"WITH {B.METRIC_SQL} SELECT day AS date, video AS video_id, ct AS content_type, lod AS live_or_on_demand, views FROM daily WHERE day >= '{FIRST_DAY}'")
+def st2_streaming_upsert(spark, sf_dir):
+    return ingested(spark, sf_dir, False).daily().select(*A.DAILY_KEY, "views")
+
+
+@query(f"WITH {ROLLUP_SQL.replace('FROM daily GROUP BY video', f"FROM daily WHERE day >= '{FIRST_DAY}' GROUP BY video")} SELECT * FROM roll")
+def st2_livestream_rollup(spark, sf_dir):
+    out = ingested(spark, sf_dir, True).rollup()
+    return out.withColumn("average_concurrent", F.round("average_concurrent", 4))

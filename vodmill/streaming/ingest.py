@@ -1,4 +1,4 @@
-"""Incremental ingestion of daily metrics."""
+"""Incremental ingestion of daily metrics and livestream time series."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vodmill.operators import analytics as A
 
+from .store import LivestreamStore
+
 LATE_DAYS = 3
 
 
@@ -24,24 +26,20 @@ def incremental_window(syncs: DataFrame, backfill_start: str, today: str) -> Dat
     return out.withColumn("no_op", F.col("start") > F.col("end"))
 
 
-def ingest_stream(
-    rows: DataFrame, start: str, read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], order: list[str], checkpoint: str,
-    touched: Callable[[DataFrame, int], None] | None = None,
-) -> StreamingQuery:
-    """ST2: upserts micro-batches of report rows; the last write per key wins, days before ``start`` are ignored.
+def _started(rows: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    Last is what ``order`` says, within a batch and between batches: the order columns stay in
-    the table, so neither the order of files nor their number per batch changes the result.
 
-    ``read`` gives the current table, ``write`` stores the next version under the batch
-    number, so a repeated batch writes the same version again. ``touched`` gets the video
-    ids of a batch, for the rollups of affected livestreams.
+def ingest_daily(rows: DataFrame, start: str, store: LivestreamStore, checkpoint: str) -> StreamingQuery:
+    """ST2: upserts micro-batches of report rows; the last write per key wins, days before ``start`` are ignored.
+
+    Last is what the store's order columns say, within a batch and between batches, so neither
+    the order of files nor their number per batch changes the result. The rollups of the
+    batch's videos follow in the same step; a repeated batch changes nothing.
     """
+    return _started(rows, lambda batch, number: store.ingest_daily(A.normalize_daily(batch).where(F.col("date") >= start), number), checkpoint)
 
-    def step(batch: DataFrame, number: int) -> None:
-        new = A.normalize_daily(batch).where(F.col("date") >= start)
-        write(A.upsert(read(), new, A.DAILY_KEY, order, across=True), number)
-        if touched:
-            touched(new.select("video_id").distinct(), number)
 
-    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_series(rows: DataFrame, starts: DataFrame, store: LivestreamStore, checkpoint: str) -> StreamingQuery:
+    """ST2: upserts micro-batches of time series points and renews the concurrency of their videos."""
+    return _started(rows, lambda batch, number: store.ingest_series(A.timeseries(batch, starts), number), checkpoint)
