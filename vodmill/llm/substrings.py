@@ -7,7 +7,8 @@ repeats any more. On the first level a window of the second stands for itself by
 least key among its parts, so about a quarter of the shortest windows are exchanged, and
 a longer window can only repeat where its least part does.
 
-Documents meet by key alone: a slice of documents settles what it can among its own (a
+A text that an earlier document has as a whole is settled by that alone and takes no part in
+the levels. The other documents meet by key: a slice of documents settles what it can among its own (a
 passage that many of them share costs one row a slice), the rest is dealt by key, and
 what a document learns returns to it as a list of its own keys. Texts are exchanged once.
 """
@@ -23,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import salted_left_join
+
 #: Bytes of text whose words are held at a time.
 SLICE = 4 << 20
 #: Words of the shortest windows, where the window asked for is longer.
@@ -136,26 +139,33 @@ def settled(ids: np.ndarray, keys: list[np.ndarray], last: bool) -> tuple[np.nda
 
 
 def _rows(ids: np.ndarray, keys: list[np.ndarray], last: bool) -> pa.RecordBatch:
+    """What a slice sends out: a witness has no id; what is settled has a salt that spreads it."""
     at, kind = settled(ids, keys, last)
-    salt = np.where(kind == 2, (ids[at].astype(np.uint64) * _ODD >> np.uint64(33)).astype(np.int64) + 1, 0)
-    second = keys[1][at].view(np.int64) if len(keys) > 1 else np.zeros(len(at), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(keys[0][at].view(np.int64)), pa.array(second), pa.array(salt), pa.array(ids[at]), pa.array(kind)],
-                                      names=["key", "key2", "salt", "id", "kind"])
+    salt = np.where(kind == 2, (ids[at].astype(np.uint64) * _ODD >> np.uint64(34)).astype(np.int32) + 1, 0).astype(np.int32)
+    second = (keys[1][at] >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(keys) > 1 else np.zeros(len(at), np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(keys[0][at].view(np.int64)), pa.array(second), pa.array(salt), pa.array(ids[at], mask=kind == 1)], names=["key", "key2", "salt", "id"])
 
 
-_KEYED = "key long, key2 long, salt long, id long, kind byte"
+_KEYED = "key long, key2 int, salt int, id long"
 
 
 def _learned(rows: DataFrame, last: bool) -> DataFrame:
     """(id, known): the keys of each document that repeat, at the last length those that an earlier document has."""
-    group = Window.partitionBy("key", "key2", "salt") if last else Window.partitionBy("key", "salt")
+    group = Window.partitionBy("key", "key2", "salt")
     if last:
-        told = rows.withColumn("least", F.min("id").over(group)).where("kind = 2 OR id > least")
+        told = rows.withColumn("least", F.min("id").over(group)).where("salt <> 0 OR id > least")
     else:
-        told = rows.withColumn("n", F.count("*").over(group)).where("kind = 2 OR (kind = 0 AND n > 1)")
+        told = rows.withColumn("n", F.count("*").over(group)).where("id IS NOT NULL AND (salt <> 0 OR n > 1)")
     return told.groupBy("id").agg(F.collect_list("key").alias("known"))
 
 
+def _copies(texts: DataFrame) -> DataFrame:
+    """(id, copies): marks of the texts of each id that an earlier id has too."""
+    marked = texts.where("text IS NOT NULL").select("id", F.sha2("text", 256).alias("mark"))
+    least = marked.groupBy("mark").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+    return salted_left_join(marked, least, ["mark"], "id").where("id > least").groupBy("id").agg(F.collect_set("mark").alias("copies"))
+
+
 def _listed(b: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
     """The lists of keys of a batch in one array, and the row of each."""
     lists = b.column(column)
@@ -179,12 +189,16 @@ def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window
     A NULL or empty text has no words. A NULL key counts as larger than every other; rows
     with equal keys do not precede one another. A key is a whole number. Texts shorter than
     a window keep all words; an empty table gives an empty result; other columns do not
-    matter. Keys of windows have 64 bits where they only choose candidates and 128 at the last
+    matter. Keys of windows have 64 bits where they only choose candidates and 96 at the last
     length. A document's own keys are its one unbounded group: they grow with its text.
     """
     chain = levels(window, first)
     number = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
     texts = df.select(number.alias("id"), F.col(key).alias("own"), F.col(text).alias("text"))
+    copy = F.coalesce(F.array_contains("copies", F.when(F.col("copies").isNotNull(), F.sha2("text", 256))), F.lit(False)).alias("copy")
+    # one exchange of the texts by id serves every join with them: all take the same columns
+    dealt = texts.join(_copies(texts), "id", "left").select("id", "text", "own", copy)
+    fresh = dealt.where(~F.col("copy"))
     kind = df.schema[key].dataType.simpleString()
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,12 +239,13 @@ def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window
             w = Words(b.column(1))
             owner, listed = _listed(b, 2)
             gone = np.zeros(len(w.doc) + 1, np.int64)
+            whole = b.column(4).to_numpy(zero_copy_only=False) & (w.counts >= window)
             if len(listed):
                 at = np.flatnonzero(w.inside(window))
                 at = at[_known(w.doc[at], w.keys(window)[at], owner, listed)]
                 np.add.at(gone, at, 1)
                 np.subtract.at(gone, at + window, 1)
-            gone = np.cumsum(gone[:-1]) > 0
+            gone = (np.cumsum(gone[:-1]) > 0) | whole[w.doc]
             removed = np.bincount(w.doc[gone], minlength=b.num_rows)
             left = w.flat.filter(pa.array(~gone)) if gone.any() else w.flat
             ends = np.r_[0, np.cumsum(w.counts - removed)]
@@ -243,9 +258,9 @@ def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window
                 [b.column(3), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.ListArray.from_arrays(many, spans), kept],
                 names=[key, "n_words", "n_removed", "removed", "kept"])
 
-    rows = texts.select("id", "text").mapInArrow(start, _KEYED)
+    rows = fresh.select("id", "text", "own").mapInArrow(start, _KEYED)
     for level in range(1, len(chain)):
-        held = texts.join(_learned(rows, False), "id").select("id", "text", "known", "own")
+        held = fresh.join(_learned(rows, False), "id").select("id", "text", "known", "own")
         rows = held.mapInArrow(doubled(level), _KEYED)
-    held = texts.join(_learned(rows, True), "id", "left").select("id", "text", "known", "own")
+    held = dealt.join(_learned(rows, True), "id", "left").select("id", "text", "known", "own", "copy")
     return held.mapInArrow(finish, f"`{key}` {kind}, n_words long, n_removed long, removed array<struct<start:long,length:long>>, kept string")
