@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,23 @@ def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("conv_id").alias("stream_id"), "chunk", F.to_json(F.struct(F.col("conv_id").alias("stream"), F.transform("x", lambda x: x["e"]).alias("events"))).alias("json"))
 
 
+def written(rows: DataFrame, path: str, suffix: str) -> None:
+    """A file per row (name, content) in the folder ``path``; a repeated task writes the same again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+        store.create_dir(place, recursive=True)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                with store.open_output_stream(f"{place}/{name}{suffix}", compression=None) as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    rows.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("event"), (F.col("turn") * 4000).alias("start_ms"), (F.col("turn") * 4000 + 4000).alias("end_ms"),
@@ -39,19 +59,20 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SEG_SQL} SELECT stream_id, start_ms, end_ms, text FROM seg")
 def io3_caption_json3(spark, sf_dir):
     path = scratch(spark, "captions")
-    # a caption text per line: the tests read whole files
-    caption_files(spark, sf_dir).select(F.col("json").alias("value")).write.text(path)
-    doc = spark.read.text(path).select(F.get_json_object("value", "$.stream").cast("long").alias("stream_id"), "value")
-    return doc.select("stream_id", F.explode(files.caption_segments(F.col("value"))).alias("s")).select("stream_id", "s.start_ms", "s.end_ms", "s.text")
+    written(caption_files(spark, sf_dir).select(F.concat_ws("-", "stream_id", "chunk").alias("name"), F.col("json").alias("content")), path, ".json3")
+    found = files.read_caption_json3(spark, path)
+    return found.select(F.split("file", "-")[0].cast("long").alias("stream_id"), "start_ms", "end_ms", "text")
 
 
 @query(r"""WITH c AS (SELECT conv_id AS stream_id, turn, CASE WHEN turn * 4 >= 3600 THEN printf('%02d:%02d:%02d', turn * 4 // 3600, turn * 4 // 60 % 60, turn * 4 % 60) ELSE printf('%02d:%02d', turn * 4 // 60, turn * 4 % 60) END || ' ' || text AS line
  FROM conversations WHERE trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) <> '') SELECT stream_id, string_agg(line, chr(10) ORDER BY turn) AS text FROM c GROUP BY 1""")
 def io4_caption_plain_text(spark, sf_dir):
-    # the text of a stream is one row by definition; its captions are parsed by chunks
-    parts = caption_files(spark, sf_dir).select("stream_id", "chunk", files.caption_plain_text(F.col("json")).alias("text")).where("text != ''")
-    chunks = F.sort_array(F.collect_list(F.struct("chunk", "text")))
-    return parts.groupBy("stream_id").agg(F.array_join(F.transform(chunks, lambda x: x["text"]), "\n").alias("text"))
+    path = scratch(spark, "captions")
+    written(caption_files(spark, sf_dir).select(F.concat_ws("-", "stream_id", "chunk").alias("name"), F.col("json").alias("content")), path, ".json3")
+    # the text of a stream is one row by definition; its captions are read event by event
+    place = F.split(F.regexp_replace("file", r"\.json3$", ""), "-")
+    lines = files.read_caption_lines(spark, path).select(place[0].cast("long").alias("stream_id"), F.struct(place[1].cast("long").alias("chunk"), "event", "line").alias("x"))
+    return lines.groupBy("stream_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS date, l_extendedprice AS revenue, l_quantity * 60 AS minutes FROM lineitem")
@@ -84,15 +105,19 @@ def io2_read_report_json(spark, sf_dir):
     return out.groupBy(F.element_at("record", "report").cast("long").alias("report")).agg(F.count("*").alias("n"), F.sum(F.element_at("record", "views").cast("long")).alias("views"))
 
 
-@query("SELECT doc_id::VARCHAR AS name, CASE WHEN doc_id % 2 = 0 THEN 'video' ELSE 'image' END AS media_kind, strlen(text) AS size_bytes, sha256(text) AS checksum FROM documents WHERE doc_id % 3 <> 2")
+@query("""SELECT doc_id::VARCHAR AS name, CASE WHEN doc_id % 2 = 0 THEN 'video' ELSE 'image' END AS media_kind, strlen(text) AS size_bytes, sha256(text) AS checksum, false AS failed FROM documents WHERE doc_id % 3 <> 2
+ UNION ALL SELECT 'gone-' || doc_id, 'video', 5, NULL, true FROM documents WHERE doc_id % 50 = 0""")
 def io5_scan_media(spark, sf_dir):
+    """A file per document, scanned and hashed; files that are gone when their turn comes are outcomes."""
     d = table(spark, sf_dir, "documents")
-    path = "file:/library/inbox"
-    kind = F.when(F.col("doc_id") % 3 == 2, "notes").when(F.col("doc_id") % 2 == 0, "mp4").otherwise("PNG")
-    # one file per document would be costly: a table of (path, content) stands for the binary reader's output, which the tests cover
-    rows = d.select(F.concat(F.lit(path + "/"), F.col("doc_id").cast("string"), F.lit("."), kind).alias("path"), F.col("text").cast("binary").alias("content"))
-    return files.media_rows(rows.withColumn("length", F.octet_length("content").cast("long")).withColumn("modificationTime", F.timestamp_seconds(F.lit(0))), path).select(
-        F.regexp_extract("source_path", r"^(\d+)\.", 1).alias("name"), "media_kind", "size_bytes", F.sha2("content", 256).alias("checksum"))
+    path = scratch(spark, "inbox")
+    kind = F.when(F.col("doc_id") % 3 == 2, "txt").when(F.col("doc_id") % 2 == 0, "mp4").otherwise("PNG")
+    written(d.select(F.concat_ws(".", F.col("doc_id").cast("string"), kind).alias("name"), F.col("text").alias("content")), path, "")
+    media = files.scan_media(spark, path)
+    name = F.concat(F.lit("gone-"), F.col("doc_id").cast("string"), F.lit(".mp4"))
+    gone = d.where("doc_id % 50 = 0").select(name.alias("source_path"), F.lit("video").alias("media_kind"), F.lit(5).cast("long").alias("size_bytes"), F.concat(F.lit(f"{path}/"), name).alias("path"))
+    out = files.with_checksums(media.unionByName(gone, allowMissingColumns=True))
+    return out.select(F.regexp_extract("source_path", r"^(.+)\.", 1).alias("name"), "media_kind", "size_bytes", F.col("checksum_sha256").alias("checksum"), F.col("error").isNotNull().alias("failed"))
 
 
 @query("SELECT p_partkey, p_size AS start_seconds, p_size + 60 AS end_seconds, (1 + p_partkey % 2)::INT AS candidate_rank FROM part")

@@ -11,121 +11,101 @@ from pyspark.sql import types as T
 
 from vodmill.functions.candidates import seconds_to_timestamp
 
+from .dealing import dealt_by_size
+from .json_arrays import read_elements
+from .quoted_csv import normalize_header, read_metrics_csv  # noqa: F401
+
 #: Media suffixes and files of a structured pass.
 VIDEO_SUFFIXES = ("mp4", "mov", "mkv", "webm", "avi", "m4v")
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "gif", "bmp", "tif", "tiff", "heic")
 
 
-def normalize_header(name: str) -> str:
-    out = name.strip().lstrip("﻿").lower()
-    for a, b in (("(", ""), (")", ""), ("$", ""), ("%", "pct"), ("/", "_"), ("-", "_"), (" ", "_")):
-        out = out.replace(a, b)
-    return out
+def _told(df: DataFrame) -> DataFrame:
+    """Elements whose file reads well; a file's error ends the job."""
+    said = F.when(F.col("error").isNotNull(), F.raise_error(F.concat("file", F.lit(": "), "error")).cast("string")).otherwise(F.col("element"))
+    return df.withColumn("element", said).where("element IS NOT NULL")
 
 
-def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Header line to the files that begin with it; a file without one raises ValueError.
+def read_report_json(spark: SparkSession, path: str) -> DataFrame:
+    """IO2: a map of header name to value (as text) per report row, with its file and position.
 
-    The driver holds a line a file, as it holds the list of files. A file's first row is the
-    one with the least row number among those of its first block.
-    """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("row"))
-    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "row").alias("header")).collect()
-    out: dict[str, list[str]] = {}
-    for r in first:
-        if r["header"].strip("\ufeff\r "):
-            out.setdefault(r["header"].strip("\ufeff\r"), []).append(r["file"])
-    if not out or sum(map(len, out.values())) < len(set(spark.read.text(path).inputFiles())):
-        raise ValueError("the CSV has no header")
-    return out
-
-
-def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
-    """IO1: all values as strings under normalised headers; an empty file or one without a header raises ValueError.
-
-    Files of several exports may differ in their columns and in the columns' order: those
-    that share a header line are read together, then joined by name; a column that a file
-    lacks is NULL there.
+    A report of any size is read element by element. Of headers with one name the last
+    counts. A file that is no JSON object, or whose rows are no array, raises.
     """
-    out = None
-    for names in sorted(_headers(spark, path).items()):
-        df = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(names[1])
-        df = df.toDF(*[normalize_header(c) for c in df.columns])
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    rows = _told(read_elements(spark, path, "rows", "columnHeaders"))
+    rows = rows.select("file", F.col("position").cast("int").alias("position"), F.from_json("side", "array<struct<name:string>>")["name"].alias("names"), F.from_json("element", "array<string>").alias("r"))
+    pairs = F.arrays_zip("names", F.slice("r", F.lit(1), F.size("names")).alias("values"))
+    last = F.filter(pairs, lambda e, i: F.array_position(F.slice("names", i + 2, F.size("names")), e["names"]) == 0)
+    repeated = F.size(F.array_distinct("names")) < F.size("names")
+    return rows.select("file", "position", F.map_from_entries(F.when(repeated, last).otherwise(pairs)).alias("record"))
 
 
-def read_report_json(spark: SparkSession, path: str) -> DataFrame:
-    """IO2: a map of header name to value (as text) per report row, with its file and position."""
-    schema = "columnHeaders array<struct<name:string>>, rows array<array<string>>"
-    doc = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("j"))
-    rows = doc.select("file", F.col("j.columnHeaders.name").alias("names"), F.posexplode("j.rows").alias("position", "r"))
-    return rows.select("file", "position", F.map_from_entries(F.arrays_zip(F.col("names"), F.slice("r", F.lit(1), F.size("names")))).alias("record"))
+def _seconds_part(event: Column, path: str) -> Column:
+    return F.coalesce(F.get_json_object(event, path).try_cast("double"), F.lit(0.0)).cast("long")
+
+
+def caption_event(event: Column, number: Column, collapse: bool = True) -> Column:
+    """struct<event,start_ms,end_ms,text> of one event's JSON text; a text without anything but white space is empty."""
+    pieces = F.transform(F.from_json(F.get_json_object(event, "$.segs"), "array<string>"), lambda s: F.get_json_object(s, "$.utf8"))
+    if collapse:
+        pieces = F.transform(pieces, lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
+    shown = F.filter(pieces, lambda s: s.isNotNull() & (F.trim(F.regexp_replace(s, r"\s+", " ")) != ""))
+    start = F.greatest(_seconds_part(event, "$.tStartMs"), F.lit(0))
+    return F.struct(number.alias("event"), start.alias("start_ms"), (start + F.greatest(_seconds_part(event, "$.dDurationMs"), F.lit(0))).alias("end_ms"), F.coalesce(F.array_join(shown, " "), F.lit("")).alias("text"))
+
+
+def odd_time(event: Column) -> Column:
+    """Whether an event that shows a text has a time that is no number."""
+    odd = lambda p: F.coalesce(F.get_json_object(event, p), F.lit("")).rlike(r"\S") & F.get_json_object(event, p).try_cast("double").isNull()
+    return (odd("$.tStartMs") | odd("$.dDurationMs")) & (caption_event(event, F.lit(0))["text"] != "")
 
 
 def caption_segments(json: Column, collapse: bool = True) -> Column:
-    """array<struct<event,start_ms,end_ms,text>> of a JSON3 caption text.
+    """array<struct<event,start_ms,end_ms,text>> of a JSON3 caption text that is one value.
 
     Events and segments that are no objects are skipped; NULL where ``events`` is no array.
     """
     events = F.from_json(F.get_json_object(json, "$.events"), "array<string>")
-    number = lambda e, p: F.coalesce(F.get_json_object(e, p).try_cast("double"), F.lit(0.0)).cast("long")
-
-    def text(e):
-        segs = F.transform(F.from_json(F.get_json_object(e, "$.segs"), "array<string>"), lambda s: F.get_json_object(s, "$.utf8"))
-        if collapse:
-            segs = F.transform(segs, lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
-        return F.array_join(F.filter(segs, lambda s: s.isNotNull() & (F.trim(F.regexp_replace(s, r"\s+", " ")) != "")), " ")
+    return F.filter(F.transform(events, lambda e, i: caption_event(e, i, collapse)), lambda x: x["text"] != "")
 
-    def one(e, i):
-        start = F.greatest(number(e, "$.tStartMs"), F.lit(0))
-        return F.struct(i.alias("event"), start.alias("start_ms"), (start + F.greatest(number(e, "$.dDurationMs"), F.lit(0))).alias("end_ms"), F.coalesce(text(e), F.lit("")).alias("text"))
 
-    return F.filter(F.transform(events, one), lambda x: x["text"] != "")
-
-
-def caption_error(json: Column) -> Column:
-    """Why a JSON3 caption text can't be read: no JSON object, ``events`` that is no array, a time that is no number; else NULL."""
-    raw = F.get_json_object(json, "$.events")
-    shown = lambda e: F.exists(
-        F.coalesce(F.from_json(F.get_json_object(e, "$.segs"), "array<string>"), F.array().cast("array<string>")),
-        lambda s: F.coalesce(F.trim(F.regexp_replace(F.get_json_object(s, "$.utf8"), r"\s+", " ")), F.lit("")) != "")
-    odd = lambda e, p: F.coalesce(F.get_json_object(e, p), F.lit("")).rlike(r"\S") & F.get_json_object(e, p).try_cast("double").isNull()
-    events = F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))
-    bad = F.exists(events, lambda e: (odd(e, "$.tStartMs") | odd(e, "$.dDurationMs")) & shown(e))
-    return (
-        F.when(~F.startswith(F.ltrim(F.coalesce(F.get_json_object(json, "$"), F.lit(""))), F.lit("{")), "the caption text is no JSON object")
-        .when(raw.isNotNull() & ~F.startswith(F.ltrim(raw), F.lit("[")), "the events field is no array").when(bad, "an event has a time that is no number"))
+def _caption_events(spark: SparkSession, path: str) -> DataFrame:
+    """(file, event, element, error) of caption files of any size."""
+    df = read_elements(spark, path, "events")
+    late = F.when(F.col("element").isNotNull() & odd_time(F.col("element")), "an event has a time that is no number")
+    return df.select(F.regexp_extract("file", "[^/]+$", 0).alias("file"), F.col("position").cast("int").alias("event"), "element", F.coalesce("error", late).alias("error"))
 
 
 def read_caption_json3(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """IO3: caption segments of each file in event order.
+    """IO3: caption segments of each file in event order; a file of any size is read event by event.
 
     A file that can't be read raises; with ``strict=False`` it gives no rows, and ``caption_failures`` names it.
     """
-    doc = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    error = caption_error(F.col("value"))
-    found = caption_segments(F.col("value"))
-    told = F.raise_error(F.concat(F.col("file"), F.lit(": "), error)).cast("array<struct<event:int,start_ms:bigint,end_ms:bigint,text:string>>")
-    found = F.when(error.isNull(), found).otherwise(told if strict else F.lit(None))
-    return doc.select("file", F.explode(found).alias("s")).select("file", "s.*")
+    events = _caption_events(spark, path)
+    events = _told(events) if strict else events.join(caption_failures(spark, path).select("file"), "file", "left_anti")
+    return events.select("file", caption_event(F.col("element"), F.col("event")).alias("s")).select("file", "s.*").where("text <> ''")
 
 
 def caption_failures(spark: SparkSession, path: str) -> DataFrame:
     """IO3: (file, error) of the caption files that can't be read."""
-    doc = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), caption_error(F.col("value")).alias("error"))
-    return doc.where("error IS NOT NULL")
+    return _caption_events(spark, path).where("error IS NOT NULL").groupBy("file").agg(F.min_by("error", "event").alias("error"))
 
 
-def caption_plain_text(json: Column) -> Column:
-    """IO4: a line '[HH:]MM:SS text' per event, in event order; inner white space stays."""
-    def line(s):
-        t = F.floor(s["start_ms"] / 1000)
-        stamp = F.when(t >= 3600, seconds_to_timestamp(t)).otherwise(F.format_string("%02d:%02d", F.floor(t / 60), t % 60))
-        return F.concat(stamp, F.lit(" "), s["text"])
+def _caption_line(segment: Column) -> Column:
+    t = F.floor(segment["start_ms"] / 1000)
+    stamp = F.when(t >= 3600, seconds_to_timestamp(t)).otherwise(F.format_string("%02d:%02d", F.floor(t / 60), t % 60))
+    return F.concat(stamp, F.lit(" "), segment["text"])
 
-    return F.array_join(F.transform(caption_segments(json, False), line), "\n")
+
+def read_caption_lines(spark: SparkSession, path: str) -> DataFrame:
+    """IO4: (file, event, line): a line '[HH:]MM:SS text' per event of caption files of any size; inner white space stays."""
+    events = _told(_caption_events(spark, path)).select("file", caption_event(F.col("element"), F.col("event"), False).alias("s"))
+    return events.where("s.text <> ''").select("file", "s.event", _caption_line(F.col("s")).alias("line"))
+
+
+def caption_plain_text(json: Column) -> Column:
+    """IO4 of a caption text that is one value: the lines of ``read_caption_lines`` in event order."""
+    return F.array_join(F.transform(caption_segments(json, False), _caption_line), "\n")
 
 
 def media_rows(df: DataFrame, root: str) -> DataFrame:
@@ -147,7 +127,8 @@ def scan_media(spark: SparkSession, root: str) -> DataFrame:
 def with_checksums(media: DataFrame, piece: int = 4 << 20) -> DataFrame:
     """IO5: adds ``checksum_sha256`` and ``error`` by reading each file at ``path`` in pieces.
 
-    A recording of any length takes ``piece`` bytes of memory. A file that can't be read has
+    Files are dealt over tasks by their bytes, longest first. A recording of any length
+    takes ``piece`` bytes of memory. A file that can't be read has
     a NULL checksum and the reason in ``error``, and stops no other.
     """
     names = [f for f in media.schema if f.name not in ("checksum_sha256", "error")]
@@ -173,7 +154,8 @@ def with_checksums(media: DataFrame, piece: int = 4 << 20) -> DataFrame:
                 errors.append(said)
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in names], pa.array(sums, pa.string()), pa.array(errors, pa.string())], names=schema.names)
 
-    return media.select(*[f.name for f in names]).repartition("path").mapInArrow(run, schema)
+    dealt = dealt_by_size(media.select(*[f.name for f in names]), size="size_bytes")
+    return dealt.mapInArrow(run, schema)
 
 
 _EVIDENCE = "array<struct<timestamp:string,seconds:bigint,text:string>>"
