@@ -8,13 +8,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import DoubleType, StringType
 
 from vodmill.functions import candidates as C
 
+from .blocks import following
+from .bloom import bloom
+
 #: Tolerance of the audit in seconds, the least support of a claim, window limits of the grounding.
 TOLERANCE, SUPPORT, WINDOW_SEGMENTS, WINDOW_SECONDS = 5, 0.68, 12, 30
 BUCKET = 300
@@ -98,21 +101,36 @@ def support_score(claim: Column | str, context: Column | str) -> Column:
     return F.when(none, 0.0).when(exact, 1.0).when(open_, measured).otherwise(0.0)
 
 
+def _level(length: Column, width: int) -> Column:
+    """0 for lengths up to ``width``, then one more for each doubling."""
+    return F.greatest(F.ceil(F.log2(F.greatest(length, F.lit(1)) / width)), F.lit(0)).cast("int")
+
+
+def bucketed(segments: DataFrame, start: str, end: str, width: int = BUCKET * 1000) -> DataFrame:
+    """Segments with (__lv, __b): buckets as wide as the segment is long, rounded up to a doubling of ``width``; two rows a segment at most."""
+    level = _level(F.col(end) - F.col(start), width)
+    rows = segments.withColumn("__lv", level).withColumn("__w", F.lit(width) * F.pow(F.lit(2), F.col("__lv")).cast("long"))
+    return rows.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / F.col("__w")), F.floor(F.col(end) / F.col("__w"))))).drop("__w")
+
+
 def interval_join(cands: DataFrame, segments: DataFrame, before: int = 0, after: int = 0, starts_only: bool = False) -> DataFrame:
     """Candidate rows with the segments of their stream that overlap [start - before, end + after] seconds.
 
     With ``starts_only`` a segment must start inside. Both sides are keyed by (stream,
-    time bucket), so a long stream is many keys; each pair comes out once.
+    level, time bucket): buckets of a level are as wide as its segments are long, so a segment
+    is two keys at most, and a long stream many; each pair comes out once. Candidates look into the levels that occur.
     """
     lo, hi = F.greatest(F.col("start_seconds") - before, F.lit(0)) * 1000, (F.greatest("start_seconds", "end_seconds") + after) * 1000
     width = BUCKET * 1000
-    a = cands.withColumn("__lo", lo).withColumn("__hi", hi)
-    a = a.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__lo") / width), F.floor(F.col("__hi") / width))))
-    s = segments.withColumn("__e", F.col("start_ms") if starts_only else F.greatest("start_ms", "end_ms"))
-    s = s.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_ms") / width), F.floor(F.col("__e") / width))))
-    first = F.greatest(F.floor(F.col("__lo") / width), F.floor(F.col("start_ms") / width))
+    s = bucketed(segments.withColumn("__e", F.col("start_ms") if starts_only else F.greatest("start_ms", "end_ms")), "start_ms", "__e", width)
+    # a level for each doubling of a segment's length that occurs: some twenty at most
+    levels = [0] if starts_only else sorted(r["l"] for r in segments.select(_level(F.greatest("start_ms", "end_ms") - F.col("start_ms"), width).alias("l")).distinct().collect()) or [0]
+    a = cands.withColumn("__lo", lo).withColumn("__hi", hi).withColumn("__lv", F.explode(F.array(*[F.lit(v) for v in levels])))
+    w = F.lit(width) * F.pow(F.lit(2), F.col("__lv")).cast("long")
+    a = a.withColumn("__w", w).withColumn("__b", F.explode(F.sequence(F.floor(F.col("__lo") / F.col("__w")), F.floor(F.col("__hi") / F.col("__w")))))
+    first = F.greatest(F.floor(F.col("__lo") / F.col("__w")), F.floor(F.col("start_ms") / F.col("__w")))
     inside = F.col("start_ms").between(F.col("__lo"), F.col("__hi")) if starts_only else (F.col("start_ms") <= F.col("__hi")) & (F.col("__e") >= F.col("__lo"))
-    return a.join(s, ["stream_id", "__b"]).where(inside & (F.col("__b") == first)).drop("__b", "__lo", "__hi", "__e")
+    return a.join(s, ["stream_id", "__lv", "__b"]).where(inside & (F.col("__b") == first)).drop("__b", "__lv", "__w", "__lo", "__hi", "__e")
 
 
 def normalized_words(c: Column) -> Column:
@@ -126,27 +144,39 @@ def caption_words(segments: DataFrame, text: str = "text", order: tuple[str, ...
 
 
 def word_ngrams(words: DataFrame, n: int = 8) -> DataFrame:
-    """Every word with the words that follow it, up to n in all."""
-    w = Window.partitionBy("stream_id").orderBy("place").rowsBetween(0, n - 1)
-    return words.withColumn("gram", F.collect_list("word").over(w))
+    """Every word with the words that follow it, up to n in all; a stream of any length is many blocks."""
+    return following(words, "stream_id", ["place"], ["word"], n, "gram")
+
+
+def _prefix_key(words: Column | str) -> Column:
+    return F.xxhash64("stream_id", words)
+
+
+def quote_prefixes(needles: DataFrame, words: DataFrame, long: int, short: int) -> DataFrame:
+    """(stream_id, key, k, gram, place, second): the places of the captions whose first k words may begin a needle.
+
+    Only lengths k that needles have are taken, and a Bloom filter of the needles' keys drops
+    nearly all other places before anything is exchanged.
+    """
+    lengths = [r["k"] for r in needles.select("k").distinct().collect()]
+    may_have = bloom(needles.select("key"))
+    sizes = F.filter(F.array(*[F.lit(k) for k in sorted(lengths)]).cast("array<int>"), lambda k: k <= F.size("gram"))
+    rows = word_ngrams(words, long).withColumn("k", F.explode(sizes)).withColumn("key", _prefix_key(F.slice("gram", F.lit(1), F.col("k"))))
+    return rows.where(may_have(F.col("key"))).select("stream_id", "key", "k", "gram", "place", "second")
 
 
 def align_quotes(quotes: DataFrame, words: DataFrame, long: int = 8, short: int = 5) -> DataFrame:
     """``second`` of the first place where the quote's first min(n, 8) words stand; quotes of more words fall back to 5.
 
-    ``quotes`` has quote_id, stream_id, quote. A hash of the first ``short`` or fewer words
+    ``quotes`` has quote_id, stream_id, quote. A hash of the stream and of the first ``short`` or fewer words
     keys the join; the whole needle is compared in it. NULL where nothing matches.
     """
     q = quotes.select("quote_id", "stream_id", normalized_words(F.col("quote")).alias("w")).where(F.size("w") > 0)
     full = q.withColumn("need", F.slice("w", 1, long)).withColumn("rank", F.lit(0))
     less = q.where(F.size("w") > long).withColumn("need", F.slice("w", 1, short)).withColumn("rank", F.lit(1))
-    needles = full.unionByName(less).withColumn("n", F.size("need")).withColumn("key", F.xxhash64(F.slice("need", 1, short)))
-    grams = word_ngrams(words, long)
-    # needles shorter than the key length meet a row per prefix length
-    sizes = F.filter(F.sequence(F.lit(1), F.lit(short)), lambda k: k <= F.size("gram"))
-    prefixes = grams.withColumn("k", F.explode(sizes)).withColumn("key", F.xxhash64(F.slice("gram", F.lit(1), F.col("k"))))
-    lengths = F.least(F.col("n"), F.lit(short))
-    hit = needles.withColumn("k", lengths).join(prefixes.select("stream_id", "key", "k", "gram", "place", "second"), ["stream_id", "key", "k"]).where(F.slice("gram", F.lit(1), F.col("n")) == F.col("need"))
+    needles = full.unionByName(less).withColumn("n", F.size("need")).withColumn("k", F.least(F.size("need"), F.lit(short))).withColumn("key", _prefix_key(F.slice("need", 1, short)))
+    places = quote_prefixes(needles, words, long, short)
+    hit = needles.join(places, ["stream_id", "key", "k"]).where(F.slice("gram", F.lit(1), F.col("n")) == F.col("need"))
     best = hit.groupBy("quote_id", "stream_id").agg(F.min_by("second", F.struct("rank", "place")).alias("second"))
     return quotes.join(best, ["quote_id", "stream_id"], "left")
 
@@ -197,9 +227,8 @@ def audit_evidence(cands: DataFrame, segments: DataFrame, require_timed: bool =
 
 def evidence_windows(segments: DataFrame) -> DataFrame:
     """For every segment the runs of up to 12 consecutive segments that start within 30 s of it."""
-    w = Window.partitionBy("stream_id").orderBy("event", "start_ms").rowsBetween(0, WINDOW_SEGMENTS - 1)
-    run = F.filter(F.collect_list(F.struct("start_ms", "text")).over(w), lambda s: s["start_ms"] <= F.col("start_ms") + WINDOW_SECONDS * 1000)
-    rows = segments.withColumn("__run", run)
+    held = following(segments.select("stream_id", "event", "start_ms", "text", F.col("start_ms").alias("at")), "stream_id", ["event", "start_ms"], ["at", "text"], WINDOW_SEGMENTS, "__next")
+    rows = held.withColumn("__run", F.filter("__next", lambda s: s["at"] <= F.col("start_ms") + WINDOW_SECONDS * 1000))
     prefixes = F.transform(F.sequence(F.lit(1), F.size("__run")), lambda n: F.struct(n.alias("length"), F.array_join(F.transform(F.slice("__run", F.lit(1), n), lambda s: s["text"]), " ").alias("text")))
     return rows.select("stream_id", "event", "start_ms", F.explode(prefixes).alias("p")).select("stream_id", "event", "start_ms", "p.length", F.col("p.text").alias("text"))
 
