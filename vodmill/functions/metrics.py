@@ -9,7 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Accepted date layouts, in order.
-DATE_FORMATS = ("yyyy-MM-dd", "MMM d, yyyy", "MMMM d, yyyy", "M/d/yyyy", "M/d/yy")
+DATE_LAYOUTS = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$", "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMMM d, yyyy": r"^[A-Za-z]{4,} \d{1,2}, \d{4}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+}
 DIGITS = r"^[0-9]+$"
 
 
@@ -28,8 +31,8 @@ def csv_number(c: Column) -> Column:
 def normalize_date(c: Column) -> Column:
     """The day as 'yyyy-MM-dd', from any accepted layout or an ISO date-time; '' if none fits."""
     s = F.trim(F.coalesce(c, F.lit("")))
-    two_digit = s.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$")
-    tries = [F.when(two_digit if f == "M/d/yy" else ~two_digit, F.try_to_date(s, f)) for f in DATE_FORMATS]
+    # a failing parse is the costly one: each layout is tried where its shape fits, so a row is parsed once
+    tries = [F.when(s.rlike(shape), F.try_to_date(s, layout)) for layout, shape in DATE_LAYOUTS.items()]
     iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.substring(s, 1, 10).try_cast("date"))
     return F.coalesce(F.date_format(F.coalesce(*tries, iso), "yyyy-MM-dd"), F.lit(""))
 
