@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,26 +63,53 @@ def with_chunks(df: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("chunk_no", F.struct(F.coalesce("__i", F.lit(0)).alias("i"), F.coalesce("__j", F.lit(0)).alias("j"))).drop("__s", "__i", "__t", "__tok", "__j")
 
 
+def _windows(claim: list[str], context: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, shared): windows of ``width`` words or up to the end that hold a word of the claim, and how many they share with it.
+
+    The places of each claim word in the context are listed once; running counts of them
+    give what any window holds, each word as often as the claim has it at most.
+    """
+    places: dict[str, list[int]] = {w: [] for w in claim}
+    for i, w in enumerate(context):
+        if w in places:
+            places[w].append(i)
+    n = len(context)
+    ends = np.minimum(np.arange(n) + width, n)
+    shared = np.zeros(n, np.int64)
+    for w, need in Counter(claim).items():
+        if places[w]:
+            count = np.zeros(n + 1, np.int64)
+            count[np.array(places[w]) + 1] = 1
+            count = np.cumsum(count)
+            shared += np.minimum(count[ends] - count[:n], need)
+    starts = np.flatnonzero(shared)
+    return starts, shared[starts]
+
+
 def score_support(claim: list[str], context: list[str]) -> float:
     """Q2: 1.0 if the claim's words stand in the context in a row; else the best of
     0.65 x matching ratio + 0.35 x shared words over windows of two widths.
 
-    Windows whose bound by shared words cannot beat the best so far are skipped.
+    Only windows that hold a word of the claim count. Those that could score highest by their shared
+    words are measured first; the rest is settled once no bound beats the best.
     """
     n = len(claim)
     if not n or not context:
         return 0.0
     if " ".join(claim) in " ".join(context):
         return 1.0
-    best, need = 0.0, Counter(claim)
+    found = []
     for width in (n, n + max(3, min(12, n // 2))):
-        for start in range(len(context)):
-            window = context[start:start + width]
-            shared = sum((need & Counter(window)).values())
-            if 0.65 * 2 * shared / (n + len(window)) + 0.35 * shared / n <= best:
-                continue
-            ratio = difflib.SequenceMatcher(None, claim, window, autojunk=False).ratio()
-            best = max(best, 0.65 * ratio + 0.35 * shared / n)
+        starts, shared = _windows(claim, context, width)
+        size = np.minimum(width, len(context) - starts)
+        bound = 0.65 * 2 * shared / (n + size) + 0.35 * shared / n
+        found += zip(bound.tolist(), starts.tolist(), size.tolist(), shared.tolist(), strict=True)
+    best = 0.0
+    for bound, start, size, shared in sorted(found, key=lambda x: -x[0]):
+        if bound <= best:
+            break
+        ratio = difflib.SequenceMatcher(None, claim, context[start:start + size], autojunk=False).ratio()
+        best = max(best, 0.65 * ratio + 0.35 * shared / n)
     return best
 
 
@@ -244,7 +272,11 @@ def ground_evidence(cands: DataFrame, segments: DataFrame, key: str = "candidate
     # windows are built per candidate, from segments inside it only
     windows = evidence_windows(inside.select(F.col(key).alias("stream_id"), "event", "start_ms", "text")).withColumnRenamed("stream_id", key)
     windows = windows.withColumn("tok", tokens("text"))
-    pairs = chunks.join(windows, key).where(F.arrays_overlap("chunk", "tok")).withColumn("score", support_score("chunk", "tok"))
+    # a window can only ground a chunk if its words let the score reach the least support; others take no part
+    held = F.size(F.filter("chunk", lambda w: F.array_contains("tok", w)))
+    size = F.size("chunk")
+    reach = 1.3 * held / (size + held) + 0.35 * held / size
+    pairs = chunks.join(windows, key).where(reach >= SUPPORT - 1e-9).withColumn("score", support_score("chunk", "tok"))
     best = pairs.groupBy(key, "chunk_no").agg(F.max_by(F.struct("score", "start_ms", "text"), F.struct("score", -F.length("text"), -F.col("event"), -F.col("length"))).alias("b"))
     all_ = chunks.select(key, "chunk_no").join(best, [key, "chunk_no"], "left").groupBy(key).agg(
         F.min(F.coalesce("b.score", F.lit(0.0))).alias("least"),

@@ -74,34 +74,90 @@ def embed_missing(missing: DataFrame, make_backend: Callable[[], Callable[[list]
     return missing.select("trace_id", content).mapInPandas(run, f"trace_id {t}, model_id string, embedding_dimension int, vector array<float>, normalized boolean")
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-
 def _matrix(vectors: pa.Array, n: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
-def _keep_best(best: dict, units: dict[int, np.ndarray], ids: np.ndarray, x: np.ndarray, k: int) -> None:
-    """Holds rows against ``best``: dimension -> (scores, keys), a line of k at most per query, best first."""
-    order = np.argsort(ids, kind="stable")
-    for at in range(0, len(ids), ROW_SLICE):
-        part = order[at : at + ROW_SLICE]
-        for d, q in units.items():
-            if d > x.shape[1]:
-                raise ValueError(f"dimension {d} is above {x.shape[1]}")
-            s = np.round(np.clip(q @ _unit(x[part, :d]).T, -1, 1), 8)
-            s[np.isnan(s)] = -np.inf
-            i = np.broadcast_to(ids[part], s.shape)
-            if s.shape[1] > k:  # of equal scores at the edge the smaller keys stay
-                edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                above, same = s > edge, s == edge
-                keep = above | same & (np.cumsum(same, axis=1) <= k - above.sum(axis=1, keepdims=True))
-                s, i = s[keep].reshape(-1, k), i[keep].reshape(-1, k)
-            if d in best:
-                s, i = (np.concatenate(p, axis=1) for p in zip(best[d], (s, i), strict=True))
-            place = np.lexsort((i, -s), axis=1)[:, :k]
-            best[d] = tuple(np.take_along_axis(a, place, axis=1) for a in (s, i))
+#: Up to so many queries a row is tested for being passed over; with more, one of them nearly always wants it.
+TESTED_QUERIES = 64
+#: What rounding of scores and sums may add to a bound.
+_SLACK = 1e-7
+
+
+class Prefixes:
+    """The best rows of a block of queries for several dimensions at once.
+
+    One pass over the components: products and squared lengths are summed up from the
+    smallest dimension to the largest, and give the cosine of every prefix on the way. By
+    Cauchy and Schwarz a row's cosine at a larger dimension is at most the product so far
+    plus the product of what is left of both lengths; a row that so stays below the last of the best of every
+    query, at every dimension still to come, is passed over. ``done`` and ``whole`` count
+    multiplications as made and as they would be without.
+    """
+
+    def __init__(self, queries: np.ndarray, dims: list[int], k: int):
+        top = max(dims)
+        if queries.shape[1] < top:
+            raise ValueError(f"dimension {top} is above {queries.shape[1]}")
+        self.q, self.k, self.dims = queries, k, sorted(dims)
+        self.stages = sorted({*self.dims, *((top // 4, top // 2) if top >= 32 else ())})
+        self.lengths = np.cumsum(queries * queries, axis=1)
+        self.best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.done = self.whole = 0
+
+    def _kept(self, d: int, s: np.ndarray, ids: np.ndarray) -> None:
+        k = self.k
+        i = np.broadcast_to(ids, s.shape)
+        if s.shape[1] > k:  # of equal scores at the edge the smaller keys stay
+            edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+            above, same = s > edge, s == edge
+            keep = above | same & (np.cumsum(same, axis=1) <= k - above.sum(axis=1, keepdims=True))
+            s, i = s[keep].reshape(-1, k), i[keep].reshape(-1, k)
+        if d in self.best:
+            s, i = (np.concatenate(p, axis=1) for p in zip(self.best[d], (s, i), strict=True))
+        place = np.lexsort((i, -s), axis=1)[:, :k]
+        self.best[d] = tuple(np.take_along_axis(a, place, axis=1) for a in (s, i))
+
+    def _hopeful(self, at: int, product: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Which rows may still be among the best of some query at a dimension above ``at``."""
+        out = np.zeros(product.shape[1], bool)
+        for e in self.dims:
+            if e <= at:
+                continue
+            if e not in self.best or self.best[e][0].shape[1] < self.k:
+                return np.ones(product.shape[1], bool)
+            left_q, left_x = self.lengths[:, e - 1] - self.lengths[:, at - 1], lengths[:, e - 1] - lengths[:, at - 1]
+            most = product + np.sqrt(np.maximum(left_q, 0))[:, None] * np.sqrt(np.maximum(left_x, 0))[None, :]
+            scale = np.maximum(np.sqrt(self.lengths[:, e - 1])[:, None] * np.sqrt(lengths[:, e - 1])[None, :], 1e-300)
+            out |= ~(most / scale + _SLACK < self.best[e][0][:, -1:]).all(axis=0)
+        return out
+
+    def hold(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Rows with their keys; a dimension above theirs raises ValueError."""
+        if x.shape[1] < self.dims[-1]:
+            raise ValueError(f"dimension {self.dims[-1]} is above {x.shape[1]}")
+        order = np.argsort(ids, kind="stable")
+        for begin in range(0, len(ids), ROW_SLICE):
+            part = order[begin : begin + ROW_SLICE]
+            rows, keys = x[part], ids[part]
+            lengths = np.cumsum(rows * rows, axis=1)
+            product, before = np.zeros((len(self.q), len(part))), 0
+            self.whole += len(self.q) * len(part) * self.dims[-1]
+            for d in self.stages:
+                product += self.q[:, before:d] @ rows[:, before:d].T
+                self.done += len(self.q) * len(rows) * (d - before)
+                if d in self.dims:
+                    scale = np.maximum(np.sqrt(self.lengths[:, d - 1])[:, None] * np.sqrt(lengths[:, d - 1])[None, :], 1e-300)
+                    s = np.round(np.clip(product / scale, -1, 1), 8)
+                    s[np.isnan(s)] = -np.inf
+                    self._kept(d, s, keys)
+                before = d
+                if d < self.dims[-1] and len(self.q) <= TESTED_QUERIES:
+                    hope = self._hopeful(d, product, lengths)
+                    if not hope.all():
+                        rows, keys, lengths, product = rows[hope], keys[hope], lengths[hope], product[:, hope]
+                    if not len(rows):
+                        break
 
 
 def _found(best: dict, qid: np.ndarray, key: str) -> Iterator[pa.RecordBatch]:
@@ -134,11 +190,12 @@ def cosine_top_k(rows: DataFrame, queries: DataFrame | list[tuple[int, list[floa
         qv = np.array([q["vector"] for q in first], dtype=np.float64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best, units = {}, {d: _unit(qv[:, :d]) for d in wanted if len(qid)}
+            best = Prefixes(qv, wanted, k) if len(qid) else None
             for b in batches:
-                if b.num_rows:
-                    _keep_best(best, units, b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1), b.num_rows), k)
-            yield from _found(best, qid, key)
+                if b.num_rows and best:
+                    best.hold(b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1), b.num_rows))
+            if best:
+                yield from _found(best.best, qid, key)
 
         found = rows.mapInArrow(run, shape)
     else:
@@ -155,9 +212,9 @@ def cosine_top_k(rows: DataFrame, queries: DataFrame | list[tuple[int, list[floa
                 ids, x = r.column(0).to_numpy(), _matrix(r.column(1).combine_chunks(), r.num_rows)
                 for at in range(0, q.num_rows, QUERY_BLOCK):
                     some = q.slice(at, QUERY_BLOCK)
-                    qv, best = _matrix(some.column(1).combine_chunks(), some.num_rows), {}
-                    _keep_best(best, {d: _unit(qv[:, :d]) for d in wanted}, ids, x, k)
-                    out += _found(best, some.column(0).to_numpy(), key)
+                    best = Prefixes(_matrix(some.column(1).combine_chunks(), some.num_rows), wanted, k)
+                    best.hold(ids, x)
+                    out += _found(best.best, some.column(0).to_numpy(), key)
             names = ["dimension", "query_id", key, "score"]
             return pa.Table.from_batches(out, pa.schema(list(zip(names, (pa.int32(), pa.int64(), pa.int64(), pa.float64()), strict=True))))
 

@@ -258,6 +258,19 @@ def q2_support_score(spark, sf_dir):
     return chunks.join(near, "candidate_window_id", "left").select("candidate_window_id", "chunk_no.i", "chunk_no.j", T.support_score("chunk", "context").alias("score"))
 
 
+@query()
+def q2_near_claims(spark, sf_dir):
+    """The support of claims that are nearly what was said: a turn's words, every seventh replaced and some swapped with their neighbour. No SQL measures them; a test does."""
+    c = table(spark, sf_dir, "conversations")
+    words = F.array_remove(F.split(F.lower("text"), r"\s+"), "")
+    changed = F.transform(words, lambda w, i: F.when(i % 7 == F.col("turn") % 7, F.lit("zqa")).when(i % 5 == 1, F.coalesce(F.get(words, i + 1), w)).when(i % 5 == 2, F.get(words, i - 1)).otherwise(w))
+    c = c.select(F.concat_ws("-", "conv_id", "turn").alias("candidate_window_id"), F.col("conv_id").alias("stream_id"), (F.col("turn") * 4).alias("start_seconds"), (F.col("turn") * 4 + 6).alias("end_seconds"),
+                 F.array_join(changed, " ").alias("claim"))
+    chunks = T.with_chunks(c.select("candidate_window_id", "claim"), "claim").where("chunk IS NOT NULL").select("candidate_window_id", "chunk_no", "chunk")
+    near = T.contexts(c, segments(spark, sf_dir))
+    return chunks.join(near, "candidate_window_id", "left").select("candidate_window_id", "chunk_no.i", "chunk_no.j", F.round(T.support_score("chunk", "context"), 9).alias("score"))
+
+
 @query(audit_sql(False))
 def q2_q3_audit_evidence(spark, sf_dir):
     return T.audit_evidence(audit_cands(spark, sf_dir), segments(spark, sf_dir))
