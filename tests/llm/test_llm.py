@@ -226,22 +226,48 @@ def test_neighbours_recall_and_scores(spark):
         assert list(g.sort_values("rank")["rank"]) == list(range(1, 11)) and g.sort_values("rank").score.is_monotonic_increasing
 
 
-def test_neighbours_of_clustered_vectors_come_in_bounded_chunks(spark, monkeypatch):
-    """Nearly all rows in one cell of every table: dealt over chunks, and searched as well."""
-    monkeypatch.setattr(ann, "CHUNK_ROWS", 64)
+def test_neighbours_of_clustered_vectors_come_in_bounded_parts(spark, monkeypatch):
+    """Nearly all rows in one cell of every table: they are dealt over parts all the same, each row once."""
+    monkeypatch.setattr(ann, "PART_ROWS", 64)
     rng = np.random.default_rng(1)
     centre = rng.normal(size=16)
     x = (centre + 0.05 * rng.normal(size=(1500, 16))).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     largest = []
-    near = ann._nearest
-    monkeypatch.setattr(ann, "_nearest", lambda blocks, k, kind: (largest.append(blocks.where("kind = 0").groupBy("dim", "tbl", "cell", "chunk").count().agg(F.max("count")).first()[0]), near(blocks, k, kind))[1])
+    met = ann._met
+
+    def watched(rows, asked, k, kind, tables, probes, seed, parts):
+        largest.append(rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts))).count().agg(F.max("count")).first()[0])
+        return met(rows, asked, k, kind, tables, probes, seed, parts)
+
+    monkeypatch.setattr(ann, "_met", watched)
     got = ann.search(df, F.col("id") % 100 == 0).toPandas()
     want = brute(list(enumerate(x)))
     assert sum(len({j for j, _ in want[q]} & set(g.vec_id)) for q, g in got.groupby("query_id")) / (10 * len(want)) >= 0.9
     assert largest[0] <= 130
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_a_query_is_compared_with_a_third_of_the_rows(sf):
+    """Half of brute force's distances at most, at a recall of 0.9."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    place = f"/root/testdata/{sf}/embeddings.parquet"
+    if not os.path.exists(place):
+        pytest.skip("no test data")
+    t = pq.read_table(place).sort_by("vec_id")
+    ids, x = t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist(), dtype=np.float64)
+    index, asked = ann.Index(ids, x, 24, 11), np.flatnonzero(ids % 100 == 0)
+    probes = ann.probed(x[asked], 24, 60, 11)
+    want = brute(list(zip(ids.tolist(), x, strict=True)))
+    compared = np.array([len(index.candidates(p)) for p in probes])
+    hits = [len({j for j, _ in want[int(ids[q])]} & set(index.nearest(ids[q], x[q], p, 10)[0].tolist())) for q, p in zip(asked, probes, strict=True)]
+    assert compared.mean() <= 0.35 * len(ids) and sum(hits) >= 0.9 * 10 * len(asked)
+    assert len(np.unique(index.candidates(probes[0]))) == compared[0] and len(index.candidates(None)) == len(ids)
+
+
 def test_neighbours_of_many_lengths_keep_the_exact_way(spark):
     rows = [(i, [float(1 + i % 7 + j) * (-1) ** (i * j) for j in range(1 + i % 40)]) for i in range(1200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -2,10 +2,13 @@
 
 Three rounds of random signs and a fast Hadamard transform rotate each unit vector; its
 cell in a table is the signed axis it is nearest to. Every row is indexed in every
-table. A query probes the cells of its nearest signed axes in each table; blocks of one
-cell are compared with the queries that probe it, by the exact distance in double
-precision on the original vectors. The rows of each cell are counted first, and a cell
-that holds many, as clustered vectors make them, is dealt over chunks of bounded size.
+table. A query probes the cells whose axes it is nearest to over all tables: it may take
+several of a table and none of another. The rows of these cells are its candidates, each
+compared once, by the exact distance in double precision on the original vectors.
+
+Rows are dealt into parts of bounded size, each once and with its vector; a task indexes a
+part and meets it with every query. So neither the number of tables nor crowded cells
+show in the exchange, and a part's best rows are all that leaves it.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rows of one cell that are compared at a time; a cell that holds more is dealt over chunks.
-CHUNK_ROWS = 4096
+#: Rows of a part.
+PART_ROWS = 65_536
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -47,15 +50,57 @@ def rotations(vectors: np.ndarray, tables: int, seed: int) -> np.ndarray:
     return x
 
 
-def cells(vectors: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray:
-    """The nearest ``probes`` signed axes of each row and table: axis, or axis + size for the negative side."""
+def signed_axes(vectors: np.ndarray, tables: int, seed: int) -> np.ndarray:
+    """How near each row is to each signed axis: (rows, tables, axes and then their negative sides)."""
     x = rotations(vectors, tables, seed)
-    signed = np.concatenate([x, -x], axis=-1)
-    probes = min(probes, signed.shape[-1])
-    if probes == 1:
-        return signed.argmax(axis=-1)[..., None]
-    part = np.argpartition(-signed, probes - 1, axis=-1)[..., :probes]
-    return part
+    return np.concatenate([x, -x], axis=-1)
+
+
+def cells(vectors: np.ndarray, tables: int, seed: int) -> np.ndarray:
+    """The cell of each row in each table."""
+    out = [signed_axes(vectors[at:at + 256], tables, seed).argmax(axis=-1) for at in range(0, len(vectors), 256)]
+    return np.concatenate(out).astype(np.int32)
+
+
+def probed(vectors: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray:
+    """The ``probes`` nearest cells of each row over all tables, numbered table by table."""
+    near = signed_axes(vectors, tables, seed).reshape(len(vectors), -1)
+    probes = min(probes, near.shape[1])
+    return np.argpartition(-near, probes - 1, axis=1)[:, :probes].astype(np.int32)
+
+
+class Index:
+    """The rows of a part by cell, for each table."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, tables: int, seed: int):
+        self.ids, self.x = ids, x
+        c = cells(x, tables, seed)
+        axes = 2 << max(1, (x.shape[1] - 1).bit_length())
+        self.order = np.argsort(c, axis=0, kind="stable").T
+        self.starts = np.stack([np.searchsorted(np.sort(c[:, t]), np.arange(axes + 1)) for t in range(tables)])
+        self.axes = axes
+
+    def candidates(self, probes: np.ndarray | None) -> np.ndarray:
+        """The rows of the probed cells, each once; without ``probes`` all rows."""
+        if probes is None:
+            return np.arange(len(self.ids))
+        found = np.zeros(len(self.ids), bool)
+        for p in probes:
+            t, cell = divmod(int(p), self.axes)
+            found[self.order[t, self.starts[t, cell]:self.starts[t, cell + 1]]] = True
+        return np.flatnonzero(found)
+
+    def nearest(self, query: int, v: np.ndarray, probes: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances) of the k nearest candidates but the query itself, ties to the smaller id."""
+        rows = self.candidates(probes)
+        rows = rows[self.ids[rows] != query]
+        d = np.sqrt(((self.x[rows] - v) ** 2).sum(axis=1))
+        if len(d) > k:
+            edge = np.partition(d, k - 1)[k - 1]
+            near = np.flatnonzero(d <= edge)
+            rows, d = rows[near], d[near]
+        order = np.lexsort((self.ids[rows], d))[:k]
+        return self.ids[rows[order]], d[order]
 
 
 def _vectors(col: pa.Array) -> list[np.ndarray]:
@@ -63,97 +108,56 @@ def _vectors(col: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _hashed(df: DataFrame, tables: int, probes: int, seed: int, vectors: bool = True) -> DataFrame:
-    """(dim, tbl, cell, id, vec): a row per table and probe; without ``vectors`` only the cells."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                ids, vecs = b.column(0).to_numpy(zero_copy_only=False), _vectors(b.column(1))
-                for dim in sorted({len(v) for v in vecs}):
-                    rows = [i for i, v in enumerate(vecs) if len(v) == dim]
-                    x = np.stack([vecs[i] for i in rows])
-                    c = cells(x.astype(np.float64), tables, probes, seed)
-                    who = np.broadcast_to(np.arange(len(rows))[:, None, None], c.shape).reshape(-1)
-                    tbl = np.broadcast_to(np.arange(tables)[None, :, None], c.shape).reshape(-1)
-                    made = [pa.array(np.full(len(who), dim), pa.int32()), pa.array(tbl, pa.int32()), pa.array(c.reshape(-1), pa.int32())]
-                    if vectors:
-                        raw = [v.tobytes() for v in x]
-                        made += [pa.array(ids[rows][who], pa.int64()), pa.array([raw[i] for i in who], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(made, names=["dim", "tbl", "cell", "id", "vec"][:len(made)])
-
-    return df.mapInArrow(run, "dim int, tbl int, cell int" + (", id long, vec binary" if vectors else ""))
-
-
-def _small(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """Broadcast a counted table of up to ``most`` rows; a larger one is joined by shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def _dealt(rows: DataFrame, asked: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
-    """(dim, tbl, cell, chunk, kind, id, vec): rows of a cell over chunks of about CHUNK_ROWS, its queries in each of them."""
-    counts = _small(counts.select(*on, F.ceil(F.col("n") / CHUNK_ROWS).cast("int").alias("chunks")))
-    names = ["dim", "tbl", "cell", "chunk", "kind", "id", "vec"]
-    held = rows.join(counts, on).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("kind", F.lit(0))
-    met = asked.join(counts, on).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("kind", F.lit(1))
-    return held.select(*names).unionByName(met.select(*names))
-
-
-def _nearest(blocks: DataFrame, k: int, kind: str) -> DataFrame:
-    """The k nearest rows of each block for each query in it.
-
-    Rows of a block arrive first and are held: CHUNK_ROWS or little more; its queries stream past.
-    """
-    keys = ["dim", "tbl", "cell", "chunk"]
-    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.repartition(parts, *keys).sortWithinPartitions(*keys, "kind")
+def _met(rows: DataFrame, asked: DataFrame, k: int, kind: str, tables: int, probes: int | None, seed: int, parts: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest rows that each query finds in each part; without ``probes`` among all rows."""
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")
+    held = rows.select(part, F.lit(0).alias("kind"), "id", "v")
+    met = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "id", "v")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.unionByName(met).repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held_ids, held_vecs, stacked = None, [], [], None
+        now, waiting, indexes = None, [], {}
         for b in batches:
-            key = np.stack([b.column(i).to_numpy() for i in range(5)], axis=1)
-            ids, vecs = b.column(5).to_numpy(), b.column(6)
-            edges = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key)]
+            part, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ids, vectors = b.column(2).to_numpy(), _vectors(b.column(3))
+            edges = np.r_[0, np.flatnonzero((part[1:] != part[:-1]) | (kinds[1:] != kinds[:-1])) + 1, len(part)]
             out_q, out_v, out_s = [], [], []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if hi <= lo:
                     continue
-                block, query = tuple(key[lo, :4]), key[lo, 4]
-                x = np.stack([np.frombuffer(vecs[i].as_py(), dtype=kind) for i in range(lo, hi)]).astype(np.float64)
-                if block != now:
-                    now, held_ids, held_vecs, stacked = block, [], [], None
-                if not query:
-                    held_ids.append(ids[lo:hi])
-                    held_vecs.append(x)
+                if part[lo] != now:
+                    now, waiting, indexes = part[lo], [], {}
+                if not kinds[lo]:
+                    waiting += [(ids[i], vectors[i].astype(kind)) for i in range(lo, hi)]
                     continue
-                if not held_ids:
-                    continue
-                if stacked is None:
-                    stacked = (np.concatenate(held_ids), np.concatenate(held_vecs))
-                rid, rows = stacked
-                for q, v in zip(ids[lo:hi], x, strict=True):
-                    d = np.sqrt(((rows - v) ** 2).sum(axis=1))
-                    d[rid == q] = np.inf
-                    best = np.argpartition(d, k)[:k] if len(d) > k else np.arange(len(d))
-                    best = np.flatnonzero(d <= d[best].max()) if len(d) > k else best  # ties stay
-                    best = best[np.lexsort((rid[best], d[best]))][:k]
-                    best = best[rid[best] != q]
-                    out_q.append(np.full(len(best), q))
-                    out_v.append(rid[best])
-                    out_s.append(d[best])
+                for dim in {len(v) for _, v in waiting}:
+                    mine = [(i, v) for i, v in waiting if len(v) == dim]
+                    indexes[dim] = Index(np.array([i for i, _ in mine]), np.stack([v for _, v in mine]).astype(np.float64), tables, seed)
+                waiting = []
+                for dim in {len(v) for v in vectors[lo:hi]} & set(indexes):
+                    which = [i for i in range(lo, hi) if len(vectors[i]) == dim]
+                    for at in range(0, len(which), 256):
+                        some = which[at:at + 256]
+                        x = np.stack([vectors[i] for i in some]).astype(np.float64)
+                        cells_ = [None] * len(some) if probes is None else probed(x, tables, probes, seed)
+                        for i, v, c in zip(some, x, cells_, strict=True):
+                            found, d = indexes[dim].nearest(ids[i], v, c, k)
+                            out_q.append(np.full(len(found), ids[i]))
+                            out_v.append(found)
+                            out_s.append(d)
             if out_q:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(a), t) for a, t in ((out_q, pa.int64()), (out_v, pa.int64()), (out_s, pa.float64()))],
                     names=["query_id", "vec_id", "score"])
 
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(
-    df: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", k: int = 10, tables: int = 24, probes: int = 6, seed: int = 11,
+    df: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", k: int = 10, tables: int = 24, probes: int = 60, seed: int = 11,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row where ``queries`` holds.
 
@@ -162,7 +166,8 @@ def search(
     length. Of equal vectors only the k + 1 with the smallest keys can be among any
     query's k nearest, so only they are indexed: a hot vector costs no more than others.
     Ties go to the smaller key. A query that finds fewer than k rows while there are
-    more is compared with every row, in blocks. An empty table gives no rows.
+    more is compared with every row. ``probes`` counts the cells of a query over all tables.
+    An empty table gives no rows.
     """
     e = F.col(vector)
     good = (
@@ -176,24 +181,15 @@ def search(
     rows = base.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
     rows = materialize(rows, "vectors")
     asked = materialize(base.where(queries), "queries")
-    counts = materialize(_hashed(rows, tables, 1, seed, False).groupBy("dim", "tbl", "cell").agg(F.count("*").alias("n")), "cells")
-    blocks = _dealt(_hashed(rows, tables, 1, seed), _hashed(asked, tables, probes, seed), counts, ["dim", "tbl", "cell"])
-    found = materialize(_nearest(blocks, k, kind), "nearest")
+    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(tasks, -(-rows.count() // PART_ROWS))
+    found = materialize(_met(rows, asked, k, kind, tables, probes, seed, parts), "nearest")
 
-    # queries with too few candidates meet every row, in blocks
+    # queries with too few candidates meet every row
     got = found.groupBy("query_id").agg(F.count("*").alias("c"))
-    sizes = counts.where("tbl = 0").groupBy("dim").agg(F.sum("n").alias("n"))
-    sized = asked.withColumn("dim", F.size("v")).join(_small(sizes), "dim")
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"))
+    sized = asked.withColumn("dim", F.size("v")).join(sizes, "dim")
     short = materialize(sized.join(got, sized.id == got.query_id, "left").where(F.coalesce("c", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("id", "v"), "short")
     if short.limit(1).count():
-        def flat(d: DataFrame) -> DataFrame:
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([v.tobytes() for v in _vectors(b.column(2))], pa.binary())], names=["dim", "id", "vec"])
-
-            plain = d.select(F.size("v").alias("dim"), "id", "v").mapInArrow(run, "dim int, id long, vec binary")
-            return plain.withColumn("tbl", F.lit(0)).withColumn("cell", F.lit(0))
-
-        blocks = _dealt(flat(rows), flat(short), sizes, ["dim"])
-        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(_nearest(blocks, k, kind))
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(_met(rows, short, k, kind, tables, None, seed, parts))
     return found.select("query_id", "rank", "vec_id", "score")
