@@ -128,6 +128,56 @@ def test_warc_reads_ranges(spark, monkeypatch):
     assert halves == whole and len(whole) == 200
 
 
+def test_warc_reads_runs_of_wanted_records_only(spark, monkeypatch):
+    """Bytes read: 1.2 times those of the wanted records at most; where all pass, those of the file, once."""
+    import glob
+    import json
+    import os
+
+    from pyspark.sql.datasource import In, StringStartsWith
+
+    monkeypatch.setattr(warc, "RANGE_BYTES", 60_000)
+    rng = np.random.default_rng(2)
+    path = f"{common.shared_dir(spark)}/w-runs"
+    rows = [(i, f"u{i % 3}", rng.integers(0, 1 << 60, 40 + i % 50).astype(str).tolist()) for i in range(900)]
+    df = spark.createDataFrame([(i, u, " ".join(h)) for i, u, h in rows], "page_id long, url string, html string").coalesce(1)
+    writer = warc.WarcWriter(path)
+    made = warc.with_revisits(df).select(*[c.split()[0] for c in warc.WRITE_SCHEMA.split(", ")]).toArrow()
+    writer.commit([writer.write(iter(made.to_batches()))])
+    (file,) = glob.glob(f"{path}/*.warc.gz")
+    assert len(json.load(open(f"{path}/_manifest.json"))[0]["starts"]) > 3
+    whole = [r for reader in [warc.WarcReader({"path": path})] for p in reader.partitions() for r in reader.read(p)]
+    assert len(whole) == 900
+
+    def reading(*filters):
+        reader, seen = warc.WarcReader({"path": path}), []
+        assert list(reader.pushFilters(filters)) == []
+        take = reader._bytes
+        reader._bytes = lambda f, a, b: (seen.append(b - a), take(f, a, b))[1]
+        parts = reader.partitions()
+        got = [r for p in parts for r in reader.read(p)]
+        return got, sum(seen) - sum(p.index[1] - p.index[0] for p in parts), len(seen) - len(parts)
+
+    got, read, reads = reading(StringStartsWith(("target_uri",), "u"))
+    assert got == whole and read == os.path.getsize(file) and reads < 40
+    sizes = dict(zip([r[0] for r in whole], np.diff([*sorted(x[0] for x in index_of(f"{file}.index")), os.path.getsize(file)]).tolist(), strict=True))
+    for ids in ([5, 6, 7, 300], list(range(0, 900, 2)), list(range(0, 900, 97)), []):
+        names = tuple(f"urn:page:{i}" for i in ids)
+        got, read, reads = reading(In(("record_id",), names))
+        assert got == [r for r in whole if r[0] in names] and read <= 1.2 * sum(sizes[n] for n in names) and reads <= len(ids)
+
+
+def index_of(file):
+    import json
+
+    raw, out = open(file, "rb").read(), []
+    while raw:
+        unpack = zlib.decompressobj(31)
+        out += [json.loads(x) for x in unpack.decompress(raw).splitlines()]
+        raw = unpack.unused_data
+    return out
+
+
 @pytest.mark.parametrize("short", [0, 1, 2])
 def test_warc_record_ends_just_before_the_end_of_a_read(short):
     import gzip

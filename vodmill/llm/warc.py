@@ -5,9 +5,10 @@ the files of successful attempts with places where a reader may start, and besid
 file lies an index of its records' places and headers. Reading: a partition per manifest
 range; archives from elsewhere (``.warc.gz``, ``.warc``) are cut into ranges that begin at
 the next gzip member, plain ones are a partition each. Predicates on the record type,
-digest, date, URI and record id are pushed down. With an index the reader goes from one
-wanted record to the next and, where ``payload`` is false, opens no record at all; without
-one it tests the headers and passes over blocks that fail.
+digest, date, URI and record id are pushed down. With an index the reader takes the part of
+it that belongs to its range, reads runs of wanted records at once and no others and,
+where ``payload`` is false, opens no record at all; without one it tests the headers and
+passes over blocks that fail.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SCHEMA = (
 WRITE_SCHEMA = "record_id string, record_type string, date string, target_uri string, payload_digest string, refers_to string, payload binary"
 MANIFEST = "_manifest.json"
 INDEX = ".index"
+#: Bytes of a run of wanted records that are read at once, and what a run may hold for each wanted byte.
+RUN_BYTES, RUN_SHARE = 4 << 20, 1.2
 #: Compressed bytes after which a reader's range ends at the next record.
 RANGE_BYTES = 16 << 20
 _FIELDS = {
@@ -80,6 +83,7 @@ class Written(WriterCommitMessage):
     name: str
     starts: list[int]
     size: int
+    index: list[int]  # where each range's part of the index begins, and its end
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -90,27 +94,31 @@ class WarcWriter(DataSourceArrowWriter):
         fs, base = _fs(self.path)
         fs.create_dir(base, recursive=True)
         name = f"part-{uuid.uuid4().hex}.warc.gz"  # a repeated attempt never meets another's file
-        at, starts = 0, [0]
-        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
-            with fs.open_output_stream(f"{base}/{name}{INDEX}", compression="gzip") as index:
-                for b in iterator:
-                    for i in range(b.num_rows):
-                        row = {c: b.column(k)[i].as_py() for k, c in enumerate(b.schema.names)}
-                        whole = record(row)
-                        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                        data = packer.compress(whole) + packer.flush()
-                        if at - starts[-1] >= RANGE_BYTES:
-                            starts.append(at)
-                        out.write(data)
-                        head = whole[:whole.index(b"\r\n\r\n") + 4].decode()
-                        index.write(json.dumps([at, head]).encode() + b"\n")
-                        at += len(data)
-        return Written(name, starts, at)
+        at, starts, lines, places = 0, [0], zlib.compressobj(6, zlib.DEFLATED, 31), [0]
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as out, fs.open_output_stream(f"{base}/{name}{INDEX}", compression=None) as index:
+            for b in iterator:
+                for i in range(b.num_rows):
+                    row = {c: b.column(k)[i].as_py() for k, c in enumerate(b.schema.names)}
+                    whole = record(row)
+                    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    data = packer.compress(whole) + packer.flush()
+                    if at - starts[-1] >= RANGE_BYTES:
+                        starts.append(at)
+                        index.write(lines.flush())
+                        places.append(index.tell())
+                        lines = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    out.write(data)
+                    head = whole[:whole.index(b"\r\n\r\n") + 4].decode()
+                    index.write(lines.compress(json.dumps([at, head]).encode() + b"\n"))
+                    at += len(data)
+            index.write(lines.flush())
+            places.append(index.tell())
+        return Written(name, starts, at, places)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, base = _fs(self.path)
         fs.create_dir(base, recursive=True)
-        files = [{"name": m.name, "starts": m.starts, "size": m.size} for m in messages if m]
+        files = [{"name": m.name, "starts": m.starts, "size": m.size, "index": m.index} for m in messages if m]
         with fs.open_output_stream(f"{base}/{MANIFEST}", compression=None) as out:
             out.write(json.dumps(files).encode())
 
@@ -127,9 +135,23 @@ class Range(InputPartition):
     file: str
     start: int
     end: int | None
+    index: tuple[int, int] | None
 
-    def __init__(self, file: str, start: int, end: int | None):
-        self.file, self.start, self.end = file, start, end
+    def __init__(self, file: str, start: int, end: int | None, index: tuple[int, int] | None = None):
+        self.file, self.start, self.end, self.index = file, start, end, index
+
+
+def runs_of(wanted: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the reads that hold the wanted (start, end), in order: neighbours together while little else lies between."""
+    out: list[list[int]] = []
+    held = 0
+    for a, b in wanted:
+        if out and b - out[-1][0] <= min(RUN_BYTES, RUN_SHARE * (held + b - a)):
+            out[-1][1], held = b, held + b - a
+        else:
+            out.append([a, b])
+            held = b - a
+    return [(a, b) for a, b in out]
 
 
 def _next_member(stream, limit: int | None) -> int | None:
@@ -269,8 +291,8 @@ class WarcReader(DataSourceReader):
             with fs.open_input_file(f"{base}/{MANIFEST}") as f:
                 files = json.loads(f.read())
             return [
-                Range(f"{base}/{x['name']}", a, b) for x in files if x["size"]
-                for a, b in zip(x["starts"], [*x["starts"][1:], x["size"]], strict=True)
+                Range(f"{base}/{x['name']}", a, b, i) for x in files if x["size"]
+                for a, b, i in zip(x["starts"], [*x["starts"][1:], x["size"]], zip(x["index"], x["index"][1:], strict=False), strict=True)
             ] or [Range("", 0, 0)]
         info = fs.get_file_info(base)
         found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(base, recursive=True))
@@ -308,24 +330,33 @@ class WarcReader(DataSourceReader):
                 http = fields.get("content-type", "").startswith("application/http")
                 yield self._out(row, fields, (block.partition(b"\r\n\r\n")[2] if http else block) if wanted else None)
 
+    def _bytes(self, f, start: int, end: int) -> bytes:
+        f.seek(start)
+        return f.read(end - start)
+
     def _indexed(self, fs, partition: Range) -> Iterator[tuple]:
-        """Reads the records that pass by their places in the index; their bodies alone are unpacked."""
-        with fs.open_input_file(partition.file) as f, fs.open_input_stream(f"{partition.file}{INDEX}", compression="gzip") as lines:
-            rest = b""
-            while part := lines.read(1 << 18):
-                *whole, rest = (rest + part).split(b"\n")
-                for place, head in map(json.loads, whole):
-                    if not partition.start <= place < partition.end:
-                        continue
-                    fields = _fields(head)
-                    row = self._row(fields)
-                    if row is None:
-                        continue
-                    if not self.payload or row["record_type"] == "revisit":
-                        yield self._out(row, fields, None)
-                        continue
-                    f.seek(place)
-                    yield from self._records(next(_members(f, 1)))
+        """The records that pass, by their places in the range's part of the index; only their runs are read."""
+        with fs.open_input_file(f"{partition.file}{INDEX}") as lines:
+            listed = [json.loads(x) for x in zlib.decompressobj(31).decompress(self._bytes(lines, *partition.index)).splitlines()]
+        found = []
+        for (place, head), end in zip(listed, [*(p for p, _ in listed[1:]), partition.end], strict=True):
+            fields = _fields(head)
+            row = self._row(fields)
+            if row is not None:
+                found.append((place, end, row, fields, self.payload and row["record_type"] != "revisit"))
+        runs = iter(runs_of([x[:2] for x in found if x[4]]))
+        with fs.open_input_file(partition.file) as f:
+            start = stop = 0
+            held = b""
+            for place, end, row, fields, wanted in found:
+                if not wanted:
+                    yield self._out(row, fields, None)
+                    continue
+                if place >= stop:
+                    start, stop = next(runs)
+                    held = self._bytes(f, start, stop)
+                data = zlib.decompressobj(31).decompress(memoryview(held)[place - start:end - start])
+                yield from self._records(iter([data]))
 
     def read(self, partition: Range):
         if not partition.file:
@@ -333,7 +364,7 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs as pafs
 
         fs, _ = _fs(self.path)
-        if (self.tests or not self.payload) and fs.get_file_info(f"{partition.file}{INDEX}").type == pafs.FileType.File:
+        if (self.tests or not self.payload) and partition.index and fs.get_file_info(f"{partition.file}{INDEX}").type == pafs.FileType.File:
             yield from self._indexed(fs, partition)
             return
         with fs.open_input_file(partition.file) as f:
@@ -400,11 +431,20 @@ def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html
 
 
 def write_archive(records: DataFrame, path: str) -> None:
+    """Writes records (the columns of WRITE_SCHEMA) below ``path``: a file per task, its index, and the manifest.
+
+    A NULL payload is empty, a NULL URI or reference is left out; repeated rows are records each; an
+    empty table writes an archive without records.
+    """
     register(records.sparkSession)
     records.write.format("warc").mode("append").save(path)
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The records below ``path`` with the columns of SCHEMA; without ``payload`` no body is read.
+
+    Revisits have no payload. A header that a record lacks is NULL; an archive without records gives no rows.
+    """
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
