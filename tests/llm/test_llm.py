@@ -449,6 +449,38 @@ def test_html_names_are_only_hints():
     assert html_text.main_text(f"<p>{EN}</p><script/>hidden</script><svg/><p>{EN}</p>") == f"{EN.strip()}\n{EN.strip()}"
 
 
+def test_html_names_weigh_and_do_not_decide():
+    en = EN.strip()
+    assert html_text.main_text(f"<body><nav><a href=x>Home</a></nav><div class='social'><p>{EN}</p><p>{EN}</p></div></body>") == f"{en}\n{en}"
+    for name in ("related-work", "side", "notice"):
+        assert html_text.main_text(f"<article><p>{EN}</p><p class='{name}'>{EN}</p></article>") == f"{en}\n{en}"
+    assert html_text.main_text(f"<article><p>{EN}</p><p class='ad'>Buy it now.</p><div class='comments'><p>{EN}</p></div></article>") == en
+    assert html_text.main_text(f"<article><p>{EN}</p><figure><img src=x><figcaption>A cat, in 2020.</figcaption></figure><p>{EN}</p></article>") == f"{en}\nA cat, in 2020.\n{en}"
+    code = "for i in range(10):\n    print(i * i, compute(i), other_name[i], more_values[i + 1], values)"
+    got = html_text.main_text(f"<body><div>{EN}</div><pre>{code}</pre><div>{EN}</div></body>")
+    assert got == f"{en}\n{' '.join(code.split())}\n{en}"
+    page = f"<body><div>Home</div><div>About us</div><div>{EN}</div><div>A short line.</div><div>{EN}</div><div>Copyright 2020</div></body>"
+    assert html_text.main_text(page) == f"{en}\nA short line.\n{en}"
+    assert html_text.main_text(f"<article><p>{EN} where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>") == f"{en} where x=2 holds."
+    # names of parts still count where the page has other text, and hidden or never shown parts always
+    assert html_text.main_text(f"<body><div class='social'><p>{EN}</p></div><div>{EN}</div></body>") == en
+    assert html_text.main_text(f"<body><div hidden><p>{EN}</p></div><footer><p>{EN}</p></footer></body>") == ""
+
+
+def test_html_rules_reject_what_names_need_not():
+    import os
+
+    import pyarrow.parquet as pq
+
+    place = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(place):
+        pytest.skip("no test data")
+    rules = Counter()
+    for page in pq.read_table(place)["html"].to_pylist():
+        rules.update(why for good, why in html_text.decide(html_text.blocks(page)) if not good)
+    assert rules["links"] > rules["outside"] > 0, rules
+
+
 @pytest.mark.parametrize("piece", ["<a", "<a ", "<a b=\"'", "<a b='x", "<!--", "<script>", "<svg>", "<div>", "</div>", "<div>x</p>", "<p>x", "<span hidden>", "a<", "<a\n=", "<p>x</p>", "&amp", "<li></b>"])
 def test_html_hostile_pages_take_linear_time(piece):
     import time

@@ -30,10 +30,15 @@ STOP_WORDS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
-    "sub sup time tt u var".split()
+    "sub sup time tt u var "
+    "math mrow mi mn mo ms mtext mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mfenced mpadded semantics".split()
 )
+#: Elements that hold one block: their own name says little about it.
+LEAF_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre figcaption".split())
+#: How far an element's marks speak against its text: nothing, the name of a block, the name of a part of the page, the element itself.
+FREE, HINTED, NAMED, NEVER = range(4)
 #: Elements whose text never belongs to an article.
-OUT_TAGS = frozenset("nav footer aside form button select option textarea menu dialog head title template figcaption".split())
+OUT_TAGS = frozenset("nav footer aside form button select option textarea menu dialog head title template".split())
 #: Elements that count only outside an article.
 OUTER_TAGS = frozenset(["header"])
 MAIN_TAGS = frozenset(["article", "main"])
@@ -46,22 +51,28 @@ _OUTER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead|top|topbar)(?:$|[\s_-
 _MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post-?body|entry-?content|article-?body|story-?body|main-?content)(?:$|[\s_-])", re.I)
 _HIDING_STYLE = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 #: Elements whose content is no text: skipped to their end tag, or to the page's end where browsers do so.
-RAW = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>", re.I) for t in ("script", "style", "noscript", "svg", "iframe", "object", "canvas", "audio", "video", "math")}
+RAW = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>", re.I) for t in ("script", "style", "noscript", "svg", "iframe", "object", "canvas", "audio", "video", "annotation", "annotation-xml")}
 _SWALLOWS = frozenset(["script", "style"])
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR_NAME = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)\s*(=?)\s*")
 _BARE = re.compile(r"[^\s>]*")
 _GAP = re.compile(r"[\s/]*")
 _NOTED = frozenset(["class", "id", "role", "itemprop"])
+_ENDS = frozenset(".!?:;…。！？।؟»”\"')")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("heading", "inside", "linked", "out", "text")
+    __slots__ = ("code", "heading", "inside", "level", "linked", "text")
 
-    def __init__(self, text: str, linked: int, out: bool, inside: bool, heading: bool):
-        self.text, self.linked, self.out, self.inside, self.heading = text, linked, out, inside, heading
+    def __init__(self, text: str, linked: int, level: int, inside: bool, heading: bool, code: bool):
+        self.text, self.linked, self.level, self.inside, self.heading, self.code = text, linked, level, inside, heading, code
+
+    @property
+    def out(self) -> bool:
+        """Whether it stands in a part of the page that its element or name sets apart."""
+        return self.level >= NAMED
 
 
 class Scanner:
@@ -135,7 +146,7 @@ class Scanner:
                 if close:
                     yield "close", tag
                 elif tag in RAW:
-                    if not (slash and tag in ("svg", "math")):
+                    if not (slash and tag == "svg"):
                         end = self._find(RAW[tag], at)
                         at = end if end > 0 else n if tag in _SWALLOWS else at
                 else:
@@ -153,17 +164,19 @@ def _hidden(attributes: list[tuple[str, str]]) -> bool:
     return False
 
 
-def _marks(tag: str, attributes: list[tuple[str, str]]) -> tuple[bool, bool, bool]:
-    """(never article, not article unless inside one, article)."""
-    out, outer, main = tag in OUT_TAGS, tag in OUTER_TAGS, tag in MAIN_TAGS
+def _marks(tag: str, attributes: list[tuple[str, str]]) -> tuple[int, bool, bool]:
+    """(level, not article unless inside one, article)."""
+    level, outer, main = NEVER if tag in OUT_TAGS else FREE, tag in OUTER_TAGS, tag in MAIN_TAGS
     if attributes and tag not in ("html", "body"):
         names = " ".join(v for k, v in attributes if k in _NOTED)
         if names:
             main = main or bool(_MAIN_NAMES.search(names))
-            out = out or not main and bool(_OUT_NAMES.search(names))
+            if not main and _OUT_NAMES.search(names):
+                level = max(level, HINTED if tag in LEAF_TAGS else NAMED)
             outer = outer or bool(_OUTER_NAMES.search(names))
-        out = out or _hidden(attributes)
-    return out, outer, main
+        if _hidden(attributes):
+            level = NEVER
+    return level, outer, main
 
 
 class Builder:
@@ -171,19 +184,20 @@ class Builder:
 
     def __init__(self) -> None:
         self.found: list[Block] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, out, inside an article
+        self.stack: list[tuple[str, int, bool]] = []  # tag, level, inside an article
         self.open: dict[str, int] = {}  # how many of a tag are open
         self.parts: list[str] = []
         self.linked: list[str] = []
         self.link = -1  # depth at which a link was opened
-        self.heading = self.out = self.inside = False
+        self.heading = self.code = self.inside = False
+        self.level = FREE
 
     def flush(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
             if text:
                 linked = len(_SPACE.sub(" ", html.unescape("".join(self.linked))).strip())
-                self.found.append(Block(text, linked, self.out, self.inside, self.heading))
+                self.found.append(Block(text, linked, self.level, self.inside, self.heading, self.code))
             self.parts.clear()
             self.linked.clear()
 
@@ -192,14 +206,14 @@ class Builder:
         if self.link >= 0:
             self.linked.append(piece)
 
-    def push(self, tag: str, out: bool, inside: bool) -> None:
-        self.stack.append((tag, out, inside))
+    def push(self, tag: str, level: int, inside: bool) -> None:
+        self.stack.append((tag, level, inside))
         self.open[tag] = self.open.get(tag, 0) + 1
-        self.out, self.inside = out, inside
+        self.level, self.inside = level, inside
 
     def pop(self) -> None:
         self.open[self.stack.pop()[0]] -= 1
-        self.out, self.inside = self.stack[-1][1:] if self.stack else (False, False)
+        self.level, self.inside = self.stack[-1][1:] if self.stack else (FREE, False)
         if self.link > len(self.stack):
             self.link = -1
 
@@ -211,16 +225,17 @@ class Builder:
         elif tag in INLINE or tag in VOID and tag != "hr":
             if tag == "span" and _hidden(attributes):
                 self.flush()
-                self.push(tag, True, self.inside)
+                self.push(tag, NEVER, self.inside)
         else:
             self.flush()
             if self.stack and self.stack[-1][0] in _CLOSED_BY_ANY or self.stack and self.stack[-1][0] == tag and tag in _CLOSED_BY_SAME:
                 self.pop()
             self.heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-            never, outer, main = _marks(tag, attributes)
-            out = self.out or never or outer and not self.inside
+            self.code = tag == "pre"
+            level, outer, main = _marks(tag, attributes)
+            level = max(self.level, level, NEVER if tag in OUTER_TAGS and not self.inside else NAMED if outer and not self.inside else FREE)
             if tag not in VOID and not slash:
-                self.push(tag, out, self.inside or main and not out)
+                self.push(tag, level, self.inside or main and level < NAMED)
 
     def closed(self, tag: str) -> None:
         if tag == "a":
@@ -231,7 +246,7 @@ class Builder:
                 self.pop()
         elif tag not in VOID:
             self.flush()
-            self.heading = False
+            self.heading = self.code = False
             if self.open.get(tag):
                 while self.stack[-1][0] != tag:
                     self.pop()
@@ -260,48 +275,70 @@ def decide(
 ) -> list[tuple[bool, str]]:
     """(article, the rule that says so) for each block, in two passes.
 
-    First, by block: ``outside`` (elements that never hold article text), ``links`` (over
-    ``links`` of the text is linked), ``density`` (``short`` characters or more: many stop
-    words and a length over ``long`` accept, few stop words reject). Where under ``few``
-    of a page's text stands in blocks with enough stop words, its language is taken for
-    unknown, and ``length`` decides alone. Where the accepted text of article elements is
-    at least ``bulk`` of all accepted text, or there is no other, they frame the page: other
-    blocks go (``frame``), and inside blocks are not rejected for few stop words and may
-    be linked up to 0.6.
+    First, by block: ``links`` (over ``links`` of the text is linked), ``density``
+    (``short`` characters or more: many stop words and a length over ``long`` accept, few
+    stop words reject, code left open), ``outside`` (elements that never hold article text,
+    and parts of the page with such a name), ``named`` (blocks with such a name of their own
+    that density doesn't accept). Where under ``few`` of a page's text stands in blocks with enough stop
+    words, its language is taken for unknown, and ``length`` decides alone. Where the
+    accepted text of article elements is at least ``bulk`` of all accepted text, or there is
+    no other, they frame the page: other blocks go (``frame``), and inside blocks are not rejected for few stop
+    words and may be linked up to 0.6. Names of parts count only while they leave a page
+    its text: where nothing else is accepted and little else is open, they are set aside.
     Second, blocks still open take their nearest decided neighbours' label (``neighbours``);
-    those outside or out of the frame tell nothing, and headings take that of the block
-    below. Without any accepted block all open ones are accepted (``short page``).
+    those outside or out of the frame tell nothing, headings take that of the block
+    below, and labels (up to four words without a sentence end, out of an article) must stand between two accepted
+    ones. Without any accepted block all open ones are accepted (``short page``).
     """
-    density: dict[int, float] = {}
+    def density(b: Block) -> float:
+        words = _WORD.findall(b.text.lower())
+        return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+    dense: dict[int, float] = {}
     known = total = 0
     for i, b in enumerate(found):
-        if not b.out and len(b.text) >= short and b.linked <= 0.6 * len(b.text):
-            words = _WORD.findall(b.text.lower())
-            density[i] = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            known, total = known + len(b.text) * (density[i] >= low), total + len(b.text)
+        if b.level < NEVER and len(b.text) >= short and b.linked <= 0.6 * len(b.text):
+            dense[i] = density(b)
+            if not b.out:
+                known, total = known + len(b.text) * (dense[i] >= low), total + len(b.text)
     unknown = known < few * total
 
-    def judged(i: int, b: Block, framed: bool) -> tuple[bool | None, str]:
+    def judged(i: int, b: Block, framed: bool, names: bool) -> tuple[bool | None, str]:
         n, inner = len(b.text), framed and b.inside
-        if b.out:
-            return False, "outside"
-        if framed and not b.inside:
+        away = b.level == NEVER or names and b.level == NAMED
+        if framed and not b.inside and not away:
             return False, "frame"
         if b.linked > (0.6 if inner else links) * n or n < short and b.linked and not inner:
             return False, "links"
+        if away:
+            return False, "density" if not unknown and not b.code and dense.get(i, 1.0) < low else "outside"
+        hinted = b.level == HINTED
         if n < short:
-            return None, ""
+            return (False, "named") if hinted else (None, "")
         if unknown:
-            return (True, "length") if n > long else (None, "")
-        if density[i] >= (low if inner else high) and n > (short if inner else long):
+            return (True, "length") if n > long else (False, "named") if hinted else (None, "")
+        if dense[i] >= (low if inner else high) and n > (short if inner else long):
             return True, "density"
-        return (None, "") if inner or density[i] >= low else (False, "density")
-
-    plain = [judged(i, b, False) for i, b in enumerate(found)]
-    inside = sum(len(b.text) for i, b in enumerate(found) if b.inside and judged(i, b, True)[0])
-    around = sum(len(b.text) for b, (good, _) in zip(found, plain, strict=True) if good and not b.inside)
-    framed = any(b.inside and not b.out for b in found) and inside >= bulk * (inside + around)
-    label = [judged(i, b, True) for i, b in enumerate(found)] if framed else plain
+        if hinted:
+            return False, "named"
+        return (None, "") if inner or b.code or dense[i] >= low else (False, "density")
+
+    def labelled(names: bool) -> tuple[list[tuple[bool | None, str]], bool]:
+        plain = [judged(i, b, False, names) for i, b in enumerate(found)]
+        inside = sum(len(b.text) for i, b in enumerate(found) if b.inside and judged(i, b, True, names)[0])
+        around = sum(len(b.text) for b, (good, _) in zip(found, plain, strict=True) if good and not b.inside)
+        framed = any(b.inside and not b.out for b in found) and inside >= bulk * (inside + around)
+        return ([judged(i, b, True, names) for i, b in enumerate(found)] if framed else plain), framed
+
+    def away(i: int, b: Block) -> bool:
+        return b.level == NEVER or label[i][1] in ("frame", "outside") or b.level == NAMED and names
+
+    names, (label, framed) = True, labelled(True)
+    if not any(good for good, _ in label) and not any(b.inside and not b.out for b in found):
+        other, frame = labelled(False)
+        gained = sum(len(b.text) for b, (good, _) in zip(found, other, strict=True) if good)
+        if gained > 2 * sum(len(b.text) for b, (good, _) in zip(found, label, strict=True) if good is None):
+            names, label, framed = False, other, frame
     if not any(good for good, _ in label):  # a page of short blocks only: the open ones are all there is
         return [(good is None, why or "short page") for good, why in label]
     n = len(label)
@@ -310,17 +347,19 @@ def decide(
     for side, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
         last = None
         for i in order:
-            good, why = label[i]
-            if good is not None and why not in ("frame", "outside"):
+            good = label[i][0]
+            if good is not None and not away(i, found[i]):
                 last = (i, good)
             side[i] = last
     decided = []
     for i, (good, why) in enumerate(label):
-        a, b = before[i], after[i]
+        a, b, block = before[i], after[i], found[i]
         if good is not None:
             decided.append((good, why))
-        elif found[i].heading:
+        elif block.heading:
             decided.append((b[1] if b else framed, "neighbours"))
+        elif not block.inside and len(block.text.split()) < 5 and block.text[-1] not in _ENDS and not block.code:
+            decided.append((bool(a and b and a[1] and b[1]), "neighbours"))
         elif a and b:
             decided.append((a[1] if i - a[0] <= b[0] - i else b[1], "neighbours"))
         else:
