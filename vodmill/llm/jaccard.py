@@ -12,9 +12,11 @@ from below pair by pair, and the sets of the pairs left are compared exactly.
 Groups of near copies are not paired out. Each document is first compared with the
 leaders of its blocks, the members that share most cells; components follow. Small
 blocks that still hold several components compare their pairs. Large ones are cut by the
-finest cells, one a shingle: sets of two narrow size classes that link share one of
-their rarest shingles, so members of a group that differ from each other in shingles of
-their own meet nowhere. So the components are exact, while the pairs compared stay few.
+finest cells, one a shingle: sets of two narrow size classes that link have their first
+common shingles, from the rarest on, within reach of their slack, and keys of one, two
+and more of these are followed while they hold many documents. So members of a group that
+differ in shingles of their own meet nowhere, and pages made from one template meet only
+where they agree in much of what varies. The components are exact, while the pairs compared stay few.
 """
 
 from __future__ import annotations
@@ -35,7 +37,10 @@ U = np.uint64
 WORDS_REMEMBERED = 100_000
 LANES = 16  # of 64 parity bits each
 SMALL_BLOCK = 16  # members up to which a block compares its pairs directly
-CLASS_BITS = 8  # leading bits of a size that name its narrow class: below 256 each size is one
+CLASS_BITS = 6  # leading bits of a size that name its narrow class: below 64 each size is one
+ATOMS = 64  # of a document's rarest atoms that large blocks are cut by
+FEW = 4  # documents up to which a key compares its pairs
+DEPTH = 9  # atoms after which a key compares its pairs, however many it has
 
 
 class Shingler:
@@ -249,34 +254,76 @@ def _blocks(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(kept.join(heads, "key").select("key", "id", "lead", "size"), "members")
 
 
-def _refined(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components c among the documents of ``hot`` that share one of their rarest shingles.
+def _floor(x: str) -> str:
+    """SQL of a size cut to its leading CLASS_BITS bits: the least size of its class."""
+    return f"({x} - {x} % shiftleft(1L, greatest(length(bin({x})) - {CLASS_BITS}, 0)))"
 
-    A size keeps its leading bits as its class. For each class of partners the overlap of
-    a linked pair is bounded from below, and with it the number of rarest shingles of
-    which at least one is common (prefix principle).
-    """
-    def floor(x: str) -> str:
-        return f"({x} - {x} % shiftleft(1L, greatest(length(bin({x})) - {CLASS_BITS}, 0)))"
 
+def _atoms(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, c, n, atoms): the shared shingles of each document, rarest first.
+
+    Shingles that stand in exactly the same documents are one atom (df, atom, w), ``w`` of
+    them; those that one document alone has are left out. The first ATOMS atoms are given, and whether that is all.
+    """
     el = hot.join(sets.select("id", "n", "shingles"), "id").select("id", "c", "n", F.explode("shingles").alias("s"))
-    common = el.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("id")
-    ranked = el.join(common, "s").withColumn("place", F.row_number().over(own.orderBy("df", "s")) + F.col("n") - F.count("*").over(own))
+    seen = lambda seed: F.bit_xor(F.xxhash64("id", F.lit(seed)))
+    tokens = el.groupBy("s").agg(F.count("*").alias("df"), seen(1).alias("x"), seen(2).alias("y")).where("df > 1").select("s", "df", F.xxhash64("df", "x", "y").alias("atom"))
+    atoms = el.join(tokens, "s").groupBy("id", "c", "n", "df", "atom").agg(F.count("*").alias("w"))
+    return atoms.groupBy("id", "c", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "atom", "w"))), 1, ATOMS).alias("atoms"), F.sum("w").alias("shared"))
+
+
+def _refined(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components c among the documents of ``hot`` that can link by their first common atoms.
+
+    For two size classes the overlap of a linked pair is bounded from below, and so is what
+    of a set is not common: its slack. Going through a set's atoms from the rarest on, no
+    more than the slack may be passed over before the next common one; so a pair meets
+    under the key of its first common atom, of its first two, and so on. A key of few documents
+    compares its pairs. One of many is followed to the next common atom, by which its
+    documents fall apart into smaller keys, as long as that makes less work than its
+    pairs; a document that could pass over all the rest of its atoms has no next one for
+    certain and is compared at once.
+    """
+    docs = materialize(_atoms(hot, sets), "atoms")
+    present = sorted(r["q"] for r in docs.select(F.expr(_floor("n")).alias("q")).distinct().collect())  # at most 2 ** CLASS_BITS a doubling
     least, most = f"cast(ceil(n * {percent}D / 100) as bigint)", f"cast(n * 100 div {percent} as bigint)"
-    step = f"shiftleft(1L, greatest(length(bin({least})) - {CLASS_BITS}, 0))"
-    partners = f"array_distinct(transform(sequence({floor(least)}, {most}, {step}), x -> {floor('x')}))"
-    # of n shingles the first n - overlap + 1 suffice, and the least overlap with a set of m or more is percent (n + m) / (100 + percent)
-    near = f"filter({partners}, m -> place <= n + 1 - (({percent} * (n + m) + {99 + percent}) div {100 + percent}))"
-    # few shingles stand within the longest prefix, that of the smallest partners: the rest need no list of partners
-    ranked = ranked.where(F.expr(f"place <= n + 1 - (({percent} * (n + {floor(least)}) + {99 + percent}) div {100 + percent})"))
-    keyed = ranked.select("s", "id", "c", F.expr(floor("n")).alias("q"), F.explode(F.expr(near)).alias("m"))
-    keyed = materialize(keyed.withColumn("lo", F.least("q", "m")).withColumn("hi", F.greatest("q", "m")), "refined")
-    open_ = keyed.groupBy("s", "lo", "hi").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").drop("c1")
-    left = keyed.join(open_, ["s", "lo", "hi"])
-    x, y = _prefixed(left.where("c != c0"), "a"), _prefixed(left, "b")
-    return x.join(y, (F.col("as") == F.col("bs")) & (F.col("aq") == F.col("bm")) & (F.col("am") == F.col("bq")) & (F.col("bc") < F.col("ac"))).select(
-        F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
+    classes = F.filter(F.array(*[F.lit(q).cast("long") for q in present]) if present else F.array().cast("array<bigint>"), lambda q: (q >= F.expr(_floor(least))) & (q <= F.expr(most)))
+    # the least overlap with a set of m or more is percent (n + m) / (100 + percent)
+    rows = docs.withColumn("m", F.explode(classes)).withColumn("slack", F.expr(f"n - (({percent} * (n + m) + {99 + percent}) div {100 + percent}) - (n - shared)")).where("slack >= 0")
+    rows = rows.select("id", "c", F.expr(_floor("n")).alias("q"), "m", F.col("slack").cast("int"), F.col("atoms.atom").alias("atom"), F.col("atoms.w").cast("array<int>").alias("w"))
+    rows = rows.select("id", "c", F.least("q", "m").alias("lo"), F.greatest("q", "m").alias("hi"), (F.col("q") <= F.col("m")).alias("low"), "slack", "atom", "w", F.lit(0).cast("long").alias("key"), F.lit(0).alias("pos"))
+
+    def followed(level: DataFrame) -> DataFrame:
+        """Each row under the keys that its next common atom may make: (…, key, pos, slack) for each atom that may be it."""
+        passed = F.transform(F.sequence(F.col("pos"), F.size("w")), lambda j: F.struct(j.alias("j"), F.aggregate(F.slice("w", F.col("pos") + 1, j - F.col("pos")), F.lit(0), lambda t, x: t + x).alias("over")))
+        fits = F.filter(passed, lambda p: (p["j"] < F.size("w")) & (p["over"] <= F.col("slack")))
+        out = level.withColumn("__p", F.explode(fits)).withColumn("key", F.xxhash64("key", F.get("atom", F.col("__p.j"))))
+        return out.withColumn("slack", F.col("slack") - F.col("__p.over")).withColumn("pos", F.col("__p.j") + 1).drop("__p")
+
+    left = F.aggregate(F.slice("w", F.col("pos") + 1, F.size("w")), F.lit(0), lambda t, x: t + x)
+    key, pairs, tables = ["key", "lo", "hi"], None, [docs]
+    level = materialize(followed(rows), "refined")
+    for depth in range(DEPTH):
+        tables.append(level)
+        last = depth == DEPTH - 1
+        open_ = left <= F.col("slack")  # the next common atom, if there is one, may lie beyond the list
+        branches = F.when(open_, 0).otherwise(F.least(F.size("w") - F.col("pos"), F.col("slack") + 1))
+        blocks = level.groupBy(*key).agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.sum(branches).alias("more")).where("c0 != c1")
+        stay = F.lit(True) if last else (F.col("size") <= FEW) | (F.col("more") > F.col("size") * (F.col("size") - 1) / 2)
+        held = materialize(level.join(blocks.withColumn("stay", stay).select(*key, "stay", "c0"), key).withColumn("open", open_ | F.col("stay")), "held")
+        tables.append(held)
+        x = _prefixed(held.where("open").select("id", "c", *key, "low", "stay", "c0"), "a")
+        y = _prefixed(held.select("id", "c", *key, "low", "open"), "b")
+        same = (F.col("akey") == F.col("bkey")) & (F.col("alo") == F.col("blo")) & (F.col("ahi") == F.col("bhi")) & (F.col("ac") != F.col("bc"))
+        fit = (F.col("alow") != F.col("blow")) | (F.col("alo") == F.col("ahi"))
+        # two documents that are both compared with all meet from one side only
+        once = ~F.col("bopen") | (F.col("bc") < F.col("ac"))
+        found = x.join(y, same & fit & once).select(F.greatest("aid", "bid").alias("a"), F.least("aid", "bid").alias("b")).distinct()
+        pairs = found if pairs is None else pairs.unionByName(found)
+        if last or not held.where("NOT open").limit(1).count():
+            break
+        level = materialize(followed(held.where("NOT open").drop("stay", "open", "c0")), "refined")
+    return pairs.distinct()
 
 
 def _classes(narrow: DataFrame) -> tuple[DataFrame, bool]:
