@@ -307,56 +307,3 @@ def test_op13_query(spark, small):
     got = sorted(map(tuple, queries.op13_level_doubling(spark, d).collect()))
     assert got == sorted((i, n, gone, sha(text)) for i, n, gone, text in plain_kept(rows, 13))
     assert sum(r[2] for r in got) > 1000
-
-
-# 10, pages of one template ------------------------------------------------------------------------------------------
-
-
-def template_pages(n, slots=12, values=5, fixed=200):
-    rng = random.Random(7)
-    base = [f"f{i}" for i in range(fixed)]
-    step = fixed // slots
-    out = []
-    for i in range(n):
-        words = []
-        for s in range(slots):
-            words += [f"v{s}x{rng.randrange(values)}", *base[s * step:(s + 1) * step]]
-        out.append((i, " ".join(words)))
-    return out
-
-
-def plain_components(rows, n=4, percent=85):
-    sets = {}
-    for i, t in rows:
-        w = WORD.findall(t.lower())
-        sets[i] = {tuple(w[k:k + n]) for k in range(len(w) - n + 1)}
-    parent = {i: i for i in sets}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1:]:
-            inter = len(sets[a] & sets[b])
-            if 100 * inter >= percent * (len(sets[a]) + len(sets[b]) - inter):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    return {i: root(i) for i in ids}
-
-
-def test_pages_of_one_template_are_not_paired_out(spark, monkeypatch):
-    """Documents double twice; the pairs compared grow little faster than they do, and the components are exact."""
-    from vodmill.llm import jaccard
-
-    made, refined = [], jaccard._refined
-    monkeypatch.setattr(jaccard, "_refined", lambda *a: (out := refined(*a), made.append(out.count()))[0])
-    for n in (300, 600, 1200):
-        rows = template_pages(n)
-        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-        got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
-        assert got == plain_components(rows)
-    assert made[2] < 0.1 * 1200 * 1199 / 2
-    assert made[2] < 3 * made[1] and made[1] < 3 * made[0]
