@@ -176,6 +176,29 @@ def word_ngrams(words: DataFrame, n: int = 8) -> DataFrame:
     return following(words, "stream_id", ["place"], ["word"], n, "gram")
 
 
+def caption_grams(segments: DataFrame, n: int = 8, text: str = "text", order: tuple[str, ...] = ("start_ms",), ms: str = "start_ms") -> DataFrame:
+    """``word_ngrams`` of ``caption_words``: (stream_id, place, second, gram), with a text's words left together.
+
+    Grams inside a segment are cut where it is read. Only its first and last n - 1 words are put
+    in order, for the grams that go on in the segments behind it.
+    """
+    own = normalized_words(F.col(text))
+    rows = segments.select("stream_id", F.struct(*order).alias("o"), F.floor(F.col(ms) / 1000).alias("second"), own.alias("w")).where(F.size("w") > 0)
+    late = F.greatest(F.size("w") - (n - 1), F.lit(0))
+    inner = rows.where(F.size("w") >= n).select("stream_id", "o", "second", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("k"))
+    inner = inner.select("stream_id", F.struct("o", "k").alias("place"), "second", F.slice("w", F.col("k") + 1, F.lit(n)).alias("gram"))
+    if n == 1:
+        return inner
+    edges = rows.select("stream_id", "o", "second", late.alias("at"), F.array_join(F.slice("w", 1, n - 1), " ").alias("head"), F.array_join(F.slice("w", late + 1, F.lit(n - 1)), " ").alias("tail"))
+    # a segment has a word at least, so n of them hold every gram
+    edges = following(edges, "stream_id", ["o"], ["head"], n, "heads")
+    own_words = F.split("tail", " ")
+    whole = F.concat(own_words, F.split(F.array_join(F.slice("heads", F.lit(2), F.lit(n)), " "), " "))
+    edges = edges.withColumn("w", F.when(F.size("heads") > 1, whole).otherwise(own_words)).withColumn("k", F.explode(F.sequence(F.lit(0), F.size(own_words) - 1)))
+    outer = edges.select("stream_id", F.struct("o", (F.col("at") + F.col("k")).alias("k")).alias("place"), "second", F.slice("w", F.col("k") + 1, F.lit(n)).alias("gram"))
+    return inner.unionByName(outer)
+
+
 def _prefix_key(words: Column | str) -> Column:
     return F.xxhash64("stream_id", words)
 
@@ -183,29 +206,36 @@ def _prefix_key(words: Column | str) -> Column:
 def quote_prefixes(needles: DataFrame, words: DataFrame, long: int, short: int) -> DataFrame:
     """(stream_id, key, k, gram, place, second): the places of the captions whose first k words may begin a needle.
 
-    Only lengths k that needles have are taken, and a Bloom filter of the needles' keys drops
+    ``words`` are rows of words, or of grams. Only lengths k that needles have are taken, and a Bloom filter of the needles' keys drops
     nearly all other places before anything is exchanged.
     """
     lengths = [r["k"] for r in needles.select("k").distinct().collect()]
     may_have = bloom(needles.select("key"))
-    sizes = F.filter(F.array(*[F.lit(k) for k in sorted(lengths)]).cast("array<int>"), lambda k: k <= F.size("gram"))
-    rows = word_ngrams(words, long).withColumn("k", F.explode(sizes)).withColumn("key", _prefix_key(F.slice("gram", F.lit(1), F.col("k"))))
+    sizes = F.array(*[F.lit(k) for k in sorted(lengths)]).cast("array<int>")
+    grams = words if "gram" in words.columns else word_ngrams(words, long)
+    rows = grams.withColumn("k", F.explode(sizes)).where(F.col("k") <= F.size("gram")).withColumn("key", _prefix_key(F.slice("gram", F.lit(1), F.col("k"))))
     return rows.where(may_have(F.col("key"))).select("stream_id", "key", "k", "gram", "place", "second")
 
 
 def align_quotes(quotes: DataFrame, words: DataFrame, long: int = 8, short: int = 5) -> DataFrame:
     """``second`` of the first place where the quote's first min(n, 8) words stand; quotes of more words fall back to 5.
 
-    ``quotes`` has quote_id, stream_id, quote. A hash of the stream and of the first ``short`` or fewer words
-    keys the join; the whole needle is compared in it. NULL where nothing matches.
+    ``quotes`` has quote_id, stream_id, quote; ``words`` are rows of ``caption_words``, or of ``caption_grams`` of ``long`` words. A hash of the stream and of the first words, a power of two of them up to ``short``,
+    keys the join; the whole needle is compared in it. Equal places of a stream, and equal needles, meet once. NULL where nothing matches.
     """
     q = quotes.select("quote_id", "stream_id", normalized_words(F.col("quote")).alias("w")).where(F.size("w") > 0)
-    full = q.withColumn("need", F.slice("w", 1, long)).withColumn("rank", F.lit(0))
-    less = q.where(F.size("w") > long).withColumn("need", F.slice("w", 1, short)).withColumn("rank", F.lit(1))
-    needles = full.unionByName(less).withColumn("n", F.size("need")).withColumn("k", F.least(F.size("need"), F.lit(short))).withColumn("key", _prefix_key(F.slice("need", 1, short)))
-    places = quote_prefixes(needles, words, long, short)
-    hit = needles.join(places, ["stream_id", "key", "k"]).where(F.slice("gram", F.lit(1), F.col("n")) == F.col("need"))
-    best = hit.groupBy("quote_id", "stream_id").agg(F.min_by("second", F.struct("rank", "place")).alias("second"))
+    cut = lambda k: F.array_join(F.slice("w", 1, k), " ")
+    needles = q.select("quote_id", "stream_id", "w", F.explode(F.when(F.size("w") > long, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("rank"))
+    needles = needles.withColumn("n", F.least(F.size("w"), F.when(F.col("rank") == 0, long).otherwise(short)))
+    # keys of one, two, four, ... words: few lengths to look up at each place
+    needles = needles.withColumn("k", F.pow(F.lit(2), F.floor(F.log2(F.least("n", F.lit(short))))).cast("int"))
+    keyed = needles.select("stream_id", "n", "k", _prefix_key(F.slice("w", F.lit(1), F.col("k"))).alias("key"), F.when(F.col("rank") == 0, cut(long)).otherwise(cut(short)).alias("need"))
+    asked = needles.select("quote_id", "stream_id", "rank", F.when(F.col("rank") == 0, cut(long)).otherwise(cut(short)).alias("need"))
+    places = quote_prefixes(keyed, words, long, short)
+    first = places.groupBy("stream_id", "key", "k", F.array_join("gram", " ", "\x00").alias("gram")).agg(F.min(F.struct("place", "second")).alias("p"))
+    hit = keyed.distinct().join(first, ["stream_id", "key", "k"]).where(F.call_function("substring_index", F.col("gram"), F.lit(" "), F.col("n")) == F.col("need"))
+    found = hit.groupBy("stream_id", "need").agg(F.min("p").alias("p"))
+    best = asked.join(found, ["stream_id", "need"]).groupBy("quote_id", "stream_id").agg(F.min(F.struct("rank", "p"))["p"]["second"].alias("second"))
     return quotes.join(best, ["quote_id", "stream_id"], "left")
 
 

@@ -164,13 +164,13 @@ WORDS_SQL = r"""w0 AS (SELECT conv_id AS stream_id, turn, list_filter(string_spl
 
 @query(f"WITH {WORDS_SQL} SELECT q.quote_id, second FROM q LEFT JOIN best ON q.quote_id = best.quote_id")
 def j6_w5_align_quotes(spark, sf_dir):
-    words = T.caption_words(segments(spark, sf_dir), order=("event",))
+    words = T.caption_grams(segments(spark, sf_dir), order=("event",))
     return T.align_quotes(_quotes(spark, sf_dir), words).select("quote_id", "second")
 
 
 @query(f"WITH {WORDS_SQL}, v AS (SELECT q.quote_id, length(q.quote_id) * 3 AS s, second FROM q LEFT JOIN best ON q.quote_id = best.quote_id) SELECT quote_id, CASE WHEN second BETWEEN s - 15 AND s - 1 THEN second ELSE s END AS start, CASE WHEN second IS NULL THEN '' WHEN second BETWEEN s AND s + 30 THEN 'caption_quote_verified' WHEN second BETWEEN s - 15 AND s - 1 THEN 'start_adjusted_to_caption_quote' ELSE 'caption_quote_outside_window' END AS note FROM v")
 def j7_quote_verdict(spark, sf_dir):
-    words = T.caption_words(segments(spark, sf_dir), order=("event",))
+    words = T.caption_grams(segments(spark, sf_dir), order=("event",))
     out = T.align_quotes(_quotes(spark, sf_dir), words)
     s = (F.length("quote_id") * 3).cast("long")
     start, note = T.quote_verdict(s, s + 30, F.col("second"))
@@ -181,7 +181,7 @@ def j7_quote_verdict(spark, sf_dir):
 def w5_word_ngrams(spark, sf_dir):
     from pyspark.sql import Window
 
-    grams = T.word_ngrams(T.caption_words(segments(spark, sf_dir), order=("event",)))
+    grams = T.caption_grams(segments(spark, sf_dir), order=("event",))
     w = Window.partitionBy("stream_id").orderBy("place")
     return grams.select("stream_id", (F.row_number().over(w) - 1).cast("long").alias("place"), "second", "gram")
 

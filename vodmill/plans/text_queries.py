@@ -80,7 +80,7 @@ SELECT quote_id, 'Clip one' AS title, start_seconds::BIGINT AS start_seconds, e:
 def t3_structured_candidates(spark, sf_dir):
     reviews = R.parse_structured_final(review_texts(spark, sf_dir))
     quotes = reviews.select("quote_id", "stream_id", F.col("exact_caption_quote").alias("quote"))
-    words = T.caption_words(segments(spark, sf_dir), order=("event",))
+    words = T.caption_grams(segments(spark, sf_dir), order=("event",))
     out = R.structured_candidates(reviews.drop("stream_id"), T.align_quotes(quotes, words))
     scores = ("hook_strength", "standalone_clarity", "audio_clarity", "educational_value", "confidence")
     return out.select(*[c for c in out.columns if c != "scores"], *[F.col(f"scores.{c}").alias(c) for c in scores])
