@@ -50,7 +50,7 @@ def s1_s4_parse_fields(spark, sf_dir):
 
 
 @query("""SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 0 WHEN user_id % 4 = 1 THEN NULL ELSE user_id END AS position,
- CASE WHEN user_id % 2 = 0 THEN value WHEN user_id % 3 = 0 THEN value * 60 ELSE user_id END AS minutes,
+ CASE WHEN user_id % 2 = 0 AND value <> 0 THEN value WHEN user_id % 2 <> 0 AND user_id % 3 = 0 AND value <> 0 THEN value * 60 ELSE user_id END AS minutes,
  CASE user_id % 4 WHEN 0 THEN 'short' WHEN 1 THEN 'live' WHEN 2 THEN 'vod' ELSE CASE WHEN user_id BETWEEN 1 AND 60 THEN 'short' ELSE 'vod' END END AS content_type,
  CASE user_id % 3 WHEN 0 THEN 'live' WHEN 1 THEN 'on_demand' ELSE 'unknown' END AS mode, trunc(value)::BIGINT AS whole,
  CASE WHEN value <> 0 THEN user_id / value * 1000 ELSE 0 END AS rpm, CASE WHEN value <> 0 THEN (user_id - value) / value * 100 END AS delta,
