@@ -60,3 +60,12 @@ def test_the_text_of_evidence_is_made_once(spark):
     df = spark.range(2, 5).select(C.parse_evidence(made, F.lit(3), F.lit(9)).alias("e"))
     assert planned(df).count(" marked") == 1
     assert [[(x["timestamp"], x["seconds"], x["text"]) for x in r["e"]] for r in df.collect()] == [[("00:00:03", 3, "said 00:00:02")], [("00:00:03", 3, "said 00:00:03 marked")], [("00:00:04", 4, "said 00:00:04")]]
+
+
+def test_an_export_without_runs_joins_streams_alone(spark):
+    from vodmill.operators import candidates as K
+
+    c = spark.createDataFrame([("a", 1, 5), ("b", 2, 6)], "candidate_window_id string, stream_id long, analysis_run_id long")
+    s = spark.createDataFrame([(1, "t", "p", "v")], "stream_id long, title string, published_at string, source_video_id string")
+    out = K.enrich(c, s)
+    assert planned(out).count("Join ") == 1 and [tuple(r) for r in out.select("candidate_window_id", "stream_title").collect()] == [("a", "t")]

@@ -44,10 +44,11 @@ def favourites(cands: DataFrame, which: str = "all", by: str = "weighted_score",
     return out.orderBy(key, order)
 
 
-def enrich(cands: DataFrame, streams: DataFrame, runs: DataFrame) -> DataFrame:
-    """Candidates with their stream and run."""
+def enrich(cands: DataFrame, streams: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Candidates with their stream and run; without ``runs`` only with their stream, which saves an exchange of the candidates."""
     s = streams.select("stream_id", F.col("title").alias("stream_title"), "published_at", "source_video_id")
-    return cands.join(s, "stream_id").join(runs, "analysis_run_id", "left")
+    out = cands.join(s, "stream_id")
+    return out if runs is None else out.join(runs, "analysis_run_id", "left")
 
 
 def skip_duplicates(batch: DataFrame, existing: DataFrame, model: str | None = None) -> tuple[DataFrame, DataFrame]:
