@@ -1,8 +1,8 @@
 """Metrics CSV of any size: many tasks a file, quoted line breaks and all.
 
-One scan counts, in built-in functions, the lines of each input split that are no whole
-record by themselves, and takes the files' first lines. Files without such lines are read by
-Spark's own CSV source, split by split. For the others a second scan finds what each split
+One scan finds, in built-in functions, the input splits with lines that are no whole
+record by themselves, a second takes the files' first lines. Files without such lines are read by
+Spark's own CSV source, split by split. For the others a further scan finds what each split
 does to the state "inside quotes", for either state at its start; composed in file order
 that tells how each split begins. With it every split cuts its lines into records by
 itself, and only records that cross a split are put together after an exchange.
@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FIELD = r'(?:[^",]*+|"[^"]*+(?:""[^"]*+)*+")'
+#: The quoted kind comes first: the possessive repetition below keeps the first kind that matches, and the other matches nothing before any quote.
+_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
 #: A line that is one whole record, no quote within an unquoted field.
 WHOLE = rf"^{_FIELD}(?:,{_FIELD})*+\s*$"
 _PLAIN, _QUOTED = re.compile(r"[^,]*"), re.compile(r'[^"]*(?:""[^"]*)*')
@@ -61,12 +62,18 @@ def _lines(spark: SparkSession, files: list[str] | str) -> DataFrame:
 
 
 def _splits(lines: DataFrame) -> list:
-    """A row per input split: file, at, whether it has lines that are no whole record, and at 0 the file's first line.
+    """A row per input split: file, at, whether it has lines that are no whole record, and the number of its first line.
 
-    The driver holds a row a split, as Spark's planner does.
+    The driver holds a row a split, as Spark's planner does. No line is kept in the aggregate: strings there would be sorted, all lines of a task.
     """
     odd = F.contains("value", F.lit('"')) & ~F.col("value").rlike(WHOLE)
-    return lines.groupBy("file", "at").agg(F.max(odd).alias("odd"), F.min_by("value", F.when(F.col("at") == 0, F.col("row"))).alias("head")).collect()
+    return lines.groupBy("file", "at").agg(F.max(odd).alias("odd"), F.min("row").alias("row")).collect()
+
+
+def _heads(lines: DataFrame, splits: list) -> dict[str, str]:
+    """The first line of each file."""
+    first = [r["row"] for r in splits if r["at"] == 0]
+    return {r["file"]: r["value"] for r in lines.where(F.col("row").isin(first)).select("file", "value").collect()} if first else {}
 
 
 def _effects(lines: DataFrame) -> dict[tuple[str, int], tuple[bool, bool, bool]]:
@@ -171,8 +178,9 @@ def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
     shorter (NULL) or longer (the rest is left out) than the header; blank lines are none.
     A file of any size is read by many tasks, with line breaks inside quotes or without.
     """
-    splits = _splits(_lines(spark, path))
-    heads = {r["file"]: r["head"] for r in splits if r["at"] == 0}
+    lines = _lines(spark, path)
+    splits = _splits(lines)
+    heads = _heads(lines, splits)
     odd = sorted({r["file"] for r in splits if r["odd"]})
     every = set(spark.read.text(path).inputFiles())
     if not every or len(heads) < len(every):
