@@ -110,3 +110,19 @@ def test_empty_batches_and_empty_stores(spark, kept):
     assert kept.rollup().count() == 0
     kept.ingest_daily(spark.createDataFrame(daily_rows(random.Random(4), 5, [1], 0), DAILY), 1)
     assert kept.rollup().agg(F.sum("total_views")).first()[0] == kept.daily().agg(F.sum("views")).first()[0]
+
+
+def test_a_batch_is_exchanged_once_and_written_once(spark, kept, tmp_path):
+    """Each kept row lies in one file below the store, and no second exchange brings rows to their folders."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(5)
+    for k in range(3):
+        kept.ingest_daily(spark.createDataFrame(daily_rows(rng, 80, range(1, 6), 0), DAILY), k)
+        kept.ingest_series(spark.createDataFrame(point_rows(rng, 20), POINTS), k)
+    rows = lambda c: sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{tmp_path}/store/**/*.parquet", recursive=True) if c in pq.read_schema(f).names)
+    assert rows("average_view_duration") == kept.daily().count()
+    assert rows("concurrent_viewers") == kept.series().count()
+    new = spark.createDataFrame(daily_rows(rng, 80, range(1, 6), 0), DAILY).withColumn("folder", F.concat(F.lit("d"), "date"))
+    plan = kept._merged("daily", new, A.DAILY_KEY, ["seq"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

@@ -1,13 +1,15 @@
 """A metrics store that batches are merged into, and livestream rollups that follow each batch.
 
 Daily rows lie in folders by day (or month), time series in folders by a hash of the
-video. A batch reads and rewrites only the folders that its rows fall into; the others
-keep their files as they are. Rollups of videos are kept as sums: what a batch adds to
+video. A batch reads and writes anew only the folders that its rows fall into; the others
+keep their files as they are. What it writes counts when it is whole, below the batch's
+number, and a folder is read from the last number that has it: it is written once and
+moved by one exchange. Rollups of videos are kept as sums: what a batch adds to
 them is, for each of its keys, the new value minus the one it replaces, so the
 rollups cost what the batch costs, not what the table holds.
 
-Each batch is first written aside under its number, and from there to the tables. A batch that
-is repeated after a failure takes what was written aside, and rollups remember the last
+A batch that is repeated after a failure takes what was written under its number; rollups are written aside
+before they are replaced, and remember the last
 batch that each video has seen, so no batch counts twice wherever the failure struck.
 """
 
@@ -23,6 +25,12 @@ SUMS = {
     "live_views": ("views", "live"), "replay_views": ("views", "on_demand"), "total_views": ("views", None), "watch_minutes": ("watch_minutes", None),
     "likes": ("likes", None), "subscribers_gained": ("subscribers_gained", None), "revenue": ("estimated_revenue", None),
 }
+#: The columns of a version of the daily rows that tell what its batch changes.
+CHANGES = {n: f"change_{n}" for n in SUMS}
+#: Tables whose folders are kept as their last batch wrote them, below its number; the others are small and replaced.
+VERSIONED = ("daily", "series")
+#: Pieces of folders that a task of a merge takes, about.
+PIECES = 4
 
 
 def _value(column: str, mode: str | None, row: str) -> Column:
@@ -57,25 +65,52 @@ class LivestreamStore:
         fs, place = self._fs(path)
         fs.delete(place, True)
 
+    def _folders(self, name: str) -> dict[str, int]:
+        """The number of the last batch that wrote each folder of a table kept by versions."""
+        fs, place = self._fs(f"{self.root}/{name}")
+        versions = sorted(int(v.getPath().getName()[2:]) for v in fs.listStatus(place)) if fs.exists(place) else []
+        done = [n for n in versions if self._exists(f"{self.root}/{name}/v={n}/_SUCCESS")]
+        names = lambda n: [f.getPath().getName() for f in fs.listStatus(self._fs(f"{self.root}/{name}/v={n}")[1])]
+        return {f: n for n in done for f in names(n) if f.startswith("folder=")}
+
     def _read(self, name: str, folders: list | None = None) -> DataFrame | None:
         """A table, or the given folders of it; None before its first batch."""
         path = f"{self.root}/{name}"
-        if not self._exists(path):
+        if name not in VERSIONED:
+            if not self._exists(path):
+                return None
+            df = self.spark.read.parquet(path)
+            return df if folders is None else df.where(F.col("folder").isin(folders))
+        places = [f"{path}/v={n}/{f}" for f, n in sorted(self._folders(name).items())]
+        if not places:
             return None
-        df = self.spark.read.parquet(path)
+        df = self.spark.read.option("basePath", path).parquet(*places)
+        df = df.drop("v", *CHANGES.values())
         return df if folders is None else df.where(F.col("folder").isin(folders))
 
     def _aside(self, name: str, number: int, make) -> DataFrame:
-        """What ``make`` gives, written once under the batch's number."""
-        path = f"{self.root}/aside/{name}-{number}"
+        """What ``make`` gives, written once under the batch's number; of a table kept by versions that is the version itself."""
+        path = f"{self.root}/{name}/v={number}" if name in VERSIONED else f"{self.root}/aside/{name}-{number}"
         if not self._exists(f"{path}/_SUCCESS"):
-            make().write.mode("overwrite").parquet(path)
+            out = make().write.mode("overwrite").option("partitionOverwriteMode", "static")
+            (out.partitionBy("folder") if name in VERSIONED else out).parquet(path)
         return self.spark.read.parquet(path)
 
-    def _publish(self, name: str, df: DataFrame) -> None:
-        """Replaces the folders that ``df`` has rows for."""
-        out = df.repartition("folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder")
-        out.parquet(f"{self.root}/{name}")
+    def _publish(self, name: str, new: DataFrame | int) -> None:
+        """Replaces the folders that ``new`` has rows for; given a version's number, deletes the earlier ones of its folders."""
+        if not isinstance(new, int):
+            out = new.repartition("folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder")
+            out.parquet(f"{self.root}/{name}")
+            return
+        current = self._folders(name)
+        fs, place = self._fs(f"{self.root}/{name}")
+        for v in (int(x.getPath().getName()[2:]) for x in fs.listStatus(place)):
+            if v < new and v not in current.values():
+                self._delete(f"{self.root}/{name}/v={v}")
+                continue
+            for f, n in current.items():
+                if v < n:
+                    self._delete(f"{self.root}/{name}/v={v}/{f}")
 
     def _done(self, number: int, *names: str) -> None:
         for name in names:
@@ -83,20 +118,22 @@ class LivestreamStore:
 
     # merging -------------------------------------------------------------------------------------------------------
 
-    def _merged(self, name: str, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-        """(folder, key, v, old, hit) of the touched folders: the winning version of each key, the stored one, whether the batch has the key.
+    def _merged(self, name: str, new: DataFrame, key: list[str], order: list[str], before: list[str] | None = None) -> DataFrame:
+        """(folder, key, v, hit, old) of the touched folders: the winning version of each key, whether the batch has the key, the stored values of ``before``.
 
-        One shuffle by key; the map side keeps a row per key and task.
+        One shuffle, by pieces of folders: a task holds whole pieces, so what it writes lies in few files.
         """
         folders = [r["folder"] for r in new.select("folder").distinct().collect()]
         held = self._read(name, folders)
-        values = [c for c in new.columns if c not in key and c != "folder"]
+        values = [c for c in new.columns if c not in key and c not in order and c != "folder"]
         rows = new.withColumn("hit", F.lit(1))
         if held is not None:
             rows = rows.unionByName(held.withColumn("hit", F.lit(0)), allowMissingColumns=True)
-        version = F.struct(*values)
-        return rows.groupBy("folder", *key).agg(
-            F.max_by(version, F.struct(*order, "hit")).alias("v"), F.max(F.when(F.col("hit") == 0, version)).alias("old"), F.max("hit").alias("hit"))
+        pieces = -(-PIECES * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(folders)))
+        rows = rows.withColumn("piece", F.pmod(F.hash(*key), F.lit(pieces))).repartition("folder", "piece")
+        old = [F.max(F.when(F.col("hit") == 0, F.struct(*before))).alias("old")] if before else []
+        out = rows.groupBy("folder", "piece", *key).agg(F.max(F.struct(*order, "hit", *values)).dropFields("hit").alias("v"), F.max("hit").alias("hit"), *old)
+        return out.drop("piece")
 
     def _bucket(self, c: str = "video_id") -> Column:
         return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int").alias("folder")
@@ -109,13 +146,19 @@ class LivestreamStore:
         if batch.isEmpty():
             return
         new = batch.withColumn("folder", F.concat(F.lit("d"), F.substring("date", 1, self.span)))
-        merged = self._aside("daily", number, lambda: self._merged("daily", new, A.DAILY_KEY, self.order))
-        self._publish("daily", merged.select("folder", *A.DAILY_KEY, "v.*"))
-        changes = merged.where("hit = 1").groupBy("video_id").agg(*[F.sum(_value(c, m, "v") - _value(c, m, "old")).alias(n) for n, (c, m) in SUMS.items()])
+
+        def merge() -> DataFrame:
+            merged = self._merged("daily", new, A.DAILY_KEY, self.order, sorted({c for c, _ in SUMS.values()}))
+            # what the batch changes stands beside its keys alone
+            return merged.select("folder", *A.DAILY_KEY, "v.*", *[F.when(F.col("hit") == 1, _value(c, m, "v") - _value(c, m, "old")).alias(CHANGES[n]) for n, (c, m) in SUMS.items()])
+
+        merged = self._aside("daily", number, merge)
+        self._publish("daily", number)
+        changes = merged.where(F.col(CHANGES["total_views"]).isNotNull()).groupBy("video_id").agg(*[F.sum(c).alias(n) for n, c in CHANGES.items()])
         changes = changes.select(self._bucket(), "video_id", *SUMS, F.lit(number).alias("seen"), F.lit(1).alias("change"))
         rolled = self._aside("rollup", number, lambda: self._rolled(changes, number))
         self._publish("rollup", rolled)
-        self._done(number, "daily", "rollup")
+        self._done(number, "rollup")
 
     def _rolled(self, changes: DataFrame, number: int) -> DataFrame:
         held = self._read("rollup", [r["folder"] for r in changes.select("folder").distinct().collect()])
@@ -135,12 +178,11 @@ class LivestreamStore:
         if batch.isEmpty():
             return
         new = batch.withColumn("folder", self._bucket())
-        merged = self._aside("series", number, lambda: self._merged("series", new, A.SERIES_KEY, self.series_order))
-        self._publish("series", merged.select("folder", *A.SERIES_KEY, "v.*"))
+        merged = self._aside("series", number, lambda: self._merged("series", new, A.SERIES_KEY, self.series_order).select("folder", *A.SERIES_KEY, "v.*"))
+        self._publish("series", number)
         touched = merged.groupBy("folder", "video_id").agg(
-            F.avg("v.concurrent_viewers").cast("double").alias("average_concurrent"), F.max("v.peak_viewers").alias("peak_concurrent"))
+            F.avg("concurrent_viewers").cast("double").alias("average_concurrent"), F.max("peak_viewers").alias("peak_concurrent"))
         self._publish("concurrency", touched)
-        self._done(number, "series")
 
     # tables --------------------------------------------------------------------------------------------------------
 
