@@ -69,3 +69,12 @@ def test_an_export_without_runs_joins_streams_alone(spark):
     s = spark.createDataFrame([(1, "t", "p", "v")], "stream_id long, title string, published_at string, source_video_id string")
     out = K.enrich(c, s)
     assert planned(out).count("Join ") == 1 and [tuple(r) for r in out.select("candidate_window_id", "stream_title").collect()] == [("a", "t")]
+
+
+def test_reviews_are_parsed_once(spark):
+    """T3 needs the reviews at several places; what it returns reads them and makes none anew."""
+    from vodmill.plans.catalog import QUERIES
+
+    out = QUERIES["t3_structured_candidates"](spark, "/root/testdata/sf0.001")
+    assert "Clip one (" not in out._jdf.queryExecution().toString()
+    assert out.count() > 0

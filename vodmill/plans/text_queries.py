@@ -9,6 +9,7 @@ from vodmill.operators import analytics as A
 from vodmill.operators import captions as T
 from vodmill.operators import responses as R
 from vodmill.sources import files
+from vodmill.sources.shared import stored
 from vodmill.streaming import ingest
 from vodmill.streaming.store import LivestreamStore
 
@@ -78,7 +79,8 @@ SELECT quote_id, 'Clip one' AS title, start_seconds::BIGINT AS start_seconds, e:
 
 @query(T3_SQL)
 def t3_structured_candidates(spark, sf_dir):
-    reviews = R.parse_structured_final(review_texts(spark, sf_dir))
+    # the reviews are needed at five places, their quotes among them: they are parsed once
+    reviews = stored(R.parse_structured_final(review_texts(spark, sf_dir)).drop("text"), "reviews")
     quotes = reviews.select("quote_id", "stream_id", F.col("exact_caption_quote").alias("quote"))
     words = T.caption_grams(segments(spark, sf_dir), order=("event",))
     out = R.structured_candidates(reviews.drop("stream_id"), T.align_quotes(quotes, words))
