@@ -78,3 +78,18 @@ def test_reviews_are_parsed_once(spark):
     out = QUERIES["t3_structured_candidates"](spark, "/root/testdata/sf0.001")
     assert "Clip one (" not in out._jdf.queryExecution().toString()
     assert out.count() > 0
+
+
+def test_media_are_listed_once_by_few_tasks(spark, tmp_path):
+    import hashlib
+
+    from vodmill.sources import files
+
+    for i in range(1, 301):
+        (tmp_path / f"{i}.mp4").write_bytes(b"x" * i)
+    media = files.scan_media(spark, str(tmp_path))
+    assert media.rdd.getNumPartitions() == 1
+    out = files.with_checksums(media)
+    assert "binaryFile" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["source_path"]: (r["size_bytes"], r["checksum_sha256"], r["error"]) for r in out.collect()}
+    assert got == {f"{i}.mp4": (i, hashlib.sha256(b"x" * i).hexdigest(), None) for i in range(1, 301)}

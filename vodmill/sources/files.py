@@ -14,10 +14,13 @@ from vodmill.functions.candidates import seconds_to_timestamp
 from .dealing import dealt_by_size
 from .json_arrays import read_elements
 from .quoted_csv import normalize_header, read_metrics_csv  # noqa: F401
+from .shared import stored
 
 #: Media suffixes and files of a structured pass.
 VIDEO_SUFFIXES = ("mp4", "mov", "mkv", "webm", "avi", "m4v")
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "gif", "bmp", "tif", "tiff", "heic")
+#: Partitions of a scan of file contents that make a task where files are only listed.
+LISTED = 128
 
 
 def _told(df: DataFrame) -> DataFrame:
@@ -121,6 +124,8 @@ def media_rows(df: DataFrame, root: str) -> DataFrame:
 def scan_media(spark: SparkSession, root: str) -> DataFrame:
     """IO5: media files below ``root``, listed without reading their content; ``path`` is the whole path."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
+    # the scan is cut by what reading files would cost, a handful a task; for a list of them that is far too little
+    df = df.coalesce(-(-max(1, df.rdd.getNumPartitions()) // LISTED))
     return media_rows(df.withColumn("full_path", F.col("path")), root).withColumnRenamed("full_path", "path")
 
 
@@ -154,7 +159,8 @@ def with_checksums(media: DataFrame, piece: int = 4 << 20) -> DataFrame:
                 errors.append(said)
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in names], pa.array(sums, pa.string()), pa.array(errors, pa.string())], names=schema.names)
 
-    dealt = dealt_by_size(media.select(*[f.name for f in names]), size="size_bytes")
+    # dealing looks at the list several times, and each time all files would be listed and opened anew
+    dealt = dealt_by_size(stored(media.select(*[f.name for f in names]), "media"), size="size_bytes")
     return dealt.mapInArrow(run, schema)
 
 
