@@ -108,3 +108,39 @@ def test_grounding_leaves_hopeless_windows_out(spark):
                                   "candidate_window_id string, stream_id long, start_seconds long, end_seconds long, transcript_excerpt string, transcript_evidence array<struct<timestamp:string,seconds:bigint,text:string>>")
     got = {r["candidate_window_id"]: (r["grounded"], [x["seconds"] for x in r["evidence"] or []]) for r in T.ground_evidence(cands, segs).collect()}
     assert got == {"a": (True, [0]), "b": (False, []), "c": (True, [4, 2])}
+
+
+def test_few_windows_are_measured(monkeypatch):
+    """Windows bounded by their longest common subsequence are passed over; the best of all windows stays."""
+    import difflib
+    import random
+
+    from vodmill.operators import captions as T
+
+    rng, calls, matcher = random.Random(8), [0], difflib.SequenceMatcher
+
+    def counted(*a, **k):
+        calls[0] += 1
+        return matcher(*a, **k)
+
+    def plain(claim, context):
+        n, best = len(claim), 0.0
+        for width in (n, n + max(3, min(12, n // 2))):
+            for i in range(len(context)):
+                w = context[i:i + width]
+                shared = sum(min(claim.count(x), w.count(x)) for x in {*claim})
+                if shared:
+                    best = max(best, 0.65 * matcher(None, claim, w, autojunk=False).ratio() + 0.35 * shared / n)
+        return best
+
+    monkeypatch.setattr(T.difflib, "SequenceMatcher", counted)
+    windows = 0
+    for _ in range(40):
+        context = [f"w{rng.randrange(60)}" for _ in range(150)]
+        at, n = rng.randrange(120), rng.randrange(3, 25)
+        claim = ["zqa" if i % 7 == 3 else w for i, w in enumerate(context[at:at + n])]
+        for i in range(1, len(claim) - 1, 5):
+            claim[i], claim[i + 1] = claim[i + 1], claim[i]
+        assert T.score_support(claim, context) == plain(claim, context)
+        windows += 1
+    assert calls[0] < 5 * windows, calls[0] / windows
