@@ -93,3 +93,21 @@ def test_media_are_listed_once_by_few_tasks(spark, tmp_path):
     assert "binaryFile" not in out._jdf.queryExecution().executedPlan().toString()
     got = {r["source_path"]: (r["size_bytes"], r["checksum_sha256"], r["error"]) for r in out.collect()}
     assert got == {f"{i}.mp4": (i, hashlib.sha256(b"x" * i).hexdigest(), None) for i in range(1, 301)}
+
+
+def test_the_driver_holds_no_list_of_media_and_bounded_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from vodmill.sources import dealing, files
+
+    for i in range(40):
+        (tmp_path / f"{i % 7}/{i % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"{i % 7}/{i % 3}/{i}.mp4").write_bytes(b"x")
+    monkeypatch.setattr(files, "LISTED_ROWS", 2)
+    media = files.scan_media(spark, str(tmp_path))
+    assert "binaryFile" not in media._jdf.queryExecution().toString()
+    assert {r["source_path"] for r in media.collect()} == {f"{i % 7}/{i % 3}/{i}.mp4" for i in range(40)}
+    monkeypatch.setattr(dealing, "MOST_TASKS", 8)
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("path"), F.lit(0).cast("long").alias("length"))
+    out = dealing.dealt_by_size(rows, task_bytes=1 << 22)
+    assert out.rdd.getNumPartitions() <= 9 and sorted(int(r["path"]) for r in out.collect()) == list(range(1000))

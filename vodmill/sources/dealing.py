@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 TASK_BYTES = 128 << 20
 #: What opening a file costs, in bytes.
 OPEN_BYTES = 1 << 20
+#: Tasks at most, but for files that are alone in theirs: the driver keeps account of each.
+MOST_TASKS = 1 << 13
 
 
 def dealt_by_size(files: DataFrame, size: str = "length", task_bytes: int = TASK_BYTES, groups: int = 256) -> DataFrame:
@@ -16,12 +18,13 @@ def dealt_by_size(files: DataFrame, size: str = "length", task_bytes: int = TASK
 
     Files are dealt into ``groups`` by a hash of their path, and in each, longest first, cut into
     tasks where running sums pass a multiple of ``task_bytes``; so no window holds all files,
-    and tasks differ by one small file at most.
+    and tasks differ by one small file at most. Where that would be more than MOST_TASKS tasks, they get more bytes each.
     """
     cost = F.coalesce(size, F.lit(0)) + F.lit(OPEN_BYTES)
     total = files.agg(F.sum(cost).alias("b"), F.max(cost).alias("m")).first()
     if total["b"] is None:
         return files
+    task_bytes = max(task_bytes, -(-int(total["b"]) // MOST_TASKS))
     wanted = max(1, -(-int(total["b"]) // task_bytes))
     groups = max(1, min(groups, wanted // 8))
     order = Window.partitionBy("__g").orderBy(F.desc(size), "path")

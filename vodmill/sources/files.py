@@ -14,13 +14,13 @@ from vodmill.functions.candidates import seconds_to_timestamp
 from .dealing import dealt_by_size
 from .json_arrays import read_elements
 from .quoted_csv import normalize_header, read_metrics_csv  # noqa: F401
-from .shared import stored
+from .shared import located, scratch, stored
 
 #: Media suffixes and files of a structured pass.
 VIDEO_SUFFIXES = ("mp4", "mov", "mkv", "webm", "avi", "m4v")
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "gif", "bmp", "tif", "tiff", "heic")
-#: Partitions of a scan of file contents that make a task where files are only listed.
-LISTED = 128
+#: Tasks at most that list a level of folders, and files of a batch of theirs.
+LISTING_TASKS, LISTED_ROWS = 1024, 1 << 16
 
 
 def _told(df: DataFrame) -> DataFrame:
@@ -112,21 +112,52 @@ def caption_plain_text(json: Column) -> Column:
 
 
 def media_rows(df: DataFrame, root: str) -> DataFrame:
-    """Media among (path, length, modificationTime, ...): kind by suffix, path relative to the root; other files go."""
+    """Media among (path, length, modified_ns, ...): kind by suffix, path relative to the root; other files go."""
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.when(suffix.isin(*VIDEO_SUFFIXES), "video").when(suffix.isin(*IMAGE_SUFFIXES), "image")
     bare = lambda c: F.regexp_replace(c, r"^[a-z]+:/+|^/+", "")
     rel = F.substring(bare(F.col("path")), F.length(bare(F.lit(root.rstrip("/")))) + 2, F.length("path"))
-    rest = [c for c in df.columns if c not in ("path", "length", "modificationTime")]
-    return df.select(rel.alias("source_path"), kind.alias("media_kind"), F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("source_modified_ns"), *rest).where("media_kind IS NOT NULL")
+    rest = [c for c in df.columns if c not in ("path", "length", "modified_ns")]
+    return df.select(rel.alias("source_path"), kind.alias("media_kind"), F.col("length").alias("size_bytes"), F.col("modified_ns").alias("source_modified_ns"), *rest).where("media_kind IS NOT NULL")
+
+
+def files_below(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, modified_ns) of every file below the folder ``root``, empty and hidden ones too.
+
+    Tasks list the folders, a level at a time, and write what they find; the driver holds no list
+    of files. A folder is listed by one task. What is gone meanwhile has no rows.
+    """
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                store, place = located(folder)
+                found = store.get_file_info(fs.FileSelector(place, allow_not_found=True))
+                for at in range(0, len(found), LISTED_ROWS):
+                    rows = [(f"{folder}/{x.base_name}", x.type == fs.FileType.Directory, x.size, x.mtime_ns) for x in found[at:at + LISTED_ROWS] if x.type in (fs.FileType.File, fs.FileType.Directory)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=["path", "folder", "length", "modified_ns"])
+
+    schema, places = "path string, folder boolean, length long, modified_ns long", []
+    level = spark.createDataFrame([(root,)], "path string").coalesce(1)
+    while True:
+        places.append(scratch(spark, "listing"))
+        level.mapInArrow(run, schema).write.parquet(places[-1])
+        folders = spark.read.schema(schema).parquet(places[-1]).where("folder").select("path")
+        if not (n := folders.count()):
+            break
+        level = folders.repartition(min(n, LISTING_TASKS))
+    return spark.read.schema(schema).parquet(*places).where("NOT folder").drop("folder")
 
 
 def scan_media(spark: SparkSession, root: str) -> DataFrame:
     """IO5: media files below ``root``, listed without reading their content; ``path`` is the whole path."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
-    # the scan is cut by what reading files would cost, a handful a task; for a list of them that is far too little
-    df = df.coalesce(-(-max(1, df.rdd.getNumPartitions()) // LISTED))
-    return media_rows(df.withColumn("full_path", F.col("path")), root).withColumnRenamed("full_path", "path")
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    root = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place).toString()
+    found = files_below(spark, root).withColumn("full_path", F.col("path"))
+    return media_rows(found, root).withColumnRenamed("full_path", "path")
 
 
 def with_checksums(media: DataFrame, piece: int = 4 << 20) -> DataFrame:
