@@ -95,6 +95,66 @@ def test_media_are_listed_once_by_few_tasks(spark, tmp_path):
     assert got == {f"{i}.mp4": (i, hashlib.sha256(b"x" * i).hexdigest(), None) for i in range(1, 301)}
 
 
+def test_media_of_odd_documents_equal_the_sql(spark, tmp_path):
+    """Empty texts, none, repeated ids, ids below zero and none: a row each, as in SQL."""
+    rows = [(0, "a"), (1, ""), (3, None), (3, "x y"), (3, "x y"), (4, "ü"), (50, ""), (50, None), (-1, "m"), (-50, "n"), (5, "t"), (None, "no id"), (6, "b" * 5000), (9, None), (11, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in QUERIES["io5_scan_media"](spark, str(tmp_path)).select("name", "media_kind", "size_bytes", "checksum", "failed").collect()]
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(SQL["io5_scan_media"]).fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 14
+
+
+def test_names_with_blanks_and_signs_are_read(spark, tmp_path):
+    import hashlib
+
+    from vodmill.sources import files
+
+    names = {"a b.mp4", "c%20d.png", "e#f.mov", "g?h.mkv", "ü [1].jpg", "p:q.gif", ".hidden.mp4", "_x.mp4", "empty.mp4"}
+    for n in names:
+        (tmp_path / "in" / "sub dir").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / "sub dir" / n).write_text("" if n == "empty.mp4" else n)
+    for root in (f"{tmp_path}/in", f"file:{tmp_path}/in/", f"file://{tmp_path}/in"):
+        got = {r["source_path"]: (r["size_bytes"], r["checksum_sha256"], r["error"], r["source_modified_ns"]) for r in files.with_checksums(files.scan_media(spark, root)).collect()}
+        texts = {n: ("" if n == "empty.mp4" else n).encode() for n in names}
+        assert got == {f"sub dir/{n}": (len(t), hashlib.sha256(t).hexdigest(), None, (tmp_path / "in" / "sub dir" / n).stat().st_mtime_ns) for n, t in texts.items()}
+    assert files.scan_media(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_what_a_task_lacks_is_no_outcome_of_a_file(monkeypatch, tmp_path):
+    """Without memory or handles the task fails and is tried again; the file is not one that can't be read."""
+    import errno
+
+    import pytest
+
+    from vodmill.sources import files
+
+    def lacking(path):
+        raise e
+
+    assert files.checksum(f"{tmp_path}/gone", 9)[1].startswith("FileNotFoundError")
+    monkeypatch.setattr(files, "located", lacking)
+    for e in (OSError(errno.EMFILE, "too many open files"), MemoryError()):
+        with pytest.raises(type(e)):
+            files.checksum("x", 9)
+    e = PermissionError(errno.EACCES, "no")
+    assert files.checksum("x", 9) == (None, "PermissionError: [Errno 13] no")
+
+
+def test_a_file_is_replaced_whole(spark, tmp_path):
+    """A reader of the old file keeps it: it is not emptied and written anew."""
+    from vodmill.plans.library_queries import written
+
+    place = tmp_path / "in"
+    for text in ("one", "another"):
+        written(spark.createDataFrame([("a/b", text)], "name string, content string"), str(place), ".mp4")
+        if text == "one":
+            (tmp_path / "kept").hardlink_to(place / "a" / "b.mp4")
+    assert (tmp_path / "kept").read_text() == "one" and (place / "a" / "b.mp4").read_text() == "another"
+    assert [p.name for p in place.rglob("*") if p.is_file()] == ["b.mp4"]
+
+
 def test_the_driver_holds_no_list_of_media_and_bounded_tasks(spark, tmp_path, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from vodmill.operators import captions as T
 from vodmill.operators import library as L
 from vodmill.operators import vectors as V
 from vodmill.sources import files
+from vodmill.sources.shared import located
 
 from .registry import query, scratch, table
 
@@ -21,8 +23,8 @@ seg AS (SELECT conv_id AS stream_id, turn AS event, turn * 4000 AS start_ms, tur
 """
 
 
-#: Turns of a conversation in a caption text, and orders in a report: either grows in number with the table, not in size.
-CAPTION_TURNS, REPORT_ORDERS = 1024, 4096
+#: Turns of a conversation in a caption text, orders in a report, and files in a folder of media: each grows in number with the table, not in size.
+CAPTION_TURNS, REPORT_ORDERS, FOLDER_FILES = 1024, 4096, 4096
 
 
 def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,17 +36,24 @@ def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written(rows: DataFrame, path: str, suffix: str) -> None:
-    """A file per row (name, content) in the folder ``path``; a repeated task writes the same again."""
+    """A file per row (name, content) below the folder ``path``; a name may have folders.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+    A file appears whole: it is written beside the folder and moved. So a repeated task writes the
+    same again, and one that ends halfway, or goes on after it was given up, harms no file.
+    """
 
-        store, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-        store.create_dir(place, recursive=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, place = located(path)
+        beside, made = f"{place}-unfinished", set()
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                with store.open_output_stream(f"{place}/{name}{suffix}", compression=None) as f:
+                target = f"{place}/{name}{suffix}"
+                for folder in {beside, target.rpartition("/")[0]} - made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(own := f"{beside}/{uuid.uuid4().hex}", compression=None) as f:
                     f.write(content)
+                store.move(own, target)
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
 
     rows.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
@@ -108,16 +117,25 @@ def io2_read_report_json(spark, sf_dir):
 @query("""SELECT doc_id::VARCHAR AS name, CASE WHEN doc_id % 2 = 0 THEN 'video' ELSE 'image' END AS media_kind, strlen(text) AS size_bytes, sha256(text) AS checksum, false AS failed FROM documents WHERE doc_id % 3 <> 2
  UNION ALL SELECT 'gone-' || doc_id, 'video', 5, NULL, true FROM documents WHERE doc_id % 50 = 0""")
 def io5_scan_media(spark, sf_dir):
-    """A file per document, scanned and hashed; files that are gone when their turn comes are outcomes."""
+    """A file per document, scanned and hashed; files that are gone when their turn comes are outcomes.
+
+    A file's name has the document's row behind its id, so documents of one id have a file each.
+    A document without a text is no file: it has neither size nor checksum.
+    """
     d = table(spark, sf_dir, "documents")
     path = scratch(spark, "inbox")
-    kind = F.when(F.col("doc_id") % 3 == 2, "txt").when(F.col("doc_id") % 2 == 0, "mp4").otherwise("PNG")
-    written(d.select(F.concat_ws(".", F.col("doc_id").cast("string"), kind).alias("name"), F.col("text").alias("content")), path, "")
+    wanted = F.coalesce(F.col("doc_id") % 3 != 2, F.lit(False))
+    kind = F.when(F.col("doc_id") % 2 == 0, "video").otherwise("image")
+    row = F.monotonically_increasing_id()
+    name = F.concat(F.floor(row / FOLDER_FILES).cast("string"), F.lit("/"), F.concat_ws("~", F.col("doc_id").cast("string"), row.cast("string")), F.when(~wanted, ".txt").when(kind == "video", ".mp4").otherwise(".PNG"))
+    written(d.select(name.alias("name"), F.col("text").alias("content")).where("content IS NOT NULL"), path, "")
     media = files.scan_media(spark, path)
-    name = F.concat(F.lit("gone-"), F.col("doc_id").cast("string"), F.lit(".mp4"))
+    name = F.concat(F.lit("gone-"), F.col("doc_id").cast("string"), F.lit("~.mp4"))
     gone = d.where("doc_id % 50 = 0").select(name.alias("source_path"), F.lit("video").alias("media_kind"), F.lit(5).cast("long").alias("size_bytes"), F.concat(F.lit(f"{path}/"), name).alias("path"))
     out = files.with_checksums(media.unionByName(gone, allowMissingColumns=True))
-    return out.select(F.regexp_extract("source_path", r"^(.+)\.", 1).alias("name"), "media_kind", "size_bytes", F.col("checksum_sha256").alias("checksum"), F.col("error").isNotNull().alias("failed"))
+    out = out.select(F.regexp_extract("source_path", r"([^/~]+)~\d*\.[^.]+$", 1).alias("name"), "media_kind", "size_bytes", F.col("checksum_sha256").alias("checksum"), F.col("error").isNotNull().alias("failed"))
+    empty = d.where(F.col("text").isNull() & wanted)
+    return out.unionByName(empty.select(F.col("doc_id").cast("string").alias("name"), kind.alias("media_kind"), F.lit(None).cast("long").alias("size_bytes"), F.lit(None).cast("string").alias("checksum"), F.lit(False).alias("failed")))
 
 
 @query("SELECT p_partkey, p_size AS start_seconds, p_size + 60 AS end_seconds, (1 + p_partkey % 2)::INT AS candidate_rank FROM part")

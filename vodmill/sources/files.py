@@ -160,34 +160,39 @@ def scan_media(spark: SparkSession, root: str) -> DataFrame:
     return media_rows(found, root).withColumnRenamed("full_path", "path")
 
 
+def checksum(path: str, piece: int) -> tuple[str | None, str | None]:
+    """(SHA-256, None) of a file, or (None, why it can't be read). A lack of memory or handles is the task's, which fails and is tried again."""
+    import errno
+    import hashlib
+
+    digest = hashlib.sha256()
+    try:
+        store, place = located(path)
+        with store.open_input_stream(place, compression=None) as f:
+            while part := f.read(piece):
+                digest.update(part)
+    except Exception as e:  # noqa: BLE001  one bad file is an outcome, not the end of the job
+        if isinstance(e, MemoryError) or getattr(e, "errno", None) in (errno.EMFILE, errno.ENFILE, errno.ENOMEM):
+            raise
+        return None, f"{type(e).__name__}: {e}"
+    return digest.hexdigest(), None
+
+
 def with_checksums(media: DataFrame, piece: int = 4 << 20) -> DataFrame:
     """IO5: adds ``checksum_sha256`` and ``error`` by reading each file at ``path`` in pieces.
 
     Files are dealt over tasks by their bytes, longest first. A recording of any length
     takes ``piece`` bytes of memory. A file that can't be read has
-    a NULL checksum and the reason in ``error``, and stops no other.
+    a NULL checksum and the reason in ``error``, and stops no other; where its task lacks memory or
+    handles, the task fails and is tried again.
     """
     names = [f for f in media.schema if f.name not in ("checksum_sha256", "error")]
     schema = T.StructType([*names, T.StructField("checksum_sha256", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        from pyarrow import fs
-
         for b in batches:
-            sums, errors = [], []
-            for path in b.column("path").to_pylist():
-                digest, said = hashlib.sha256(), None
-                try:
-                    store, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-                    with store.open_input_stream(place, compression=None) as f:
-                        while part := f.read(piece):
-                            digest.update(part)
-                except Exception as e:  # noqa: BLE001  one bad file is an outcome, not the end of the job
-                    said = f"{type(e).__name__}: {e}"
-                sums.append(None if said else digest.hexdigest())
-                errors.append(said)
+            found = [checksum(path, piece) for path in b.column("path").to_pylist()]
+            sums, errors = [x[0] for x in found], [x[1] for x in found]
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in names], pa.array(sums, pa.string()), pa.array(errors, pa.string())], names=schema.names)
 
     # dealing looks at the list several times, and each time all files would be listed and opened anew
