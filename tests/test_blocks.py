@@ -107,3 +107,12 @@ def test_long_segments_are_two_rows_at_most(spark):
         want = sorted((x[0], t[3]) for x in cands for t in segs if (lo(x) <= t[1] <= hi(x) if starts else t[1] <= hi(x) and max(t[1], t[2]) >= lo(x)))
         assert got == want and got
     assert T.interval_join(c, s.limit(0)).count() == 0
+
+
+def test_a_bloom_filter_of_many_keys_lets_few_others_through(spark):
+    """What passes without a partner is exchanged: its share must not grow with the keys."""
+    n = 4_000_000
+    may_have = bloom.bloom(spark.range(n).select(F.xxhash64("id").alias("key")))
+    rows = spark.range(n - 10_000, n + 990_000).select("id", F.xxhash64("id").alias("key")).where(may_have(F.col("key")))
+    found = {r["own"]: r["count"] for r in rows.groupBy((F.col("id") < n).alias("own")).count().collect()}
+    assert found[True] == 10_000 and found[False] < 5_000

@@ -1,4 +1,4 @@
-"""A Bloom filter of keys of a bounded size, to drop rows before a shuffle that could find no partner in it."""
+"""A Bloom filter of keys, two to four bytes a key, to drop rows before a shuffle that could find no partner in it."""
 
 from __future__ import annotations
 
@@ -8,22 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-#: Bits of the largest filter (4 MB), and bits for each key below that.
-MOST_BITS, BITS_A_KEY = 1 << 25, 16
+#: Bits of the largest filter (128 MB, full with 67 million keys), bits for each key at least below that, and those that a key sets.
+MOST_BITS, BITS_A_KEY, PROBES = 1 << 30, 16, 4
 
 
 def bloom(keys: DataFrame, key: str = "key"):
     """A function of a column of longs that tells which may be among ``keys``: all that are, and few others.
 
-    Two bits a key. The filter is at most MOST_BITS long, however many keys there are: with very many
-    it lets more rows through, never fewer. It is built by tasks; the driver gets its words.
+    The filter is as long as its keys need, so that of other keys one in 400 passes at most, however many rows ask; only beyond
+    MOST_BITS it lets more through, never fewer. It is built by tasks; the driver gets its words.
     """
     n = keys.count()
     bits = min(MOST_BITS, 1 << 16)
     while bits < min(MOST_BITS, BITS_A_KEY * n):
         bits *= 2
-    places = keys.where(F.col(key).isNotNull()).select(F.explode(F.array(F.pmod(F.col(key), F.lit(bits)), F.pmod(F.shiftright(F.col(key), 32), F.lit(bits)))).alias("b"))
-    words = places.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m")).toPandas()
+    # a key's places: from one half of it, in steps of the other
+    first, step = F.col(key).bitwiseAND(F.lit(bits - 1)), F.shiftright(F.col(key), 32).bitwiseAND(F.lit(bits - 1)).bitwiseOR(F.lit(1))
+    places = keys.where(F.col(key).isNotNull()).select(F.explode(F.array(*[(first + step * i).bitwiseAND(F.lit(bits - 1)) for i in range(PROBES)])).alias("b"))
+    words = places.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
     table[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.int64).view(np.uint64)
     held = keys.sparkSession.sparkContext.broadcast(table)
@@ -31,8 +33,15 @@ def bloom(keys: DataFrame, key: str = "key"):
     @F.pandas_udf(BooleanType())
     def passes(column: pd.Series) -> pd.Series:
         k, t = column.to_numpy(dtype=np.int64), held.value
-        test = lambda b: (t[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) > 0
-        return pd.Series(test(k % bits) & test((k >> 32) % bits))
+        place, step, may = k & (bits - 1), k >> 32 & (bits - 1) | 1, np.arange(len(k))
+        # most fail at once: the places that follow are looked up for the rest alone
+        for _ in range(PROBES):
+            b = place[may]
+            may = may[(t[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) > 0]
+            place[may] = place[may] + step[may] & (bits - 1)
+        out = np.zeros(len(k), bool)
+        out[may] = True
+        return pd.Series(out)
 
     def may_have(column: Column) -> Column:
         return passes(column)
