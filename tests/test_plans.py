@@ -171,3 +171,14 @@ def test_the_driver_holds_no_list_of_media_and_bounded_tasks(spark, tmp_path, mo
     rows = spark.range(1000).select(F.col("id").cast("string").alias("path"), F.lit(0).cast("long").alias("length"))
     out = dealing.dealt_by_size(rows, task_bytes=1 << 22)
     assert out.rdd.getNumPartitions() <= 9 and sorted(int(r["path"]) for r in out.collect()) == list(range(1000))
+
+
+def test_places_of_captions_stream_through_the_filter(spark):
+    """A Python function in a filter keeps every row in a queue, which goes to disk where memory is short."""
+    from vodmill.operators import bloom
+
+    out = QUERIES["t3_structured_candidates"](spark, "/root/testdata/sf0.001")
+    assert "EvalPython" not in planned(out)
+    rows = spark.createDataFrame([(1, 10, None), (2, 11, 10), (3, None, None), (4, 12, 13)], "id int, a long, b long")
+    got = bloom.passing(rows, ["a", "b"], spark.createDataFrame([(10,)], "key long")).collect()
+    assert sorted((r["id"], r["a"], r["b"]) for r in got) == [(1, 10, None), (2, None, 10)]

@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, StringType
 from vodmill.functions import candidates as C
 
 from .blocks import following
-from .bloom import bloom
+from .bloom import passing
 
 #: Tolerance of the audit in seconds, the least support of a claim, window limits of the grounding.
 TOLERANCE, SUPPORT, WINDOW_SEGMENTS, WINDOW_SECONDS = 5, 0.68, 12, 30
@@ -226,11 +226,12 @@ def quote_prefixes(needles: DataFrame, words: DataFrame, long: int, short: int)
     nearly all other places before anything is exchanged.
     """
     lengths = [r["k"] for r in needles.select("k").distinct().collect()]
-    may_have = bloom(needles.select("key"))
-    sizes = F.array(*[F.lit(k) for k in sorted(lengths)]).cast("array<int>")
+    names = {f"__{k}": k for k in sorted(lengths) or [1]}
     grams = words if "gram" in words.columns else word_ngrams(words, long)
-    rows = grams.withColumn("k", F.explode(sizes)).where(F.col("k") <= F.size("gram")).withColumn("key", _prefix_key(F.slice("gram", F.lit(1), F.col("k"))))
-    return rows.where(may_have(F.col("key"))).select("stream_id", "key", "k", "gram", "place", "second")
+    keyed = [F.when(F.size("gram") >= k, _prefix_key(F.slice("gram", 1, k))).alias(n) for n, k in names.items()]
+    rows = passing(grams.select("stream_id", "gram", "place", "second", *keyed), list(names), needles.select("key"))
+    found = F.explode(F.filter(F.array(*[F.struct(F.lit(k).cast("int").alias("k"), F.col(n).alias("key")) for n, k in names.items()]), lambda x: x["key"].isNotNull()))
+    return rows.withColumn("x", found).select("stream_id", "x.key", "x.k", "gram", "place", "second")
 
 
 def align_quotes(quotes: DataFrame, words: DataFrame, long: int = 8, short: int = 5) -> DataFrame:
